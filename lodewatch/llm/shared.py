@@ -1,8 +1,10 @@
-"""What the operators share: reliable checkpoints, Arrow helpers and a registry of queries."""
+"""What the operators share: written tables that cut lineage."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +23,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint that outlives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Writes the rows as a table in the shared checkpoint folder and reads it from there.
+
+    That cuts the lineage: what comes later survives lost executors without computing this anew,
+    reads only the columns it needs, and is planned with the table's true size. The tables are
+    scratch and go when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # noqa: BLE001  the session ended first; the folder is scratch
+        return
