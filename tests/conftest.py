@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
 
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     session = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]"))
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.default.parallelism", "8")
