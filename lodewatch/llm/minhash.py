@@ -5,9 +5,10 @@ keeps the smallest hash. An empty bin borrows from the first filled bin in a fix
 of its own, the optimal densification, so two sets agree in any bin with a chance equal to
 their similarity. Bands of bins become bucket keys; inside a bucket every member is paired with
 one centre, so a bucket of m documents gives m - 1 candidates. Candidates are confirmed on
-whole shingle sets. Where members of one bucket are still in different components, further
-members become centres, in growing numbers, until each such pair has been compared: no link
-between two members of a bucket is lost, and no bucket is capped.
+whole shingle sets. Where members of one bucket are still in different components, those that
+an exact bound rules out are set aside (too many of their shingles are theirs alone), and the
+rest become centres in turn, in growing numbers, until each such pair has been compared: no
+link between two members of a bucket is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -134,22 +135,47 @@ def whole_sets(documents: DataFrame) -> DataFrame:
 
 
 def confirmed(documents: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union, checkpointed.
+    """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union, as a written table.
 
     Only documents that stand in a pair are shingled again; no set travels for any other.
     """
-    pairs = settle(pairs.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs = settle(pairs.select("a", "b").distinct())
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = whole_sets(documents.join(wanted, "doc_id", "left_semi"))
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return settle(
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("shingles_a")), "a")
-        .where(100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared))
+        .where(100 * shared >= percent * (F.size("shingles_a") + F.size("shingles_b") - shared))
         .select("a", "b")
     )
 
 
+def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, doc_id, component) of the buckets whose members are in more than one component."""
+    labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*members.columns, F.coalesce("component", "doc_id").alias("component"))
+    split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return labelled.join(split, "key")
+
+
+def able(documents: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The members that can still have a link in their bucket, by an exact bound.
+
+    Of n shingles, those that no other open document has cannot be shared. A link with a set of
+    m needs percent * (n + m) / (100 + percent) shared ones, and m is at least the smallest size
+    in the bucket and percent of n.
+    """
+    docs = members.select("doc_id").distinct()
+    sets = settle(whole_sets(documents.join(docs, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    owned = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("many")).where("many = 1")
+    own = owned.groupBy("doc_id").agg(F.count("*").alias("own"))
+    sizes = sets.select("doc_id", F.size("shingles").alias("n")).join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    rows = members.join(sizes, "doc_id")
+    least = rows.groupBy("key").agg(F.min("n").alias("least"))
+    bound = f"(100 + {percent}) * (n - own) >= {percent} * (n + greatest(ceil({percent} * n / 100), least))"
+    return rows.join(least, "key").where(bound).select("key", "doc_id")
+
+
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
@@ -163,30 +189,31 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     digest = ["digest_a", "digest_b", "n_shingles"]
     classes = signed_docs.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("class_id"))
     reps = signed_docs.join(classes.withColumnRenamed("class_id", "doc_id"), [*digest, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    members = reps.select(F.explode("keys").alias("key"), "doc_id", F.col("n_shingles").alias("n"))
-    centres = members.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("centre"), F.count("*").alias("many")).where("many > 1").select("key", "centre")
+    members = reps.select(F.explode("keys").alias("key"), "doc_id")
+    centres = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("many")).where("many > 1").select("key", "centre")
     members = settle(members.join(centres, "key"))
-    star = members.where("doc_id > centre.doc_id").select(F.col("centre.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("centre.n").alias("n_a"), F.col("n").alias("n_b"))
-    links = confirmed(documents, star, percent)
+    links = confirmed(documents, members.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), percent)
     found = components(links)
 
-    centres_done, more = 1, 8
-    open_members = members.select("key", "doc_id", "n")
+    left = settle(open_buckets(members.select("key", "doc_id"), found).select("key", "doc_id"))
+    if not left.isEmpty():
+        left = settle(able(documents, left, percent))
+    done, more = 0, 4
     while True:
-        labelled = open_members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("many")).where(f"low < high and many > {centres_done + 1}").select("key")
-        open_members = settle(labelled.join(split, "key"))
-        if open_members.isEmpty():
-            break
-        ranked = open_members.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-        hubs = ranked.where(f"rank > {centres_done} and rank <= {centres_done + more}").select("key", F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-        pairs = ranked.join(hubs, "key").where("doc_id > a and component <> of_a").select("a", F.col("doc_id").alias("b"), "n_a", F.col("n").alias("n_b"))
-        new = confirmed(documents, pairs, percent)
-        if not new.isEmpty():
-            links = settle(links.union(new))
-            found = components(links)
-        open_members = open_members.select("key", "doc_id", "n")
-        centres_done, more = centres_done + more, 2 * more
+        left = settle(open_buckets(left.select("key", "doc_id"), found))
+        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
+        hubs = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
+        pairs = settle(left.join(hubs, "key").where("doc_id > a and component <> of_a").select("a", F.col("doc_id").alias("b")).distinct())
+        if pairs.isEmpty():
+            # the centres of this round have no one left to meet; no later one can, if all ranks are used
+            if left.groupBy("key").count().where(F.col("count") > done + more + 1).isEmpty():
+                break
+        else:
+            new = confirmed(documents, pairs, percent)
+            if not new.isEmpty():
+                links = settle(links.union(new))
+                found = components(links)
+        done, more = done + more, 2 * more
 
     by_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*digest, F.coalesce("component", "class_id").alias("component"))
     return signed_docs.join(by_class, digest, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
