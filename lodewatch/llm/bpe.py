@@ -24,6 +24,8 @@ from .words import Block, blocks
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces whose ids a worker remembers between blocks.
 REMEMBERED = 200_000
+#: Ids that are decoded at once.
+PART = 1 << 19
 #: Bytes after which a space surely ends a run of white space: visible ASCII and the lead bytes
 #: of sequences that hold no white space.
 SURE = np.zeros(256, bool)
@@ -168,12 +170,17 @@ def decode(df: DataFrame, ids: str = "ids", path: str = VOCABULARY, decoded: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            lists = batch.column(ids)
-            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            data, placed = own.decode(flat, np.append(0, np.cumsum(sizes)))
-            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(np.ascontiguousarray(placed)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, binary.cast(pa.binary())], names=[*kept, decoded])
+            sizes = np.nan_to_num(batch.column(ids).value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            edges = np.append(0, np.cumsum(sizes))
+            at = 0
+            while at < len(sizes):  # a part of the batch at a time: its longest list, or about PART ids
+                stop = max(at + 1, int(np.searchsorted(edges, edges[at] + PART, "right")) - 1)
+                part = batch.slice(at, stop - at)
+                flat = part.column(ids).flatten().to_numpy(zero_copy_only=False)
+                data, placed = own.decode(flat, edges[at : stop + 1] - edges[at])
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - at, [None, pa.py_buffer(np.ascontiguousarray(placed)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*part.columns, binary.cast(pa.binary())], names=[*kept, decoded])
+                at = stop
 
     return df.mapInArrow(run, schema)
 

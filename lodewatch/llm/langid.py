@@ -33,8 +33,9 @@ UNDETERMINED = "und"
 SAMPLE, WORDS = 3000, 30_000
 ROUNDS = 3
 #: The chance of a byte that no piece covers, and the longest piece, in bytes.
-STRAY, LONGEST = 1e-7, 16
-LONGEST_TRAINED = 40
+STRAY, LONGEST = 1e-6, 16
+#: Training looks at words in parts of so many characters, if they have at most so many bytes.
+TRAINED_CHARACTERS, TRAINED_BYTES = 16, 48
 BLOCK = 1 << 23
 WORD_MARK = 32
 RATE = np.uint64(0x9E3779B97F4A7C15)
@@ -176,7 +177,7 @@ def train(labelled: DataFrame, path: str = PIECES, sample: int = SAMPLE, words:
     drawn = labelled.select("doc_id", "lang", draw.alias("draw")).join(sizes, "lang").where(F.col("draw") * F.col("n") < 1.2 * sample)
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("rank") <= sample)
     chosen = labelled.join(ranked.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
-    counted = chosen.select("lang", F.explode(F.split(letters("text"), " ")).alias("word")).where(f"word <> '' and octet_length(word) < {LONGEST_TRAINED}").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = chosen.select("lang", F.explode(F.regexp_extract_all(letters("text"), F.lit(f"[^ ]{{1,{TRAINED_CHARACTERS}}}"), F.lit(0))).alias("word")).where(F.octet_length("word") <= TRAINED_BYTES).groupBy("lang", "word").agg(F.count("*").alias("n"))
     frequent = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= words)
 
     def fit(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -64,17 +64,17 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, tem
     name = F.coalesce("source", F.lit(""))
     # A source may hold a third of all rows: documents meet the few rows of rates by a salted key.
     salts = 64
-    drawn = rates(documents, weights, temperature).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("source", "__name")
+    drawn = rates(documents, weights, temperature).toDF("__name", "__rate", "__parts", "__cumulative").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = documents.select(*[F.col(f"`{c}`") for c in kept], name.alias("__name"), F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("__salt"), key.alias("__key"))
     joined = rows.join(drawn, ["__name", "__salt"])
     count = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")),
+        F.sequence(F.lit(1), F.col("__parts")),
         F.lit(0),
-        lambda acc, part: acc + F.size(F.filter("cumulative", lambda c: c <= uniform(F.lit(str(seed)), F.col("__key"), part))),
+        lambda acc, part: acc + F.size(F.filter("__cumulative", lambda c: c <= uniform(F.lit(str(seed)), F.col("__key"), part))),
     )
     copies = joined.withColumn("__n", count).where("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return copies.select(*[F.col(f"`{c}`") for c in kept], "copy_no", "rate", F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "__key", "copy_no").cast("binary")).alias("mix_key"))
+    return copies.select(*[F.col(f"`{c}`") for c in kept], "copy_no", F.col("__rate").alias("rate"), F.md5(F.concat_ws(":", F.lit(f"order{seed}"), "__key", "copy_no").cast("binary")).alias("mix_key"))
 
 
 def mix(documents: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:

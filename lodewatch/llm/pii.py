@@ -60,15 +60,24 @@ def digits(value: Column) -> Column:
 
 def passes(kind: str, value: Column) -> Column:
     if kind == "ip":
-        parts = F.transform(F.split(value, r"\."), lambda p: F.ltrim(F.lit("0"), p))
+        parts = F.transform(F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0")))
         return F.forall(parts, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))
     if kind == "card":
-        return F.length(digits(value)).between(12, 19) & F.luhn_check(digits(value))
+        return F.length(digits(value)).between(12, 19) & F.call_function("luhn_check", digits(value))
     if kind == "phone":
         return F.length(digits(value)).between(9, 15)
     return F.lit(True)
 
 
+def valid_spans(kind: str) -> Column:
+    """The spans of the matches m_<kind> that pass."""
+    return F.transform(F.filter(f"m_{kind}", lambda m: passes(kind, m["value"])), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
+
+
+def counted(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+
+
 def listed(spans: Column) -> Column:
     """kind:start:end, comma-joined; spans are ordered by start, then kind."""
     names = F.array(*[F.lit(k) for k in [*KINDS, FOUND]])
@@ -82,10 +91,7 @@ def base_spans(documents: DataFrame) -> DataFrame:
     for i, kind in enumerate(KINDS):
         rows = rows.withColumn(f"m_{kind}", matched(F.col("text"), PATTERNS[kind], SIGNS[kind]))
     rows = rows.withColumn("m_candidate", matched(F.col("text"), CANDIDATE, "[0-9]"))
-    spans = [
-        F.transform(F.filter(f"m_{kind}", lambda m, k=kind: passes(k, m["value"])), lambda m, i=i: F.struct(m["start"].alias("start"), F.lit(i).alias("kind"), m["end"].alias("end")))
-        for i, kind in enumerate(KINDS)
-    ]
+    spans = [valid_spans(kind) for kind in KINDS]
 
     def candidate(m: Column) -> Column:
         value = F.regexp_extract(m["value"], CANDIDATE, 2)
@@ -130,8 +136,7 @@ def private_spans(documents: DataFrame) -> DataFrame:
 
 def op6_private_data(spark, sf_dir: str) -> DataFrame:
     found = private_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[counted(kind) for kind in KINDS], F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -77,8 +77,8 @@ def parsed(data: bytes) -> dict:
         "page_id": int(fields["X-Page-ID"]) if fields["X-Page-ID"].strip() else None,
         "record_type": fields["WARC-Type"],
         "payload": None if revisit else payload,
-        "payload_bytes": size,
-        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+        "payload_bytes": size if revisit else len(payload),
+        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else digest(payload),
         "refers_to": int(fields["X-Refers-To-Page"]) if revisit else None,
     }
 
@@ -176,6 +176,4 @@ def archive_folder(spark: SparkSession) -> str:
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark)
     index = write(table(spark, sf_dir, "pages"), folder)
-    found = read(index, folder)
-    whole = F.when(F.col("payload").isNull(), F.col("payload_digest")).otherwise(F.col("payload_digest"))
-    return found.select("page_id", "payload_bytes", whole.alias("payload_digest"), "record_type", "refers_to")
+    return read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
