@@ -1,0 +1,128 @@
+"""Detection rules as data. Subcodes, classes and scores are fixed values; the patterns avoid look-around."""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+
+class Rule(NamedTuple):
+    kind: str
+    subcode: str
+    category: str
+    intent: str
+    severity: str
+    confidence: str
+    score: int
+    pattern: str
+
+
+# The line rules in natural order.
+LINE_RULES = [
+    Rule("UNSAFE_EVAL", "SAST-EVAL", "malware", "MALICIOUS", "CRITICAL", "high", 90, r"\beval\s*\(|new\s+Function\s*\(|\[['\"]ev['\"]\s*\+"),
+    Rule("OS_CAPABILITY", "SAST-PROCESS", "malware", "SUSPICIOUS", "MEDIUM", "high", 50, r"child_process|(^|[^.\w])(spawn|execSync|exec)\s*\("),
+    Rule("NETWORK_ACTIVITY", "SAST-NETWORK", "malware", "NEUTRAL", "LOW", "medium", 15, r"\bfetch\s*\(|https?\.(request|get)\s*\(|\b(axios|got)\b|\b(curl|wget)\s"),
+    Rule("ENV_ACCESS", "SAST-ENV", "malware", "SUSPICIOUS", "MEDIUM", "high", 50, r"process\.env\.[A-Z_]+|\bsecrets\.[A-Za-z_]+|PRIVATE_KEY"),
+    Rule("POTENTIAL_SECRET", "SAST-BASE64", "malware", "MALICIOUS", "HIGH", "high", 70, r"Buffer\.from\([^)]*['\"]base64['\"]"),
+    Rule("DOM_INJECTION", "SAST-DOM", "vulnerability", "VULNERABILITY", "HIGH", "high", 70, r"\.(inner|outer)HTML\s*\+?="),
+    Rule("SANDBOX_ESCAPE", "SAST-VM", "malware", "SUSPICIOUS", "HIGH", "high", 70, r"\bvm\.(runIn\w*Context|Script)\b"),
+    Rule("SECRET_AWS_KEY_ID", "SEC-AWS-ID", "secret", "EXFILTRATION", "CRITICAL", "high", 90, r"(?i)aws_?access_?key_?id\s*[:=]\s*['\"]?[A-Z0-9]{16,}"),
+    Rule("SECRET_AWS_SECRET", "SEC-AWS-SECRET", "secret", "EXFILTRATION", "CRITICAL", "high", 95, r"(?i)aws_?secret_?(access_?)?key\s*[:=]\s*['\"]?[A-Za-z0-9/+=]{40}"),
+    Rule("SECRET_AWS_KEY_ID", "SEC-AWS-ID-BARE", "secret", "EXFILTRATION", "CRITICAL", "high", 90, r"(^|[^A-Za-z0-9])AKIA[0-9A-Z]{16}([^A-Za-z0-9]|$)"),
+    Rule("SECRET_GITHUB_TOKEN", "SEC-GITHUB-TOKEN", "secret", "EXFILTRATION", "CRITICAL", "high", 90, r"\bgh[pousr]_[A-Za-z0-9]{36}|\bgithub_pat_[A-Za-z0-9_]{22,}"),
+    Rule("SECRET_STRIPE_KEY", "SEC-STRIPE", "secret", "EXFILTRATION", "CRITICAL", "high", 90, r"\b[sp]k_live_[A-Za-z0-9]{16,}"),
+    Rule("SECRET_SENDGRID_KEY", "SEC-SENDGRID", "secret", "EXFILTRATION", "CRITICAL", "high", 90, r"\bSG\.[A-Za-z0-9_.-]{40,}"),
+    Rule("SECRET_SSH_KEY", "SEC-SSH-KEY", "secret", "EXFILTRATION", "CRITICAL", "high", 95, r"-----BEGIN (RSA |DSA |EC |OPENSSH |PGP )?PRIVATE KEY"),
+    Rule("SECRET_SLACK_TOKEN", "SEC-SLACK-TOKEN", "secret", "EXFILTRATION", "CRITICAL", "high", 90, r"\bxox[abp]-[A-Za-z0-9-]{10,}"),
+    Rule("SECRET_SLACK_WEBHOOK", "SEC-SLACK-WEBHOOK", "secret", "EXFILTRATION", "CRITICAL", "high", 85, r"hooks\.slack\.com/services/[A-Z0-9/]+"),
+    Rule("SECRET_JWT", "SEC-JWT", "secret", "EXFILTRATION", "HIGH", "high", 75, r"(?i)jwt_?(secret|key|token)\s*[:=]\s*['\"][^'\"]{16,}"),
+    Rule("SECRET_DB_PASSWORD", "SEC-DB-PASSWORD", "secret", "EXFILTRATION", "HIGH", "high", 75, r"\b(DB|DATABASE|MYSQL|POSTGRES)_PASS(WORD)?\s*[:=]\s*['\"]?[^\s'\"]{8,}"),
+    Rule("SECRET_ENCRYPTION_KEY", "SEC-ENCRYPTION-KEY", "secret", "EXFILTRATION", "HIGH", "high", 75, r"(?i)encryption_?(key|secret)\s*[:=]\s*['\"]?[^\s'\"]{8,}"),
+    Rule("SECRET_API_KEY", "SEC-API-KEY", "secret", "EXFILTRATION", "HIGH", "high", 70, r"(?i)\bapi_?key\s*[:=]\s*['\"]?[A-Za-z0-9_-]{16,}"),
+    Rule("DARKNET_ADDRESS", "SEC-DARKNET", "secret", "SUSPICIOUS", "HIGH", "medium", 60, r"\b[a-z0-9-]+\.(onion|tor)\b"),
+    Rule("SECRET_HARDCODED_PASSWORD", "SEC-HARDCODED-PASSWORD", "secret", "EXFILTRATION", "HIGH", "high", 70, r"(?i)\b(password|passwd|pwd|contrase.a|clave)\s*[:=]\s*['\"][^'\"]{6,}"),
+    Rule("SECRET_HARDCODED_TOKEN", "SEC-HARDCODED-TOKEN", "secret", "EXFILTRATION", "HIGH", "high", 70, r"\b[Tt]oken\s*[:=]\s*['\"][A-Za-z0-9_.-]{16,}"),
+    Rule("GYP_COMMAND_SUBSTITUTION", "GYP-SUBSTITUTION", "malware", "MALICIOUS", "CRITICAL", "high", 90, r"['\"]<[!|]@?\("),
+    Rule("GYP_DOWNLOADER", "GYP-DOWNLOADER", "malware", "MALICIOUS", "CRITICAL", "high", 90, r"['\"]action['\"]\s*:.*(curl|wget|powershell)"),
+    Rule("LIFECYCLE_CURL_BASH", "LIF-CURL-BASH", "malware", "MALICIOUS", "CRITICAL", "high", 90, r"['\"](pre|post)?install['\"]\s*:\s*['\"][^'\"]*(curl|wget)"),
+    Rule("LIFECYCLE_CURL_BASH", "LIF-SHELL", "malware", "MALICIOUS", "CRITICAL", "high", 85, r"['\"](pre|post)?install['\"]\s*:\s*['\"][^'\"]*\b(bash|sh|python|perl|eval)\b"),
+    Rule("LIFECYCLE_OBFUSCATED", "LIF-OBFUSCATED", "malware", "MALICIOUS", "CRITICAL", "high", 90, r"['\"](pre|post)?install['\"]\s*:\s*['\"][^'\"]*(base64|chmod|mknod)"),
+    Rule("OBFUSCATED_PAYLOAD", "OBF-PAYLOAD", "malware", "MALICIOUS", "HIGH", "high", 75, r"(\\x[0-9a-fA-F]{2}){10,}|(\\u[0-9a-fA-F]{4}){5,}|(eval|Function)\s*\(.{0,40}decode"),
+    Rule("WORKFLOW_RISK", "WF-001", "workflow", "VULNERABILITY", "HIGH", "high", 70, r"\bpull_request_target\b"),
+    Rule("WORKFLOW_RISK", "WF-002", "workflow", "MALICIOUS", "CRITICAL", "high", 85, r"permissions:\s*(write-all|\|)"),
+    Rule("WORKFLOW_RISK", "WF-003", "workflow", "MALICIOUS", "HIGH", "high", 70, r"^\s*contents:\s*write"),
+    Rule("WORKFLOW_RISK", "WF-004", "workflow", "MALICIOUS", "CRITICAL", "high", 85, r"\.github/workflows/|>\s*/\S+\.ya?ml"),
+    Rule("WORKFLOW_RISK", "WF-005", "workflow", "MALICIOUS", "CRITICAL", "high", 85, r"^[^#]*\b(curl|wget)\b[^|#]*\|"),
+    Rule("WORKFLOW_RISK", "WF-005B", "workflow", "MALICIOUS", "CRITICAL", "high", 85, r"\b(curl|wget)\b.*(&&|;)\s*(bash|sh|python|node)\b"),
+    Rule("WORKFLOW_RISK", "WF-005C", "workflow", "MALICIOUS", "CRITICAL", "high", 85, r"(?i)\b(iwr|Invoke-WebRequest)\b[^|]*\|"),
+    Rule("WORKFLOW_RISK", "WF-005D", "workflow", "MALICIOUS", "CRITICAL", "high", 85, r"(?i)\b(iwr|Invoke-WebRequest)\b.*(&&|;)\s*(iex|powershell|cmd)\b"),
+    Rule("WORKFLOW_RISK", "WF-006", "workflow", "VULNERABILITY", "HIGH", "high", 65, r"(?i)persist-credentials:\s*(true|yes|on)\b"),
+    Rule("WORKFLOW_RISK", "WF-007", "workflow", "SUSPICIOUS", "MEDIUM", "high", 40, r"\b(issue_comment|pull_request_review_comment)\b"),
+    Rule("AGENT_RISK", "AS-001", "agent", "MALICIOUS", "CRITICAL", "high", 90, r"(?i)\b(bypass|disable|circumvent)\b.{0,30}\b(scanner|guard|monitor|security tool)\b"),
+    Rule("AGENT_RISK", "AS-002", "agent", "MALICIOUS", "HIGH", "high", 70, r"(?i)\b(write|create|delete)\b.{0,20}\b(any|all|arbitrary)\b.{0,10}\bfiles?\b"),
+    Rule("AGENT_RISK", "AS-003", "agent", "MALICIOUS", "CRITICAL", "high", 90, r"(?i)\brun any command\b|\bwithout (validation|confirmation)\b|\bauto-?approve\b"),
+    Rule("AGENT_RISK", "AS-004", "agent", "MALICIOUS", "HIGH", "high", 70, r"(?i)\b(commit|push|merge)\b.{0,20}\bwithout (review|approval)\b"),
+    Rule("AGENT_RISK", "AS-005", "agent", "MALICIOUS", "CRITICAL", "high", 90, r"(?i)\brun as (root|admin\w*)\b|\bsudo\b|\belevated (access|privileges)\b"),
+    Rule("AGENT_RISK", "AS-006", "agent", "MALICIOUS", "HIGH", "high", 70, r"(?i)\b(skip|bypass)\b.{0,15}\b(ci|review|checks)\b"),
+    Rule("AGENT_RISK", "AS-007", "agent", "VULNERABILITY", "HIGH", "high", 70, r"(?i)\bmcp\b.{0,40}\b(filesystem|write|exec|shell)\b"),
+    Rule("AGENT_RISK", "AS-008", "agent", "MALICIOUS", "CRITICAL", "high", 90, r"(?i)\b(ignore|override|disable|relax)\b.{0,20}\bsecurity (policy|policies|rules)\b"),
+    Rule("SUBMODULE_POINTER", "DIFF-SUBMODULE", "supply-chain", "VULNERABILITY", "HIGH", "high", 65, r"^[+-]?Subproject commit [0-9a-f]{40}"),
+    Rule("SUBMODULE_POINTER", "DIFF-SUBMODULE-2", "supply-chain", "VULNERABILITY", "HIGH", "high", 65, r"^Submodule \S+ (updated|[0-9a-f]{7,}\.\.)"),
+]
+
+# Rules by programming language.
+LANGUAGE_RULES = {
+    "python": [
+        Rule("PY", "PY-EVAL", "malware", "MALICIOUS", "CRITICAL", "high", 80, r"\b(eval|exec)\s*\("),
+        Rule("PY", "PY-SUBPROCESS", "malware", "SUSPICIOUS", "HIGH", "high", 60, r"\bsubprocess\.\w+\s*\(|os\.system\s*\("),
+        Rule("PY", "PY-PICKLE", "malware", "SUSPICIOUS", "HIGH", "high", 55, r"\bpickle\.loads?\s*\("),
+        Rule("PY", "PY-REQUEST", "malware", "NEUTRAL", "MEDIUM", "high", 30, r"\brequests\.(get|post)\s*\(|urllib"),
+        Rule("PY", "PY-BASE64-EXEC", "malware", "MALICIOUS", "CRITICAL", "high", 85, r"exec\s*\(.*b64decode"),
+        Rule("PY", "PY-IMPORT-FROM", "malware", "NEUTRAL", "MEDIUM", "high", 25, r"__import__\s*\("),
+    ],
+    "go": [
+        Rule("GO", "GO-EXEC", "malware", "SUSPICIOUS", "HIGH", "high", 60, r"exec\.Command\s*\("),
+        Rule("GO", "GO-OS-EXEC", "malware", "SUSPICIOUS", "HIGH", "high", 55, r"\"os/exec\"|syscall\.Exec"),
+        Rule("GO", "GO-NET", "malware", "NEUTRAL", "MEDIUM", "high", 30, r"http\.(Get|Post)\s*\(|net\.Dial"),
+        Rule("GO", "GO-BASE64-DECODE", "malware", "MALICIOUS", "HIGH", "high", 85, r"base64\.\w+\.DecodeString"),
+        Rule("GO", "GO-UNSAFE", "malware", "SUSPICIOUS", "MEDIUM", "high", 35, r"unsafe\.Pointer"),
+    ],
+    "rust": [
+        Rule("RS", "RS-COMMAND", "malware", "SUSPICIOUS", "HIGH", "high", 60, r"Command::new\s*\("),
+        Rule("RS", "RS-PROCESS", "malware", "SUSPICIOUS", "HIGH", "high", 55, r"std::process"),
+        Rule("RS", "RS-NET", "malware", "NEUTRAL", "MEDIUM", "high", 30, r"reqwest|TcpStream::connect"),
+        Rule("RS", "RS-UNSAFE", "malware", "SUSPICIOUS", "MEDIUM", "high", 40, r"\bunsafe\s*\{"),
+        Rule("RS", "RS-BASE64-EXEC", "malware", "MALICIOUS", "HIGH", "high", 85, r"base64::decode"),
+    ],
+}
+
+# Token kinds by provider prefix with their base score, in order of the test.
+TOKEN_KINDS = [
+    ("github_pat", r"^github_pat_", 90),
+    ("github", r"^gh[pousr]_", 85),
+    ("aws", r"^AKIA", 90),
+    ("stripe_live", r"^[sr]k_live_", 95),
+    ("slack", r"^xox[abp]-", 80),
+    ("sendgrid", r"^SG\.", 80),
+    ("npm", r"^npm_", 85),
+    ("jwt", r"^eyJ[A-Za-z0-9_-]+\.", 45),
+    ("generic", r"^.{16,}$", 40),
+]
+
+# Multipliers of the agency score by category; others count 1.0.
+CATEGORY_WEIGHT = {
+    "obfuscation": 1.3,
+    "malware": 1.5,
+    "ci-cd": 1.2,
+    "ci-supply-chain": 1.2,
+    "secrets": 1.0,
+    "supply-chain": 1.4,
+    "injection": 1.2,
+    "misconfig": 1.0,
+    "ci-evasion": 1.3,
+    "agent": 1.3,
+    "workflow": 1.2,
+    "token": 1.1,
+    "generic": 1.0,
+}
+
+SEVERITY_RANK = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1, "INFO": 0}
