@@ -5,10 +5,13 @@ keeps the smallest hash. An empty bin borrows from the first filled bin in a fix
 of its own, the optimal densification, so two sets agree in any bin with a chance equal to
 their similarity. Bands of bins become bucket keys; inside a bucket every member is paired with
 one centre, so a bucket of m documents gives m - 1 candidates. Candidates are confirmed on
-whole shingle sets. Where members of one bucket are still in different components, those that
-an exact bound rules out are set aside (too many of their shingles are theirs alone), and the
-rest become centres in turn, in growing numbers, until each such pair has been compared: no
-link between two members of a bucket is lost, and no bucket is capped.
+whole shingle sets.
+
+Where members of one bucket are still in different components, every pair of them is settled in
+one of two exact ways. Pairs that share a rare shingle are confirmed. Any other pair can only
+share common shingles, and where both have enough of those, the members become centres in turn,
+in growing numbers, until each such pair has been confirmed or ruled out. So no link between two
+members of a bucket is lost, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from .words import Block, blocks, mix, signed
 BANDS, ROWS = 40, 4
 SHINGLE_WORDS = 5
 PERCENT = 75
+#: Documents, of those in open buckets, that have a rare shingle at most.
+RARE = 8
 
 
 def shingle_sets(block: Block, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -152,28 +157,48 @@ def confirmed(documents: DataFrame, pairs: DataFrame, percent: int = PERCENT) ->
 
 
 def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, doc_id, component) of the buckets whose members are in more than one component."""
+    """members with component, of the buckets whose members are in more than one component."""
+    members = members.drop("component")
     labelled = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*members.columns, F.coalesce("component", "doc_id").alias("component"))
     split = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     return labelled.join(split, "key")
 
 
-def able(documents: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The members that can still have a link in their bucket, by an exact bound.
+def by_rare_shingles(documents: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): members of different components that share a rare shingle; (doc_id, n, common): set sizes.
 
-    Of n shingles, those that no other open document has cannot be shared. A link with a set of
-    m needs percent * (n + m) / (100 + percent) shared ones, and m is at least the smallest size
-    in the bucket and percent of n.
+    A shingle is rare if at most RARE open documents have it, so its pairs are few. `common`
+    counts a document's other shingles: two documents without a rare one in common share at most
+    the smaller of their `common`.
+    """
+    docs = members.select("doc_id", "component").distinct()
+    sets = settle(whole_sets(documents.join(docs, "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(docs, "doc_id"))
+    tokens = sets.select("doc_id", "component", F.explode("shingles").alias("shingle"))
+    rare = tokens.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("many") <= RARE)
+    light = tokens.join(rare, "shingle")
+    counts = light.groupBy("doc_id").agg(F.count("*").alias("rare"))
+    sizes = sets.select("doc_id", F.size("shingles").alias("n")).join(counts, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common"))
+    mixed = light.where("low < high").groupBy("shingle").agg(F.collect_list(F.struct("doc_id", "component")).alias("docs"))  # RARE at most
+    pairs = F.expr("flatten(transform(docs, x -> transform(filter(docs, y -> y.doc_id > x.doc_id and y.component <> x.component), y -> struct(x.doc_id as a, y.doc_id as b))))")
+    return settle(mixed.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()), settle(sizes)
+
+
+def by_centres(members: DataFrame, found: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Open members that may still have a link in their bucket, with their turn as a centre.
+
+    By common shingles alone, a set of n links with one of m only if both have percent * (n + m)
+    / (100 + percent) of them. Members of a bucket's smaller components take the first turns; when
+    only one component is left without a turn, the bucket needs no further centre.
     """
-    docs = members.select("doc_id").distinct()
-    sets = settle(whole_sets(documents.join(docs, "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-    owned = sets.select("doc_id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("many")).where("many = 1")
-    own = owned.groupBy("doc_id").agg(F.count("*").alias("own"))
-    sizes = sets.select("doc_id", F.size("shingles").alias("n")).join(own, "doc_id", "left").select("doc_id", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    rows = members.join(sizes, "doc_id")
+    rows = open_buckets(members.join(sizes, "doc_id"), found)
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
-    bound = f"(100 + {percent}) * (n - own) >= {percent} * (n + greatest(ceil({percent} * n / 100), least))"
-    return rows.join(least, "key").where(bound).select("key", "doc_id")
+    able = rows.join(least, "key").where(f"(100 + {percent}) * common >= {percent} * (n + greatest(ceil({percent} * n / 100), least))").drop("least")
+    able = open_buckets(able, found)
+    sizes_in = able.groupBy("key", "component").agg(F.count("*").alias("of"))
+    total = sizes_in.groupBy("key").agg((F.sum("of") - F.max("of")).alias("turns"))
+    ranked = able.join(sizes_in, ["key", "component"]).join(total, "key")
+    order = Window.partitionBy("key").orderBy("of", "component", "doc_id")
+    return settle(ranked.withColumn("turn", F.row_number().over(order)).select("key", "doc_id", "n", "common", "turn", "turns"))
 
 
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
@@ -195,25 +220,25 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     links = confirmed(documents, members.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), percent)
     found = components(links)
 
-    left = settle(open_buckets(members.select("key", "doc_id"), found).select("key", "doc_id"))
-    if not left.isEmpty():
-        left = settle(able(documents, left, percent))
-    done, more = 0, 4
-    while True:
-        left = settle(open_buckets(left.select("key", "doc_id"), found))
-        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id")))
-        hubs = ranked.where((F.col("rank") > done) & (F.col("rank") <= done + more)).select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"))
-        pairs = settle(left.join(hubs, "key").where("doc_id > a and component <> of_a").select("a", F.col("doc_id").alias("b")).distinct())
-        if pairs.isEmpty():
-            # the centres of this round have no one left to meet; no later one can, if all ranks are used
-            if left.groupBy("key").count().where(F.col("count") > done + more + 1).isEmpty():
-                break
-        else:
-            new = confirmed(documents, pairs, percent)
-            if not new.isEmpty():
+    open_members = settle(open_buckets(members.select("key", "doc_id"), found))
+    if not open_members.isEmpty():
+        pairs, sizes = by_rare_shingles(documents, open_members)
+        links = settle(links.union(confirmed(documents, pairs, percent)))
+        found = components(links)
+        ranked = by_centres(open_members.select("key", "doc_id"), found, sizes, percent)
+        last = ranked.agg(F.max("turns")).first()[0] or 0
+        done, more = 0, 8
+        while done < last:
+            rows = ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            hubs = rows.where((F.col("turn") > done) & (F.col("turn") <= done + more) & (F.col("turn") <= F.col("turns")))
+            hubs = hubs.select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("turn").alias("turn_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
+            meets = f"turn > turn_a and component <> of_a and (100 + {percent}) * least(common, common_a) >= {percent} * (n + n_a) and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
+            pairs = settle(rows.join(hubs, "key").where(meets).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
+            new = settle(confirmed(documents, pairs, percent)) if not pairs.isEmpty() else None
+            if new is not None and not new.isEmpty():
                 links = settle(links.union(new))
                 found = components(links)
-        done, more = done + more, 2 * more
+            done, more = done + more, 2 * more
 
     by_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*digest, F.coalesce("component", "class_id").alias("component"))
     return signed_docs.join(by_class, digest, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
