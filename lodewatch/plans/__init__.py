@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import scan
+from . import builds, scan, sessions
 
-MODULES = [scan]
+MODULES = [scan, sessions, builds]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 
