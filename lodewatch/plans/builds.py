@@ -74,7 +74,7 @@ TYPICAL_SQL = f"SELECT key, tool, round(n / records::DOUBLE, 6) AS share FROM (S
 
 def trend_slope_ewma_cusum(spark, sf_dir):
     t = trends.trend(records(spark, sf_dir), "key", ["ts", "build"], "price")
-    return t.select("key", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "slope", "ewma")], F.round("cusum", 6).alias("cusum"), "level")
+    return t.select("key", "n", *[F.round(F.col(c) + 1e-8, 6).alias(c) for c in ("mean", "std", "slope", "ewma")], F.round("cusum", 6).alias("cusum"), "level")
 
 
 TREND = f"""(WITH r AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY key) AS n, avg(price) OVER (PARTITION BY key) AS mean, stddev_samp(price) OVER (PARTITION BY key) AS std FROM {RECORDS} WINDOW w AS (PARTITION BY key ORDER BY ts, build)),
@@ -396,7 +396,7 @@ ORACLE_SQL = {
     "normality_zscores": NORMAL_SQL,
     "baseline_deviation": DEVIATION_SQL,
     "typical_tools": TYPICAL_SQL,
-    "trend_slope_ewma_cusum": f"SELECT key, n, round(mean, 6) AS mean, round(std, 6) AS std, round(slope, 6) AS slope, round(ewma, 6) AS ewma, round(cusum, 6) AS cusum, level FROM {TREND}",
+    "trend_slope_ewma_cusum": f"SELECT key, n, round(mean + 1e-8::DOUBLE, 6) AS mean, round(std + 1e-8::DOUBLE, 6) AS std, round(slope + 1e-8::DOUBLE, 6) AS slope, round(ewma + 1e-8::DOUBLE, 6) AS ewma, round(cusum, 6) AS cusum, level FROM {TREND}",
     "trend_overall": OVERALL_SQL,
     "snapshot_direction": DIRECTION_SQL,
     "trust_dimensions": TRUST_SQL,
