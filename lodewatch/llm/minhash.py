@@ -34,6 +34,10 @@ SHINGLE_WORDS = 5
 PERCENT = 75
 #: Documents, of those in open buckets, that have a rare shingle at most.
 RARE = 8
+#: Centres that a bucket takes in its first round of turns; later rounds take four times as many.
+CENTRES = 128
+#: Sets below this size are compared whole without a look at their sketches.
+SMALL = 100
 
 
 def shingle_sets(block: Block, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +79,8 @@ def donors(bins: int) -> np.ndarray:
     return _donors[bins]
 
 
-def band_keys(grams: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """A key for each band of each set; sets must not be empty."""
+def band_keys(grams: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each band of each set, and a sketch of four bits a bin, 16 bins a long; sets must not be empty."""
     bins, n = bands * rows, len(offsets) - 1
     owner = np.repeat(np.arange(n), np.diff(offsets))
     mixed = mix(grams)
@@ -96,32 +100,35 @@ def band_keys(grams: np.ndarray, offsets: np.ndarray, bands: int, rows: int) ->
     keys = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), (n, bands)).copy()
     for j in range(rows):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + slots[:, j::rows])
-    return keys
+    bits = np.zeros((n, -(-bins // 16) * 16), np.uint64)
+    bits[:, :bins] = slots & np.uint64(15)
+    shifts = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return keys, np.bitwise_or.reduce(bits.reshape(n, -1, 16) << shifts, axis=2)
 
 
-SIGNATURE = "doc_id long, n_shingles long, digest_a long, digest_b long, keys array<long>"
+SIGNATURE = "doc_id long, n_shingles long, digest_a long, digest_b long, keys array<long>, sketch array<long>"
 
 
 def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The set size, a digest of the whole set and the band keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()), ("keys", pa.list_(pa.int64()))])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest_a", pa.int64()), ("digest_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
         for batch in batches:
             for block in blocks(batch.column("text")):
                 grams, offsets = shingle_sets(block)
                 sizes = np.diff(offsets)
                 some = np.flatnonzero(sizes)
                 a, b = np.zeros(len(block), np.uint64), np.zeros(len(block), np.uint64)
-                keys = np.empty((0, bands), np.uint64)
+                keys, sketch, longs = np.empty((0, bands), np.uint64), np.empty((0, 0), np.uint64), -(-bands * rows // 16)
                 if len(some):
                     starts = offsets[:-1][some]
                     a[some] = np.add.reduceat(mix(grams ^ np.uint64(0x5851F42D4C957F2D)), starts)
                     b[some] = np.add.reduceat(mix(grams + np.uint64(0x14057B7EF767814F)), starts)
-                    keys = band_keys(grams, np.append(starts, offsets[-1]), bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((sizes > 0) * bands)), pa.int32()), pa.array(signed(keys.ravel())))
+                    keys, sketch = band_keys(grams, np.append(starts, offsets[-1]), bands, rows)
+                lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((sizes > 0) * wide)), pa.int32()), pa.array(signed(x.ravel()))) for x, wide in ((keys, bands), (sketch, longs))]
                 ids = batch.column("doc_id").take(pa.array(block.rows))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), *lists], schema=schema)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
 
@@ -139,12 +146,34 @@ def whole_sets(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def confirmed(documents: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def likely(pairs: DataFrame, signed_docs: DataFrame, percent: int, bins: int) -> DataFrame:
+    """The distinct pairs (a, b) whose sizes and sketches leave room for a link.
+
+    Two sets at the limit differ in a bin of the sketch with a chance of 15/16 of what they lack;
+    a pair goes only if it differs in so many bins more that a link would do so with a chance of
+    under 1e-8. Sketches of small sets say less, so a pair with one of them stays.
+    """
+    spread = (percent / 100 * (1 - percent / 100) / bins) ** 0.5
+    most = int(bins * 15 / 16 * (1 - percent / 100 + 5.7 * spread)) + 1
+    docs = signed_docs.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    side = lambda x: docs.select(*[F.col(c).alias(x if c == "doc_id" else f"{c}_{x}") for c in docs.columns])
+    joined = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")
+    differs = F.lit(0)
+    for i in range(-(-bins // 16)):
+        x = F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        differs = differs + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    close = (differs <= most) | (F.least("n_a", "n_b") < SMALL)
+    return joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(close).select("a", "b").distinct()
+
+
+def confirmed(documents: DataFrame, signed_docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, bins: int = BANDS * ROWS) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union, as a written table.
 
-    Only documents that stand in a pair are shingled again; no set travels for any other.
+    Only documents that stand in a likely pair are shingled again; no set travels for any other.
     """
-    pairs = settle(pairs.select("a", "b").distinct())
+    pairs = settle(likely(pairs, signed_docs, percent, bins))
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = whole_sets(documents.join(wanted, "doc_id", "left_semi"))
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -217,28 +246,34 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     members = reps.select(F.explode("keys").alias("key"), "doc_id")
     centres = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("many")).where("many > 1").select("key", "centre")
     members = settle(members.join(centres, "key"))
-    links = confirmed(documents, members.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")), percent)
-    found = components(links)
 
+    def linked(pairs: DataFrame) -> DataFrame:
+        return confirmed(documents, signed_docs, pairs, percent, bands * rows)
+
+    links = linked(members.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
+    found = components(links)
     open_members = settle(open_buckets(members.select("key", "doc_id"), found))
     if not open_members.isEmpty():
-        pairs, sizes = by_rare_shingles(documents, open_members)
-        links = settle(links.union(confirmed(documents, pairs, percent)))
+        rare, sizes = by_rare_shingles(documents, open_members)
+        # the member with the largest share of common shingles is the likeliest to be near the others
+        rows_ = open_members.join(sizes, "doc_id")
+        best = rows_.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("common") / F.col("n"), -F.col("doc_id"))).alias("best"))
+        hubs = rows_.join(best, "key").where("doc_id <> best").select(F.least("best", "doc_id").alias("a"), F.greatest("best", "doc_id").alias("b"))
+        links = settle(links.union(linked(rare.union(hubs))))
         found = components(links)
         ranked = by_centres(open_members.select("key", "doc_id"), found, sizes, percent)
         last = ranked.agg(F.max("turns")).first()[0] or 0
-        done, more = 0, 8
+        done, more = 0, CENTRES
         while done < last:
-            rows = ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            hubs = rows.where((F.col("turn") > done) & (F.col("turn") <= done + more) & (F.col("turn") <= F.col("turns")))
+            labelled = ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+            hubs = labelled.where((F.col("turn") > done) & (F.col("turn") <= done + more) & (F.col("turn") <= F.col("turns")))
             hubs = hubs.select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("turn").alias("turn_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
             meets = f"turn > turn_a and component <> of_a and (100 + {percent}) * least(common, common_a) >= {percent} * (n + n_a) and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
-            pairs = settle(rows.join(hubs, "key").where(meets).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct())
-            new = settle(confirmed(documents, pairs, percent)) if not pairs.isEmpty() else None
-            if new is not None and not new.isEmpty():
+            new = linked(labelled.join(hubs, "key").where(meets).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")))
+            if not new.isEmpty():
                 links = settle(links.union(new))
                 found = components(links)
-            done, more = done + more, 2 * more
+            done, more = done + more, 4 * more
 
     by_class = classes.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(*digest, F.coalesce("component", "class_id").alias("component"))
     return signed_docs.join(by_class, digest, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.expr("doc_id = component_id"))
