@@ -38,6 +38,8 @@ RARE = 8
 CENTRES = 128
 #: Sets below this size are compared whole without a look at their sketches.
 SMALL = 100
+#: Ids (8 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 
 def shingle_sets(block: Block, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +135,12 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE)
 
 
+def only(rows: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows whose doc_id is among the ids; long rows stay where they are while the ids are few."""
+    ids = settle(ids.distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
+
+
 def whole_sets(documents: DataFrame) -> DataFrame:
     """(doc_id, shingles): the sorted set of each document."""
 
@@ -168,14 +176,13 @@ def likely(pairs: DataFrame, signed_docs: DataFrame, percent: int, bins: int) ->
     return joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").where(close).select("a", "b").distinct()
 
 
-def confirmed(documents: DataFrame, signed_docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, bins: int = BANDS * ROWS) -> DataFrame:
+def confirmed(sets: DataFrame, signed_docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, bins: int = BANDS * ROWS) -> DataFrame:
     """The pairs (a, b) whose whole sets have 100 * intersection >= percent * union, as a written table.
 
-    Only documents that stand in a likely pair are shingled again; no set travels for any other.
+    Only sets of documents that stand in a likely pair travel.
     """
     pairs = settle(likely(pairs, signed_docs, percent, bins))
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = whole_sets(documents.join(wanted, "doc_id", "left_semi"))
+    sets = only(sets, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return settle(
         pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("shingles_b")), "b")
@@ -193,7 +200,7 @@ def open_buckets(members: DataFrame, found: DataFrame) -> DataFrame:
     return labelled.join(split, "key")
 
 
-def by_rare_shingles(documents: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def by_rare_shingles(sets: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b): members of different components that share a rare shingle; (doc_id, n, common): set sizes.
 
     A shingle is rare if at most RARE open documents have it, so its pairs are few. `common`
@@ -201,7 +208,7 @@ def by_rare_shingles(documents: DataFrame, members: DataFrame) -> tuple[DataFram
     the smaller of their `common`.
     """
     docs = members.select("doc_id", "component").distinct()
-    sets = settle(whole_sets(documents.join(docs, "doc_id", "left_semi")).dropDuplicates(["doc_id"]).join(docs, "doc_id"))
+    sets = settle(only(sets, docs.select("doc_id")).dropDuplicates(["doc_id"]).join(docs, "doc_id"))
     tokens = sets.select("doc_id", "component", F.explode("shingles").alias("shingle"))
     rare = tokens.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("low"), F.max("component").alias("high")).where(F.col("many") <= RARE)
     light = tokens.join(rare, "shingle")
@@ -217,7 +224,8 @@ def by_centres(members: DataFrame, found: DataFrame, sizes: DataFrame, percent:
 
     By common shingles alone, a set of n links with one of m only if both have percent * (n + m)
     / (100 + percent) of them. Members of a bucket's smaller components take the first turns; when
-    only one component is left without a turn, the bucket needs no further centre.
+    only one component is left without a turn, the bucket needs no further centre. `keys` has all
+    of a member's buckets here, so that a pair can be left to the first bucket that both share.
     """
     rows = open_buckets(members.join(sizes, "doc_id"), found)
     least = rows.groupBy("key").agg(F.min("n").alias("least"))
@@ -227,7 +235,8 @@ def by_centres(members: DataFrame, found: DataFrame, sizes: DataFrame, percent:
     total = sizes_in.groupBy("key").agg((F.sum("of") - F.max("of")).alias("turns"))
     ranked = able.join(sizes_in, ["key", "component"]).join(total, "key")
     order = Window.partitionBy("key").orderBy("of", "component", "doc_id")
-    return settle(ranked.withColumn("turn", F.row_number().over(order)).select("key", "doc_id", "n", "common", "turn", "turns"))
+    keys = able.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # one a band at most
+    return settle(ranked.withColumn("turn", F.row_number().over(order)).join(keys, "doc_id").select("key", "doc_id", "n", "common", "turn", "turns", "keys"))
 
 
 def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
@@ -246,15 +255,16 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
     members = reps.select(F.explode("keys").alias("key"), "doc_id")
     centres = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("many")).where("many > 1").select("key", "centre")
     members = settle(members.join(centres, "key"))
+    sets = settle(whole_sets(only(documents, members.select("doc_id"))))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return confirmed(documents, signed_docs, pairs, percent, bands * rows)
+        return confirmed(sets, signed_docs, pairs, percent, bands * rows)
 
     links = linked(members.where("doc_id > centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")))
     found = components(links)
     open_members = settle(open_buckets(members.select("key", "doc_id"), found))
     if not open_members.isEmpty():
-        rare, sizes = by_rare_shingles(documents, open_members)
+        rare, sizes = by_rare_shingles(sets, open_members)
         # the member with the largest share of common shingles is the likeliest to be near the others
         rows_ = open_members.join(sizes, "doc_id")
         best = rows_.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("common") / F.col("n"), -F.col("doc_id"))).alias("best"))
@@ -267,8 +277,8 @@ def near_duplicates(documents: DataFrame, bands: int = BANDS, rows: int = ROWS,
         while done < last:
             labelled = ranked.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
             hubs = labelled.where((F.col("turn") > done) & (F.col("turn") <= done + more) & (F.col("turn") <= F.col("turns")))
-            hubs = hubs.select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("turn").alias("turn_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"))
-            meets = f"turn > turn_a and component <> of_a and (100 + {percent}) * least(common, common_a) >= {percent} * (n + n_a) and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
+            hubs = hubs.select("key", F.col("doc_id").alias("a"), F.col("component").alias("of_a"), F.col("turn").alias("turn_a"), F.col("n").alias("n_a"), F.col("common").alias("common_a"), F.col("keys").alias("keys_a"))
+            meets = f"turn > turn_a and array_min(array_intersect(keys, keys_a)) = key and component <> of_a and (100 + {percent}) * least(common, common_a) >= {percent} * (n + n_a) and 100 * least(n, n_a) >= {percent} * greatest(n, n_a)"
             new = linked(labelled.join(hubs, "key").where(meets).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")))
             if not new.isEmpty():
                 links = settle(links.union(new))
