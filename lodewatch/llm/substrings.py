@@ -10,7 +10,7 @@ meet by anchor. All but the first of equal stretches are repeats as a whole; a s
 anchor stands in no other stretch is new as a whole; only what is left, the first of several
 unlike stretches around one anchor, is compared window by window. Repeats inside one batch of
 rows are settled there, so a passage that a third of all documents share sends one row a batch
-to its anchor. No group is collected: firsts are grouped minima.
+to its anchor, and a window function finds the first of equal rows in one shuffle.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import settle, table
 from .words import Block, Words, blocks, mix, run_sums, signed
@@ -104,6 +105,7 @@ def stretch_rows(documents: DataFrame, size: int, gram: int) -> DataFrame:
                 continue
             anchors, content, owner, starts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             repeat = ~firsts(owner, starts, anchors, content)
+            anchors[repeat], content[repeat] = 0, np.flatnonzero(repeat)  # a repeat is settled; small numbers spread it
             yield pa.RecordBatch.from_arrays([pa.array(signed(anchors)), pa.array(signed(content)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(repeat)], schema=schema)
 
     return documents.mapInArrow(run, STRETCH)
@@ -149,23 +151,21 @@ def window_rows(documents: DataFrame, size: int) -> DataFrame:
 def repeats(documents: DataFrame, size: int = WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, start, windows): runs of windows that start earlier elsewhere."""
     documents = documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
-    rows = settle(stretch_rows(documents, size, gram))
-    open_rows = rows.where("not repeat")
-    place = F.struct("doc_id", "start").alias("place")
-    first = open_rows.groupBy("anchor", "content").agg(F.min(place).alias("place"), F.first("windows").alias("windows"), F.count("*").alias("many"))
-    first = settle(first)
-    several = first.where("many > 1").select("anchor", "content", F.col("place").alias("first_place"))
-    later = open_rows.join(several, ["anchor", "content"]).where(place > F.col("first_place")).select("doc_id", "start", "windows")
+    place = F.struct("doc_id", "start")
+    earliest = lambda *keys: F.min(place).over(Window.partitionBy(*keys))
+    # One shuffle tells first stretches from later ones. Rows found to be repeats have keys of their
+    # own, so an equal stretch has one row a batch at most and groups stay small.
+    rows = stretch_rows(documents, size, gram).withColumn("again", F.col("repeat") | (place > earliest("anchor", "content")))
+    rows = settle(rows.select(F.when(~F.col("again"), F.col("anchor")).alias("anchor"), "doc_id", "start", "windows", "again"))
+    first = rows.where("not again")
+    later = rows.where("again").select("doc_id", "start", "windows")
     crowded = first.groupBy("anchor").agg(F.count("*").alias("unlike")).where("unlike > 1").select("anchor")
-    unsure = first.join(crowded, "anchor").select("place.doc_id", F.struct("place.start", "windows").alias("stretch")).groupBy("doc_id").agg(F.collect_list("stretch").alias("open"))
+    unsure = first.join(crowded, "anchor").select("doc_id", F.struct("start", "windows").alias("stretch")).groupBy("doc_id").agg(F.collect_list("stretch").alias("open"))
     windows = settle(window_rows(documents.join(unsure, "doc_id"), size))
-    open_windows = windows.where("not repeat")
-    first_window = open_windows.groupBy("window").agg(F.min(place).alias("first_place"), F.count("*").alias("many")).where("many > 1").drop("many")
-    later_windows = open_windows.join(first_window, "window").where(place > F.col("first_place"))
+    later_windows = windows.where("not repeat").withColumn("first_place", earliest("window")).where(place > F.col("first_place"))
     one = F.lit(1).alias("windows")
     return (
-        rows.where("repeat").select("doc_id", "start", "windows")
-        .unionByName(later)
+        later
         .unionByName(windows.where("repeat").select("doc_id", "start", one))
         .unionByName(later_windows.select("doc_id", "start", one))
     )
