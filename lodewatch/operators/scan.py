@@ -6,6 +6,7 @@ tested inside one projection of each line; no text meets the rules by a join.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,8 @@ from ..functions.numbers import bounded, half_up
 from ..functions.text import basename
 from .rules import CATEGORY_WEIGHT, SEVERITY_RANK, TOKEN_KINDS, Rule
 
-LINE_CHARS = 10_000
+#: A pattern that begins with a repeated character class.
+REPEATED_START = re.compile(r"^(\[(?:\\.|[^\[\]\\])+\])\+(?![+?])")
 
 
 def lookup(key: Column, values: dict, default) -> Column:
@@ -28,9 +30,17 @@ def severity_rank(severity: Column) -> Column:
 
 
 def lines(df: DataFrame, text: str, *keys: str) -> DataFrame:
-    """keys, line (from 1), content: the text split at \\n, each line cut at LINE_CHARS characters."""
+    """keys, line (from 1), content: the text split at \\n, each line whole."""
     split = df.select(*keys, F.posexplode(F.split(F.col(text), "\n")).alias("line", "content"))
-    return split.select(*keys, (F.col("line") + 1).alias("line"), F.substring("content", 1, LINE_CHARS).alias("content"))
+    return split.select(*keys, (F.col("line") + 1).alias("line"), "content")
+
+
+def tested(pattern: str) -> str:
+    """A pattern that is met by the same lines, without the first class's repetition.
+
+    Where `x+y` is met, `xy` is too, from the last x on; a long run of x then costs no square time.
+    """
+    return REPEATED_START.sub(r"\1", pattern)
 
 
 def match(rows: DataFrame, rules: Sequence[Rule], content: str = "content") -> DataFrame:
@@ -38,7 +48,7 @@ def match(rows: DataFrame, rules: Sequence[Rule], content: str = "content") -> D
     hits = F.array(
         *[
             F.when(
-                F.col(content).rlike(r.pattern),
+                F.col(content).rlike(tested(r.pattern)),
                 F.struct(
                     F.lit(r.kind).alias("type"), F.lit(r.subcode).alias("subcode"), F.lit(r.category).alias("category"), F.lit(r.intent).alias("intent"),
                     F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.score).alias("risk_score"),
@@ -64,7 +74,7 @@ def patch_lines(df: DataFrame, patch: str, *keys: str) -> DataFrame:
     moves = (~F.col("content").startswith("-")) & (~F.col("content").startswith("@@"))
     raw = raw.withColumn("line", F.col("start") - 1 + F.sum(F.when(moves, 1).otherwise(0)).over(Window.partitionBy(*keys, "hunk").orderBy("pos")))
     added = F.col("content").startswith("+") & ~F.col("content").startswith("+++")
-    return raw.where(added & (F.col("hunk") > 0)).select(*keys, F.col("line").cast("int").alias("line"), F.trim(F.substring("content", 2, LINE_CHARS)).alias("content"))
+    return raw.where(added & (F.col("hunk") > 0)).select(*keys, F.col("line").cast("int").alias("line"), F.trim(F.substr("content", F.lit(2))).alias("content"))
 
 
 def file_name_findings(df: DataFrame, path: str) -> DataFrame:
