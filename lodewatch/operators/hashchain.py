@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 GENESIS = "0" * 64
@@ -18,21 +21,31 @@ def _link(index, fields, previous):
 def build(rows: DataFrame, by: str, order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Adds idx, previous_hash and hash along each key.
 
-    A chain is sequential by nature: a key's rows are folded in one expression, keys in parallel.
+    A chain is sequential by nature: keys run in parallel, and a key's sorted rows stream through
+    one task that keeps only the last index and hash, so a key may have any number of rows.
     """
-    ordered = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in (by, *order)]))).alias("rows"))
-    empty = F.array().cast("array<struct<idx:int,previous_hash:string,hash:string>>")
-    folded = F.aggregate(
-        "rows",
-        F.struct(F.lit(0).alias("idx"), F.lit(GENESIS).alias("hash"), empty.alias("links")),
-        lambda acc, r: F.struct(
-            (acc["idx"] + 1).alias("idx"),
-            _link(acc["idx"], [r[f] for f in fields], acc["hash"]).alias("hash"),
-            F.array_append(acc["links"], F.struct(acc["idx"].alias("idx"), acc["hash"].alias("previous_hash"), _link(acc["idx"], [r[f] for f in fields], acc["hash"]).alias("hash"))).alias("links"),
-        ),
-        lambda acc: acc["links"],
-    )
-    return ordered.select(by, F.explode(F.arrays_zip("rows", folded.alias("links"))).alias("x")).select(by, "x.rows.*", "x.links.*")
+    columns = [by, *order, *[c for c in rows.columns if c not in (by, *order)]]
+    # what a link hashes between its index and the hash before; as in concat_ws, nulls are left out
+    body = F.concat_ws("|", *[F.col(f).cast("string") for f in fields], F.lit(""))
+    ordered = rows.select(*columns, body.alias("__body")).repartition(by).sortWithinPartitions(*columns)
+    schema = StructType([*rows.select(*columns).schema, StructField("idx", IntegerType()), StructField("previous_hash", StringType()), StructField("hash", StringType())])
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, idx, last = None, 0, GENESIS
+        for batch in batches:
+            indexes, before, hashes = [], [], []
+            for k, text in zip(batch.column(0).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
+                if k != key and (k == k or key == key):  # one NaN continues another
+                    key, idx, last = k, 0, GENESIS
+                indexes.append(idx)
+                before.append(last)
+                last = hashlib.sha256(f"{idx}|{text}{last}".encode()).hexdigest()
+                hashes.append(last)
+                idx += 1
+            links = [pa.array(indexes, pa.int32()), pa.array(before, pa.string()), pa.array(hashes, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *links], names=schema.names)
+
+    return ordered.mapInArrow(linked, schema)
 
 
 def verify(chain: DataFrame, by: str, fields: Sequence[str]) -> DataFrame:
