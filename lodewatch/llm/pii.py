@@ -29,8 +29,14 @@ PATTERNS = {
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 KINDS = list(PATTERNS)
 FOUND = "id"
-CANDIDATE = r"(?<![\p{L}\p{N}_])([\p{L}_]{2,30}+\x20{0,2}[:=#]?\x20{0,2}[\"']?)(?=[^\s]{0,80}[0-9])([A-Za-z0-9+(][^\s\"'<>,;#*$%&|]{5,79}+)"
-SEED_KEY = r"^[0-9a-f]{32,80}$"
+# A value is a whole run of value characters with a digit in it. Where a long run has none, it is
+# skipped but for its end, where the label of a next value may stand: linear time again.
+_PLAIN = r"[^\s\"'<>,;#*$%&|0-9]"
+_LABEL = r"(?<![\p{L}\p{N}_])([\p{L}_]{2,30}+\x20{0,2}[:=#]?\x20{0,2}[\"']?)"
+_VALUE = rf"(?={_PLAIN}*+[0-9])([A-Za-z0-9+(][^\s\"'<>,;#*$%&|]{{5,}}+)"
+_SKIP = rf"(?=[A-Za-z(+]{_PLAIN}{{50}}){_PLAIN}*(?={_PLAIN}{{40}}(?:[\s\"'<>,;#*$%&|]|\z))"
+CANDIDATE = rf"{_LABEL}(?:{_VALUE}|{_SKIP})"
+SEED_KEY = r"^[0-9a-f]{32,}$"
 ROUNDS = 3
 LEAST_SEEDS, LEAST_SCORE, DOUBT = 5, 0.7, 1.0
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -95,12 +101,12 @@ def base_spans(documents: DataFrame) -> DataFrame:
 
     def candidate(m: Column) -> Column:
         value = F.regexp_extract(m["value"], CANDIDATE, 2)
-        value = F.regexp_replace(value, r"[.)!?:-]+$", "")
+        value = F.regexp_replace(value, r"(?<![.)!?:-])[.)!?:-]++$", "")
         label = F.regexp_extract(m["value"], CANDIDATE, 1)
         start = m["start"] + F.length(label)
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.regexp_replace(F.lower(label), r"\x20+", " ").alias("pattern"), F.lower(value).alias("value"))
 
-    return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("base"), F.transform("m_candidate", candidate).alias("candidates"))
+    return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("base"), F.filter(F.transform("m_candidate", candidate), lambda c: c["value"] != "").alias("candidates"))
 
 
 def accepted_patterns(found: DataFrame) -> DataFrame:

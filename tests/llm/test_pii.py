@@ -87,3 +87,26 @@ def test_no_python_in_the_plan_and_empty(spark):
     assert pii.private_spans(docs).count() == 0
     plan = pii.base_spans(docs)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def values_in(spark, texts):
+    found = pii.base_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = {r.doc_id: r.candidates for r in found.collect()}
+    return [[t[c.start : c.end] for c in rows[i]] for i, t in enumerate(texts)]
+
+
+def test_long_identifiers_are_taken_whole(spark):
+    keys = [hashlib.sha512(str(i).encode()).hexdigest() for i in range(8)]
+    late = "x" * 90 + "7"
+    rows = [(i, f'set token = "{key}" now', "en", "s", 0) for i, key in enumerate(keys)] + [(8, f'set token = "{late}" now', "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spans = {r.doc_id: r.found for r in pii.private_spans(docs).select("doc_id", pii.listed(pii.F.col("spans")).alias("found")).collect()}
+    assert [spans[i].split(",")[-1] for i in range(8)] == ["id:13:141"] * 8 and spans[8] == "id:13:104"
+    assert {r.text for r in pii.without_private_data(spark, docs, "").collect()} == {'set token = "<ID>" now'}
+
+
+def test_candidates_have_a_digit_of_their_own_in_linear_time(spark):
+    run = "ab:cd/" * 50_000
+    assert values_in(spark, ['see: token: abc1234', 'name=token="abc123def"', 'token="abcdefgh",1', f"{run}key: abc1234", f'{run}key="abc1234"', f"{run}1", "token=" + "." * 100_000 + "a1", "token=a" + "." * 200_000 + "1.)"]) == [
+        ["abc1234"], ["abc123def"], [], ["abc1234"], ["abc1234"], [run[3:] + "1"], [], ["a" + "." * 200_000 + "1"]
+    ]
