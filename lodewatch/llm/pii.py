@@ -4,9 +4,11 @@ Base spans come from four patterns. Their positions follow from the lengths of w
 the matches and of the matches themselves. Bootstrapping then works on candidates: a token with
 a digit behind a label and a delimiter. The label and delimiter are the lexical pattern, the
 token the instance. Instances that are seeds (a base span, or a long hexadecimal key) have a
-confidence of 1; in each round a pattern's score is the mean confidence of its instances, pulled
-down where it has few, and an instance takes the best score among its patterns. Patterns that
-end above a limit and have enough different seeds mark all their instances, seen or unseen.
+confidence of 1, others the best score of the accepted patterns they stand under, 0 at first. In
+each round an open pattern's score is the mean confidence of its instances, pulled down where it
+has few; those above a limit with enough confident instances are accepted and keep that score.
+An open pattern never raises its own score, since only accepted ones lend confidence. Rounds end
+when none accepts another; accepted patterns mark all their instances, seen or unseen.
 Only narrow rows (no text) are shuffled, and a pattern's scores are summed up where its rows are.
 """
 
@@ -37,7 +39,6 @@ _VALUE = rf"(?={_PLAIN}*+[0-9])([A-Za-z0-9+(][^\s\"'<>,;#*$%&|]{{5,}}+)"
 _SKIP = rf"(?=[A-Za-z(+]{_PLAIN}{{50}}){_PLAIN}*(?={_PLAIN}{{40}}(?:[\s\"'<>,;#*$%&|]|\z))"
 CANDIDATE = rf"{_LABEL}(?:{_VALUE}|{_SKIP})"
 SEED_KEY = r"^[0-9a-f]{32,}$"
-ROUNDS = 3
 LEAST_SEEDS, LEAST_SCORE, DOUBT = 5, 0.7, 1.0
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -115,14 +116,16 @@ def accepted_patterns(found: DataFrame) -> DataFrame:
     seeded = F.exists("base", lambda b: (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"])) | F.col("c.value").rlike(SEED_KEY)
     graph = settle(one.select("c.pattern", "c.value", seeded.cast("int").alias("seed")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     instances = graph.groupBy("value").agg(F.max("seed").cast("double").alias("confidence"))
-    for _ in range(ROUNDS):
-        scores = graph.join(instances, "value").groupBy("pattern").agg((F.sum("confidence") / (F.count("*") + DOUBT)).alias("score"), F.sum("seed").alias("seeds"))
-        scores = settle(scores)
-        trusted = scores.where(F.col("seeds") >= LEAST_SEEDS)
-        best = graph.join(trusted, "pattern").groupBy("value").agg(F.max("score").alias("score"))
-        instances = graph.groupBy("value").agg(F.max("seed").cast("double").alias("seed")).join(best, "value", "left").select("value", F.greatest("seed", F.coalesce("score", F.lit(0.0))).alias("confidence"))
-        instances = settle(instances)
-    return scores.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("score") >= LEAST_SCORE)).select("pattern")
+    accepted = None
+    while True:
+        scores = graph.join(instances, "value").groupBy("pattern").agg((F.sum("confidence") / (F.count("*") + DOUBT)).alias("score"), F.count_if(F.col("confidence") >= LEAST_SCORE).alias("sure"))
+        able = scores.where((F.col("sure") >= LEAST_SEEDS) & (F.col("score") >= LEAST_SCORE)).select("pattern", "score")
+        new = settle(able if accepted is None else able.join(accepted, "pattern", "left_anti"))
+        accepted = new.select("pattern") if accepted is None else accepted.unionByName(new.select("pattern"))
+        if new.isEmpty():
+            return accepted
+        lent = graph.join(new, "pattern").groupBy("value").agg(F.max("score").alias("score"))
+        instances = settle(instances.join(lent, "value", "left").select("value", F.greatest("confidence", F.coalesce("score", F.lit(0.0))).alias("confidence")))
 
 
 def private_spans(documents: DataFrame) -> DataFrame:

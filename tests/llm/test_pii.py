@@ -110,3 +110,37 @@ def test_candidates_have_a_digit_of_their_own_in_linear_time(spark):
     assert values_in(spark, ['see: token: abc1234', 'name=token="abc123def"', 'token="abcdefgh",1', f"{run}key: abc1234", f'{run}key="abc1234"', f"{run}1", "token=" + "." * 100_000 + "a1", "token=a" + "." * 200_000 + "1.)"]) == [
         ["abc1234"], ["abc123def"], [], ["abc1234"], ["abc1234"], [run[3:] + "1"], [], ["a" + "." * 200_000 + "1"]
     ]
+
+
+def brute_accepted(pairs):
+    """Patterns accepted among (pattern, value, seed), round by round."""
+    sure = {v: 0.0 for _, v, _ in pairs} | {v: 1.0 for _, v, seed in pairs if seed}
+    accepted = {}
+    while True:
+        new = {}
+        for p in {p for p, _, _ in pairs} - set(accepted):
+            has = [sure[v] for v in {v for q, v, _ in pairs if q == p}]
+            score = sum(has) / (len(has) + pii.DOUBT)
+            if score >= pii.LEAST_SCORE and sum(c >= pii.LEAST_SCORE for c in has) >= pii.LEAST_SEEDS:
+                new[p] = score
+        if not new:
+            return set(accepted)
+        accepted |= new
+        for p, v, _ in pairs:
+            sure[v] = max(sure[v], new.get(p, 0.0))
+
+
+def test_bootstrapping_goes_on_from_found_instances_only(spark):
+    keys = identifiers(200)
+    # plain values trusted through `token:` alone; `serial:` and then `badge:` have no seed themselves
+    plain = [f"AC-{i}-zz" for i in range(20)]
+    more = [f"BD-{i}-yy" for i in range(3)]
+    uses = [("token:", k) for k in keys] + [("token:", v) for v in plain] + [("serial:", v) for v in [*plain, *more]]
+    last = [f"CE-{i}-xx" for i in range(2)]
+    uses += [("badge:", v) for v in [*plain, *more, *last]]
+    # a third of the values are seeds: no round may make this label trusted
+    uses += [("chapter:", k) for k in identifiers(220)[200:]] + [("chapter:", f"part{i}x") for i in range(40)]
+    docs = spark.createDataFrame([(i, f"some {label} {value}") for i, (label, value) in enumerate(uses)], "doc_id long, text string")
+    got = {r.pattern.strip() for r in pii.accepted_patterns(pii.base_spans(docs)).collect()}
+    hexes = set(keys) | set(identifiers(220))
+    assert got == brute_accepted([(p, v, v in hexes) for p, v in uses]) and "chapter:" not in got and got == {"token:", "serial:", "badge:"}
