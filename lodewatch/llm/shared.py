@@ -14,31 +14,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is set."""
+    """The shared folder the cluster names; a folder of our own only on one machine where none is set."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        if not named:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes the rows as a table in the shared checkpoint folder and reads it from there.
 
     That cuts the lineage: what comes later survives lost executors without computing this anew,
     reads only the columns it needs, and is planned with the table's true size. The tables are
-    scratch and go when the driver ends.
+    scratch: `drop_tables` removes them, or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    scratch(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-    except Exception:  # noqa: BLE001  the session ended first; the folder is scratch
-        return
+def scratch(spark: SparkSession, path: str) -> None:
+    """Notes a folder that goes when the driver ends, or when `drop_tables` is called."""
+    if not _written:
+        atexit.register(drop_tables)
+    _written[path] = spark
+
+
+def drop_tables(but: set[str] = frozenset()) -> set[str]:
+    """Deletes the scratch folders other than those named; gives the folders that are left."""
+    for path in [p for p in _written if p not in but]:
+        spark = _written.pop(path)
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # noqa: BLE001  the session ended first; the folder is scratch
+            continue
+    return set(_written)
