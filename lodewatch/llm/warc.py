@@ -1,10 +1,10 @@
 """WARC archives written and read by tasks, with an index that comes first.
 
-Each task writes the records of its rows into one archive in a shared folder and returns an
-index row per record: archive, offset, length, URL and digest. Only the index of the attempt
-that succeeded is used, so a lost executor leaves at most an archive that nothing refers to.
-A read takes index rows, sorts them by archive and offset, joins neighbouring ranges into few
-large reads of bounded size, and parses the records.
+Each task writes the records of its rows into one archive in a shared folder, each as a gzip
+member of its own, and returns an index row per record: archive, offset and length of the member,
+URL and digest. Only the index of the attempt that succeeded is used, so a lost executor leaves at
+most an archive that nothing refers to. A read takes index rows, sorts them by archive and offset,
+joins neighbouring ranges into few large reads of bounded size, and parses the records.
 
 A record whose payload equals that of a record with a smaller id is a revisit: it keeps the
 HTTP header block (with the payload's length) and refers to the first record.
@@ -13,6 +13,7 @@ HTTP header block (with the payload's length) and refers to the first record.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -21,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import checkpoint_dir, settle, table
+from .shared import checkpoint_dir, scratch, settle, table
 
 #: Ranges with a smaller gap between them are read at once, up to so many bytes.
 GAP, READ_BYTES = 1 << 16, 1 << 23
+#: Payloads that a reader passes on at once have about so many bytes.
+PAYLOAD_BYTES = 1 << 23
+#: Repeated pages (some 60 bytes each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_PAGES = 1_000_000
 #: Payloads of fewer bytes are always written whole.
 LEAST_BYTES = 0
+#: Effort of compression.
+LEVEL = 6
 DATE = "2024-01-01T00:00:00Z"
 
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string"
@@ -84,12 +91,18 @@ def parsed(data: bytes) -> dict:
 
 
 def with_firsts(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html and refers_to: the smallest page_id with an equal payload, null for that one."""
+    """page_id, url, html and refers_to: the smallest page_id with an equal payload, null for that one.
+
+    Equal payloads are found on digests alone; the pages themselves stay where they are while the
+    repeats among them are few.
+    """
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    several = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1").select("sha", "size", "first")
-    joined = rows.join(several, ["sha", "size"], "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    narrow = settle(rows.where(F.col("size") >= least_bytes).select("page_id", "sha", "size"))
+    several = narrow.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("many")).where("many > 1").select("sha", "size", "first")
+    later = settle(narrow.join(several, ["sha", "size"]).where(F.col("page_id") > F.col("first")).select("page_id", "sha", F.col("first").alias("refers_to")).distinct())
+    joined = rows.join(F.broadcast(later) if later.count() <= BROADCAST_PAGES else later, ["page_id", "sha"], "left")
+    return joined.select("page_id", "url", "html", "refers_to")
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> DataFrame:
@@ -105,7 +118,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Data
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        name, out, at = f"{uuid.uuid4().hex}.warc", None, 0
+        name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         try:
             for batch in batches:
                 found: dict[str, list] = {k: [] for k in ("page_id", "archive", "offset", "length", "url", "digest", "record_type")}
@@ -113,7 +126,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES) -> Data
                 for i in range(batch.num_rows):
                     page_id, url, html, refers_to = (c[i].as_py() for c in columns)
                     data, sha1 = record(page_id, url, html.encode(), refers_to)
-                    out = out or store.open_output_stream(f"{path}/{name}")
+                    data = gzip.compress(data, LEVEL, mtime=0)
+                    out = out or store.open_output_stream(f"{path}/{name}", compression=None)  # records are members already
                     out.write(data)
                     for k, v in zip(found, (page_id, name, at, len(data), url, sha1, "response" if refers_to is None else "revisit"), strict=True):
                         found[k].append(v)
@@ -140,7 +154,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         store, path = fs.FileSystem.from_uri(folder)
         name, source = None, None
 
-        def rows(group: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        def rows(group: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
             nonlocal name, source
             if group[0][0] != name:
                 if source is not None:
@@ -148,18 +162,25 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 name, source = group[0][0], store.open_input_file(f"{path}/{group[0][0]}")
             start = group[0][1]
             data = source.read_at(group[-1][1] + group[-1][2] - start, start)
-            return pa.RecordBatch.from_pylist([parsed(data[a - start : a - start + n]) for _, a, n in group], schema=schema)
+            found, size = [], 0
+            for _, a, n in group:
+                found.append(parsed(gzip.decompress(data[a - start : a - start + n])))
+                size += found[-1]["payload_bytes"]
+                if size > PAYLOAD_BYTES:
+                    yield pa.RecordBatch.from_pylist(found, schema=schema)
+                    found, size = [], 0
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
 
         group: list[tuple[str, int, int]] = []
         for batch in batches:
             for item in zip(*(batch.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
                 end = group[-1][1] + group[-1][2] if group else 0
                 if group and (item[0] != group[-1][0] or item[1] - end > GAP or item[1] + item[2] - group[0][1] > READ_BYTES):
-                    yield rows(group)
+                    yield from rows(group)
                     group = []
                 group.append(item)
         if group:
-            yield rows(group)
+            yield from rows(group)
         if source is not None:
             source.close()
 
@@ -169,8 +190,11 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession) -> str:
+    """A new folder for archives that go when the driver ends."""
     folder = checkpoint_dir(spark)
-    return f"{folder if '://' in folder or folder.startswith('file:') else 'file://' + folder}/warc-{uuid.uuid4().hex}"
+    found = f"{folder if '://' in folder or folder.startswith('file:') else 'file://' + folder}/warc-{uuid.uuid4().hex}"
+    scratch(spark, found)
+    return found
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import base64
 import glob
+import gzip
 import hashlib
 
+from pyspark.sql.functions import lit
+
 from lodewatch.llm import warc
 
 
@@ -26,7 +29,7 @@ def brute(rows, least=0):
 def test_round_trip(spark, tmp_path):
     rows = pages()
     folder = f"file://{tmp_path}/archives"
-    index = warc.write(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, digest string").repartition(4), folder)
+    index = warc.write(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, sha string").withColumn("size", lit(1)).repartition(4), folder)
     got = {r.page_id: r for r in warc.read(index, folder).collect()}
     want = brute(rows)
     assert {i: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for i, r in got.items()} == want
@@ -34,12 +37,13 @@ def test_round_trip(spark, tmp_path):
         payload = got[i].payload
         assert (payload is None) == (want[i][2] == "revisit")
         assert payload is None or bytes(payload) == (html or "").encode()
-    # the archives are the records end to end, at the places the index gives
-    for path in glob.glob(f"{tmp_path}/archives/*.warc"):
+    # the archives are the records end to end, each a gzip member, at the places the index gives
+    for path in glob.glob(f"{tmp_path}/archives/*.warc.gz"):
         data = open(path, "rb").read()
         at = 0
         for r in index.where(index.archive == path.rsplit("/", 1)[1]).orderBy("offset").collect():
-            assert r.offset == at and data[at : at + 8] == b"WARC/1.1" and data[at + r.length - 4 : at + r.length] == b"\r\n\r\n"
+            one = gzip.decompress(data[at : at + r.length])
+            assert r.offset == at and one.startswith(b"WARC/1.1\r\n") and one.endswith(b"\r\n\r\n")
             at += r.length
         assert at == len(data)
 
