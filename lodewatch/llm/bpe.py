@@ -9,8 +9,11 @@ character offsets from a running count of UTF-8 lead bytes.
 
 from __future__ import annotations
 
+import json
 import os
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import table
-from .words import Block, blocks
+from .words import Block, blocks, give_back
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Pieces whose ids a worker remembers between blocks.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Pieces that are given to the library at once, and bytes of a block of texts.
+TOGETHER, BLOCK = 2048, 1 << 19
 #: Ids that are decoded at once.
-PART = 1 << 19
+PART = 1 << 18
 #: Bytes after which a space surely ends a run of white space: visible ASCII and the lead bytes
 #: of sequences that hold no white space.
 SURE = np.zeros(256, bool)
@@ -46,23 +51,29 @@ def byte_characters() -> dict[str, int]:
 
 
 class Codec:
-    """A vocabulary in a worker: the tokenizer, each token's bytes and remembered pieces."""
+    """A vocabulary in a worker: each token's bytes, and for encoding the tokenizer and remembered pieces."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
         to_byte = byte_characters()
-        self.tokens: list[bytes] = [b""] * (1 + max(vocabulary.values()))
+        tokens = [b""] * (1 + max(vocabulary.values()))
         for token, i in vocabulary.items():
-            self.tokens[i] = bytes(to_byte[c] for c in token)
-        self.lengths = np.array([len(x) for x in self.tokens], np.int64)
+            tokens[i] = bytes(to_byte[c] for c in token)
+        self.path = path
+        self.lengths = np.array([len(x) for x in tokens], np.int64)
         self.starts = np.append(0, np.cumsum(self.lengths))[:-1]
-        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.remembered: dict[bytes, list[int]] = {}
+        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.remembered: dict[bytes, array] = {}
+
+    @cached_property
+    def tokenizer(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True  # their strings are ordinary text
+        return found
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts of a block, and each text's offsets in them."""
@@ -85,16 +96,18 @@ class Codec:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = pieces
-        known.update(zip(new, (x.ids for x in self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)), strict=True))
+        for i in range(0, len(new), TOGETHER):  # the library's results are large; few stand at a time
+            some = new[i : i + TOGETHER]
+            known.update(zip(some, (array("i", x.ids) for x in self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)), strict=True))
         lists = [known[x] for x in pieces]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(sizes.sum()))
+        flat = np.frombuffer(b"".join(lists), np.int32)
         ids, placed = gathered(flat, np.append(0, np.cumsum(sizes))[:-1], sizes, which)
         return ids, placed[np.searchsorted(starts, block.offsets)]
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all id lists, and each list's offsets in them."""
-        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.tokens)):
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
             raise ValueError("an id is not in the vocabulary")
         data, placed = gathered(self.bytes, self.starts, self.lengths, ids)
         return data, placed[offsets]
@@ -145,7 +158,7 @@ def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, ids: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            for block in blocks(batch.column(text)):
+            for block in blocks(batch.column(text), BLOCK):
                 found, placed = own.encode(block)
                 lists = [pa.ListArray.from_arrays(pa.array(placed, pa.int32()), pa.array(found))]
                 if offsets:
@@ -154,6 +167,7 @@ def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, ids: str =
                     lists.append(pa.ListArray.from_arrays(pa.array(placed, pa.int32()), pairs))
                 same = batch.slice(int(block.rows[0]), len(block))
                 yield pa.RecordBatch.from_arrays([*same.columns, *lists], names=[*kept, ids, *([offsets] if offsets else [])])
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -181,6 +195,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str = VOCABULARY, decoded: str
                 binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - at, [None, pa.py_buffer(np.ascontiguousarray(placed)), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([*part.columns, binary.cast(pa.binary())], names=[*kept, decoded])
                 at = stop
+        give_back()
 
     return df.mapInArrow(run, schema)
 

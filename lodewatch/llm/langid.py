@@ -13,6 +13,7 @@ the forward-backward pass, one task per language over that bounded table.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,19 +25,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table
-from .words import BYTE_CODES, blocks, mix
+from .shared import settle, table
+from .words import BYTE_CODES, Block, blocks, give_back, mix
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 UNDETERMINED = "und"
 #: Labelled texts a language that training looks at, and distinct words it keeps of them.
 SAMPLE, WORDS = 3000, 30_000
 ROUNDS = 3
-#: The chance of a byte that no piece covers, and the longest piece, in bytes.
-STRAY, LONGEST = 1e-6, 16
-#: Training looks at words in parts of so many characters, if they have at most so many bytes.
-TRAINED_CHARACTERS, TRAINED_BYTES = 16, 48
-BLOCK = 1 << 23
+#: The chance of a byte that no piece covers.
+STRAY = 1e-6
+#: Training looks at words in parts of so many characters.
+TRAINED_CHARACTERS = 16
+#: Ids of drawn texts that are broadcast at most (SAMPLE a language); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Distinct words whose scores a task remembers.
+REMEMBERED = 200_000
+#: Texts are scored in blocks of about so many bytes.
+BLOCK = 1 << 20
 WORD_MARK = 32
 RATE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,8 +55,9 @@ class Vocabulary:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = {model.id_to_piece(i).replace("▁", " ") for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        fit = sorted(x.encode() for x in pieces if x == x.lower() and x.lstrip(" ") and " " not in x[1:] and all(c.isalpha() or c == " " for c in x))
-        self.pieces = [x for x in fit if len(x) <= LONGEST]
+        letter = lambda c: c == " " or c.isalpha() or unicodedata.category(c).startswith("M")
+        self.pieces = sorted(x.encode() for x in pieces if x == x.lower() and x.lstrip(" ") and " " not in x[1:] and all(map(letter, x)))
+        self.longest = max(map(len, self.pieces))
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for length in sorted({len(x) for x in self.pieces}):
             ids = np.array([i for i, x in enumerate(self.pieces) if len(x) == length])
@@ -70,7 +77,7 @@ class Vocabulary:
         """For each piece length: the piece at each place of each row, or -1."""
         codes = BYTE_CODES[rows]
         h, found = codes, []
-        for length in range(1, min(LONGEST, rows.shape[1]) + 1):
+        for length in range(1, min(self.longest, rows.shape[1]) + 1):
             if length > 1:
                 h = h[:, :-1] * RATE + codes[:, length - 1 :]
             if length in self.by_length:
@@ -89,8 +96,8 @@ def vocabulary(path: str) -> Vocabulary:
 def forward(own: Vocabulary, rows: np.ndarray, chances: np.ndarray) -> np.ndarray:
     """log P of each row (a word's bytes after the word mark) under each language.
 
-    chances: (pieces, languages). The pass rescales every LONGEST bytes, so words of any length
-    keep their value.
+    chances: (pieces, languages). The pass rescales every so many bytes as the longest piece has, so
+    words of any length keep their value.
     """
     n, length = rows.shape
     languages = chances.shape[1]
@@ -107,8 +114,8 @@ def forward(own: Vocabulary, rows: np.ndarray, chances: np.ndarray) -> np.ndarra
             if len(hit):
                 total[hit] += alpha[end - size, hit] * chances[ids[hit, end - size]]
         alpha[end] = total
-        if end % LONGEST == 0 and end < length:
-            recent = alpha[max(0, end - LONGEST) : end + 1]
+        if end % own.longest == 0 and end < length:
+            recent = alpha[max(0, end - own.longest) : end + 1]
             top = recent.max(axis=0)
             scale += np.log(top)
             recent /= top
@@ -169,15 +176,18 @@ def train(labelled: DataFrame, path: str = PIECES, sample: int = SAMPLE, words:
     """The languages and the (pieces, languages) table of probabilities from (doc_id, text, lang).
 
     At most `sample` texts a language, chosen by a hash of doc_id, and of their words the `words`
-    most frequent. The table that comes to the driver has a row a piece and language at most.
+    most frequent: bounded tables, which the ranking and the fit deal a task a language. Only ids
+    and languages are shuffled to choose; the chosen texts are picked in the scan by their ids. The
+    table that comes to the driver has a row a piece and language at most.
     """
     labelled = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     drawn = labelled.select("doc_id", "lang", draw.alias("draw")).join(sizes, "lang").where(F.col("draw") * F.col("n") < 1.2 * sample)
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("rank") <= sample)
-    chosen = labelled.join(ranked.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
-    counted = chosen.select("lang", F.explode(F.regexp_extract_all(letters("text"), F.lit(f"[^ ]{{1,{TRAINED_CHARACTERS}}}"), F.lit(0))).alias("word")).where(F.octet_length("word") <= TRAINED_BYTES).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ids = settle(ranked.select("doc_id", "lang").distinct())
+    chosen = labelled.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ["doc_id", "lang"], "left_semi")
+    counted = chosen.select("lang", F.explode(F.regexp_extract_all(letters("text"), F.lit(f"[^ ]{{1,{TRAINED_CHARACTERS}}}"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     frequent = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= words)
 
     def fit(lang: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -207,44 +217,74 @@ def train(labelled: DataFrame, path: str = PIECES, sample: int = SAMPLE, words:
     return languages, chances
 
 
-def predict(documents: DataFrame, languages: list[str], chances: np.ndarray, path: str = PIECES) -> DataFrame:
+def predict(documents: DataFrame, languages: list[str], chances: np.ndarray, path: str = PIECES, keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred and score to the documents, from the text alone.
 
     score is the chance of the language named, all languages being equally likely beforehand.
     A text that is null or has no letter is `und` with a score of 0; so is every text if nothing
     was learned. Equal chances go to the first language by name. Columns lang_pred and score of
-    the input are replaced, all others kept.
+    the input are replaced; of the others `keep` stay (all, if not given).
     """
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col("text").rlike(r"\p{L}"), letters("text")).alias("__letters"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__letters"), "lang_pred string, score double"])
     names = pa.array([*languages, UNDETERMINED], pa.string())
     shared = documents.sparkSession.sparkContext.broadcast(chances)  # at most one float a piece and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table_ = vocabulary(path), shared.value
+        scorer = Scorer(vocabulary(path), shared.value)
         for batch in batches:
             texts = batch.column("__letters")
             for block in blocks(texts, BLOCK):
                 n = len(block)
-                best, score = np.full(n, len(languages)), np.zeros(n)
-                words = block.words(lower=False)
-                if len(words.hashes) and languages:
-                    _, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-                    logs = np.zeros((len(first), len(languages)))
-                    for part, bytes_ in by_length(block.data, words.starts[first], words.ends[first]):
-                        logs[part] = forward(own, bytes_, table_)
-                    sums = np.zeros((n, len(languages)))
-                    some = np.flatnonzero(words.counts())
-                    sums[some] = np.add.reduceat(logs[which], words.offsets[some], axis=0)
-                    best[some] = sums[some].argmax(axis=1)
-                    score[some] = 1 / np.exp(sums[some] - sums[some].max(axis=1, keepdims=True)).sum(axis=1)
+                best, score = scorer.texts(block)
                 same = batch.slice(int(block.rows[0]), n).select(kept)
                 yield pa.RecordBatch.from_arrays([*same.columns, names.take(pa.array(best)), pa.array(score)], names=[*kept, "lang_pred", "score"])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
 
+class Scorer:
+    """Scores blocks of texts; a worker remembers the words of a task up to a bound, then starts anew."""
+
+    def __init__(self, own: Vocabulary, chances: np.ndarray) -> None:
+        self.own, self.chances = own, chances
+        self.known, self.logs = np.empty(0, np.uint64), np.empty((0, chances.shape[1]))
+
+    def words(self, block: Block, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """log P of each word, (words, languages); hashes are distinct and in order."""
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        new = self.known[at] != hashes if len(self.known) else np.ones(len(hashes), bool)
+        out = np.empty((len(hashes), self.chances.shape[1]))
+        out[~new] = self.logs[at[~new]]
+        places = np.flatnonzero(new)
+        for part, bytes_ in by_length(block.data, starts[places], ends[places]):
+            out[places[part]] = forward(self.own, bytes_, self.chances)
+        if len(places):
+            if len(self.known) + len(places) > REMEMBERED:
+                self.known, self.logs = hashes, out
+            else:
+                known = np.concatenate([self.known, hashes[places]])
+                order = np.argsort(known)
+                self.known, self.logs = known[order], np.concatenate([self.logs, out[places]])[order]
+        return out
+
+    def texts(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """For each text of a block the best language (or one more than the last) and its chance."""
+        n, languages = len(block), self.chances.shape[1]
+        best, score = np.full(n, languages), np.zeros(n)
+        words = block.words(lower=False)
+        if len(words.hashes) and languages:
+            hashes, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+            logs = self.words(block, hashes, words.starts[first], words.ends[first])
+            some = np.flatnonzero(words.counts())
+            sums = np.add.reduceat(logs[which], words.offsets[some], axis=0)
+            best[some] = sums.argmax(axis=1)
+            score[some] = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        return best, score
+
+
 def fold(doc_id: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
@@ -252,7 +292,7 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     languages, chances = train(documents.where(fold() != 1))
-    found = predict(documents.select("doc_id", "text"), languages, chances)
+    found = predict(documents, languages, chances, keep=["doc_id"])
     return found.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 

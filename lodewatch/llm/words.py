@@ -7,6 +7,7 @@ bytes and code points give the same words. A null text has no bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts go through numpy in blocks of about so many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -38,6 +39,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of STEP and of its inverse; tables longer than a block's are not kept."""
     if not _powers or len(_powers[0]) < n + 1:
         size = max(n + 1, BLOCK_BYTES + 1)
         inverse = np.uint64(pow(int(STEP), -1, 1 << 64))
@@ -46,7 +48,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             built.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 8 * BLOCK_BYTES:
+        if size > BLOCK_BYTES + 1:
             return built[0], built[1]
         _powers[:] = built
     return _powers[0], _powers[1]
@@ -64,12 +66,25 @@ class Block:
         return len(self.rows)
 
     def range_hashes(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
-        """A hash of each byte range, equal for equal bytes wherever they stand."""
+        """A hash of each byte range, equal for equal bytes wherever they stand; ranges are in order, apart.
+
+        They are taken in segments of a block's usual size, so a text of any length needs eight
+        bytes a byte only for one segment (or for its longest single range).
+        """
         data = self.data if data is None else data
-        power, inverse = _powers_to(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_CODES[data] * power[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        out = np.empty(len(starts), np.uint64)
+        at = 0
+        while at < len(starts):
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, "right")))
+            base = starts[at]
+            part = data[base : ends[stop - 1]]
+            power, inverse = _powers_to(len(part))
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(BYTE_CODES[part] * power[: len(part)], out=sums[1:])
+            a, b = starts[at:stop] - base, ends[at:stop] - base
+            out[at:stop] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+            at = stop
+        return out
 
     def runs(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of runs of true bytes, none of them across two texts."""
@@ -153,3 +168,12 @@ def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterat
 
 def signed(hashes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(hashes).view(np.int64)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task: workers are reused and would keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to return
+        return

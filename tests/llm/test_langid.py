@@ -10,7 +10,7 @@ def every_segmentation(word, chance):
     if not word:
         return 1.0
     total = langid.STRAY * every_segmentation(word[1:], chance)
-    for n in range(1, min(langid.LONGEST, len(word)) + 1):
+    for n in range(1, min(langid.vocabulary(langid.PIECES).longest, len(word)) + 1):
         if word[:n] in chance:
             total += chance[word[:n]] * every_segmentation(word[n:], chance)
     return total
