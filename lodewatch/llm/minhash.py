@@ -23,12 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, table
-from .words import Block, blocks, mix, signed
+from .shared import row_key, settle, table
+from .words import Block, blocks, give_back, mix, signed
 
 #: A pair at the limit of 0.75 shares no band with a chance of (1 - 0.75 ** 4) ** 40, about 2.5e-7.
 BANDS, ROWS = 40, 4
@@ -132,6 +132,7 @@ def signatures(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, carry
                 same = batch.slice(int(block.rows[0]), len(block)).select(["doc_id", *carry])
                 columns = [*same.columns, pa.array(sizes.astype(np.int64)), pa.array(signed(a)), pa.array(signed(b)), *lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *carry, "n_shingles", "digest_a", "digest_b", "keys", "sketch"])
+        give_back()
 
     return own.mapInArrow(run, schema)
 
@@ -169,6 +170,7 @@ def whole_sets(documents: DataFrame) -> DataFrame:
                 ids = batch.column("doc_id").slice(int(block.rows[0]), len(block))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(signed(grams)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(offsets)), pa.array(signed(a)), pa.array(signed(b)), lists], names=["doc_id", "n_shingles", "digest_a", "digest_b", "shingles"])
+        give_back()
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest_a long, digest_b long, shingles array<long>")
 
@@ -333,11 +335,6 @@ def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A digest of a row's id and text; equal only for rows that repeat both."""
-    return F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))).cast("binary"))
-
-
 def keep_first_of_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near duplicates stays, that with the smallest doc_id.
 

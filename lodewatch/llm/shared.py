@@ -6,7 +6,18 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def let(value: Column, then) -> Column:
+    """`then` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A digest of a row's id and text; equal only for rows that repeat both."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("null"))).cast("binary"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +45,7 @@ def settle(df: DataFrame) -> DataFrame:
 
     That cuts the lineage: what comes later survives lost executors without computing this anew,
     reads only the columns it needs, and is planned with the table's true size. The tables are
-    scratch: `drop_tables` removes them, or the end of the driver.
+    scratch: `drop` removes them, or the end of the driver.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
@@ -44,19 +55,22 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, path: str) -> None:
-    """Notes a folder that goes when the driver ends, or when `drop_tables` is called."""
+    """Notes a folder that goes when the driver ends, if not before."""
     if not _written:
-        atexit.register(drop_tables)
+        atexit.register(lambda: drop(written()))
     _written[path] = spark
 
 
-def drop_tables(but: set[str] = frozenset()) -> set[str]:
-    """Deletes the scratch folders other than those named; gives the folders that are left."""
-    for path in [p for p in _written if p not in but]:
+def written() -> list[str]:
+    """The scratch folders, in the order in which they were written."""
+    return list(_written)
+
+
+def drop(paths: list[str]) -> None:
+    for path in paths:
         spark = _written.pop(path)
         try:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         except Exception:  # noqa: BLE001  the session ended first; the folder is scratch
             continue
-    return set(_written)

@@ -141,6 +141,21 @@ def test_bootstrapping_goes_on_from_found_instances_only(spark):
     # a third of the values are seeds: no round may make this label trusted
     uses += [("chapter:", k) for k in identifiers(220)[200:]] + [("chapter:", f"part{i}x") for i in range(40)]
     docs = spark.createDataFrame([(i, f"some {label} {value}") for i, (label, value) in enumerate(uses)], "doc_id long, text string")
-    got = {r.pattern.strip() for r in pii.accepted_patterns(pii.base_spans(docs)).collect()}
+    got = {r.pattern.strip() for r in pii.accepted_patterns(pii.marked(pii.base_spans(docs).withColumn("__row", pii.F.monotonically_increasing_id()))).collect()}
     hexes = set(keys) | set(identifiers(220))
     assert got == brute_accepted([(p, v, v in hexes) for p, v in uses]) and "chapter:" not in got and got == {"token:", "serial:", "badge:"}
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    rows = [(1, "write to aa@b.org now", "s"), (1, "another text without it at all ok", "s"), (None, "ip 1.2.3.4", "s"), (1, "write to aa@b.org now", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string").selectExpr("doc_id", "text", "'en' lang", "base as source", "1L n_chars", "7 base", "'k' spans")
+    got = pii.without_private_data(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(r.text for r in got.collect()) == ["another text without it at all ok", "ip <IP>", "write to <EMAIL> now", "write to <EMAIL> now"]
+
+
+def test_a_text_with_very_many_matches(spark):
+    text = " ".join(f"u{i}@x.org" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.private_spans(docs).select(pii.listed(pii.F.col("base")).alias("found")).first().found
+    assert spans == ",".join(brute(text))
