@@ -1,24 +1,28 @@
 """Quality rules whose limits follow the data: quantile sketches for each language and source.
 
-Every text gives a few measures in one vectorised pass. A KLL sketch of each measure is built
-for each (lang, source); sketches merge into those of a language and of everything, which stand
-in for groups with too few rows. A limit is the upper quartile plus a multiple of the spread
-between quartiles plus a slack, so it moves with each source, and the measures are then joined
-with the limits and filtered. Sketches are partial aggregates of fixed size: a source that holds
-a third of all rows is summed up where its rows are.
+Every text gives a few measures in one vectorised pass. A sketch of each measure is built for
+each (lang, source): counts of logarithmic buckets, so a quantile is right to about one per cent
+of its value, sketches merge by adding counts, and the same rows give the same limits in any order
+and on any run. Sketches merge into those of a language and of everything, which stand in for
+groups with too few rows. A limit is the upper quartile plus a multiple of the spread between
+quartiles plus a slack, so it moves with each source, and the measures are then joined with the
+limits and filtered. A sketch has some hundred buckets and is added up before the shuffle: a source
+that holds a third of all rows is summed up where its rows are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import settle, table
-from .words import SPACE, Block, Words, blocks
+from .words import SPACE, Block, Words, blocks, give_back
 
 WINDOW = 5
 SYMBOLS = np.zeros(256, bool)
@@ -30,6 +34,11 @@ SPREADS = 3.0
 #: Groups with fewer rows take the limits of their language, then of everything.
 LEAST_ROWS = 100
 
+#: Buckets grow by RATIO from UNIT on; below UNIT they are about as wide as UNIT * (RATIO - 1).
+UNIT, RATIO = 1e-3, 1.02
+#: Groups of (lang, source) whose limits are broadcast at most; more are joined by a shuffle.
+BROADCAST_GROUPS = 100_000
+
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_lines", "n_capitals"]
 
@@ -98,6 +107,7 @@ def measures(documents: DataFrame) -> DataFrame:
             for block in blocks(batch.column("text")):
                 same = batch.slice(int(block.rows[0]), len(block)).select(["doc_id", "lang", "source"])
                 yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(x.astype(np.int64)) for x in measured(block))], names=["doc_id", "lang", "source", *names])
+        give_back()
 
     rows = documents.select(F.col("doc_id").cast("long"), "text", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
     counted = rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in names))
@@ -113,19 +123,37 @@ def measures(documents: DataFrame) -> DataFrame:
     )
 
 
-def limits(rows: DataFrame, slack: dict[str, float] = MEASURES, spreads: float = SPREADS, least: int = LEAST_ROWS) -> DataFrame:
-    """(lang, source, max_<measure>...): one row per pair, from its own, its language's or all sketches."""
-    sketches = settle(rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in slack]))
-    merged = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m).alias(m) for m in slack]]
-    by_lang = sketches.groupBy("lang").agg(*merged)
-    overall = sketches.agg(*merged)
+def bucket(value: Column) -> Column:
+    return F.floor(F.log1p(value / UNIT) / math.log(RATIO)).cast("int")
+
+
+def bucket_value(number: Column) -> Column:
+    """The middle of a bucket; that of the lowest is 0."""
+    return F.when(number <= 0, 0.0).otherwise(F.expm1((number + 0.5) * math.log(RATIO)) * UNIT)
+
 
-    def bounds(df: DataFrame, prefix: str) -> DataFrame:
-        quartiles = F.array(F.lit(0.25), F.lit(0.75))
-        df = df.withColumns({m: F.kll_sketch_get_quantile_double(m, quartiles) for m in slack})
-        return df.withColumns({f"{prefix}_{m}": F.expr(f"{m}[1] + {spreads} * ({m}[1] - {m}[0]) + {s}") for m, s in slack.items()}).withColumnRenamed("n", f"{prefix}_n").drop(*slack)
+def sketches(rows: DataFrame, measures_: list[str]) -> DataFrame:
+    """(lang, source, measure, bucket, n): one row a bucket that occurs."""
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in measures_])
+    return rows.select("lang", "source", F.explode(each).alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count("*").alias("n"))
 
-    joined = bounds(sketches, "own").join(bounds(by_lang, "lang"), "lang").crossJoin(F.broadcast(bounds(overall, "all")))  # one row
+
+def bounds(sketch: DataFrame, keys: list[str], prefix: str, slack: dict[str, float], spreads: float) -> DataFrame:
+    """A row a group of keys: <prefix>_n and the limit <prefix>_<measure> of each measure."""
+    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    of = Window.partitionBy(*keys, "measure")  # the buckets of one sketch
+    placed = merged.withColumns({"up_to": F.sum("n").over(of.orderBy("bucket")), "all": F.sum("n").over(of)})
+    quartile = lambda q: bucket_value(F.min(F.when(4 * F.col("up_to") >= q * F.col("all"), F.col("bucket"))))
+    by_measure = placed.groupBy(*keys, "measure").agg(quartile(1).alias("low"), quartile(3).alias("high"), F.max("all").alias("n"))
+    limit = lambda m: F.max(F.when(F.col("measure") == m, F.col("high") + spreads * (F.col("high") - F.col("low")) + slack[m]))
+    return by_measure.groupBy(*keys).agg(F.max("n").alias(f"{prefix}_n"), *[limit(m).alias(f"{prefix}_{m}") for m in slack])
+
+
+def limits(rows: DataFrame, slack: dict[str, float] = MEASURES, spreads: float = SPREADS, least: int = LEAST_ROWS) -> DataFrame:
+    """(lang, source, max_<measure>...): one row per pair, from its own, its language's or all sketches."""
+    sketch = settle(sketches(rows, list(slack)))
+    own, by_lang, overall = (bounds(sketch, keys, prefix, slack, spreads) for keys, prefix in ((["lang", "source"], "own"), (["lang"], "lang"), ([], "all")))
+    joined = own.join(by_lang, "lang").crossJoin(F.broadcast(overall))  # one row
     return joined.select(
         "lang",
         "source",
@@ -138,10 +166,12 @@ def judged(documents: DataFrame, slack: dict[str, float] = MEASURES, spreads: fl
 
     A null, empty or wordless text has counts of 0 and fails the base rule. Null languages and
     sources form groups of their own. Repeated rows are judged each; extra columns are ignored.
+    The verdict is the same on every run and for any order or partitioning of the rows.
     """
     rows = settle(measures(documents))
     over = F.filter(F.array(*[F.when(F.col(m) > F.col(f"max_{m}"), F.lit(m)) for m in slack]), lambda x: x.isNotNull())
-    found = rows.join(limits(rows, slack, spreads, least), ["lang", "source"])
+    found_limits = settle(limits(rows, slack, spreads, least))
+    found = rows.join(F.broadcast(found_limits) if found_limits.count() <= BROADCAST_GROUPS else found_limits, ["lang", "source"])
     found = found.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words")).withColumn("over", over)
     return found.select("doc_id", *COLUMNS, "base_failed", (~F.col("base_failed") & (F.size("over") == 0)).alias("kept"), "over")
 

@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
+from lodewatch.llm import quality
 from lodewatch.llm.quality import judged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,3 +51,40 @@ def test_limits_follow_language_and_source(spark):
 
 def test_empty_table(spark):
     assert judged(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def value_of(number):
+    return 0.0 if number <= 0 else math.expm1((number + 0.5) * math.log(quality.RATIO)) * quality.UNIT
+
+
+def brute_limits(values):
+    """The limit of one group by sorting its buckets."""
+    order = sorted(math.floor(math.log1p(v / quality.UNIT) / math.log(quality.RATIO)) for v in values)
+    low, high = (value_of(order[math.ceil(q * len(order) / 4) - 1]) for q in (1, 3))
+    return high + quality.SPREADS * (high - low)
+
+
+def test_verdicts_against_brute_force_and_on_every_run(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("de", "a"), ("en", "few")]) if i % 50 else ("xx", f"s{i % 3}")
+        text = " ".join(rng.choice(["word", "WORD", "#%", "longerword", f"n{rng.randrange(400)}"]) for _ in range(rng.randrange(15, 60)))
+        rows.append((i, text if rng.random() < 0.9 else (text + "\n") * 2, lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    runs = [{r.doc_id: (r.kept, tuple(r.over)) for r in judged(docs.repartition(n)).collect()} for n in (1, 7)]
+    assert runs[0] == runs[1]
+
+    def shares(text):
+        words, chars, symbols, dup, repeat, _ = brute(text)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        return {"symbol_share": symbols / chars, "dup_line_share": dup / lines, "repeat_share": repeat / words, "capital_share": sum("A" <= c <= "Z" for c in text) / chars, "mean_word": chars / words}
+
+    have = {i: shares(t) for i, t, _, _ in rows}
+    for i, text, lang, source in rows:
+        own = [j for j, _, x, y in rows if (x, y) == (lang, source)]
+        same = [j for j, _, x, _ in rows if x == lang]
+        group = own if len(own) >= quality.LEAST_ROWS else same if len(same) >= quality.LEAST_ROWS else list(have)
+        over = [m for m, slack in quality.MEASURES.items() if have[i][m] > brute_limits([have[j][m] for j in group]) + slack]
+        assert list(runs[0][i][1]) == over
+        assert runs[0][i][0] == (not over and not brute(text)[5])
