@@ -1,14 +1,18 @@
 """URL filters: fixed host and path rules first, then association rules mined from labels.
 
-Spark's FP-growth mines combinations of URL tokens that go with a label. Rules whose conclusion
-is the blocking label and whose support and confidence are high enough are kept, and of those
-only rules that no shorter kept rule already implies. An inverted index from each rule's rarest
-token to the rule finds the few rules that can fit a URL; a rule fits if the URL has all its
-tokens.
+Spark's FP-growth mines combinations of URL tokens that go with the label to block. Tokens that
+always occur together are one item, so a long URL that repeats adds one item and not all subsets
+of its tokens. An item that is a rule by itself, or stands in every labelled URL, can be in no other
+shortest rule and is not mined; nor is an item under the least support. What FP-growth then finds
+in the blocked URLs is counted in all labelled ones; combinations with enough confidence are rules,
+and of those only the ones that no shorter rule already implies. An inverted index from each rule's
+rarest item finds the few rules that can fit a URL; a rule fits if the URL has all its tokens.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +21,10 @@ from .shared import settle, table
 
 #: (verdict, host, path prefix); the longest that fits wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-SUPPORT, CONFIDENCE = 0.002, 0.6
+#: Least support as a share of the labelled URLs and as a number of blocked ones, and least confidence.
+SUPPORT, LEAST, CONFIDENCE = 0.002, 5, 0.6
 #: Labelled URLs that mining looks at, at most (an expected number, chosen by a hash).
 SAMPLE = 200_000
-BLOCKED = "label=block"
 #: A scheme, the authority up to a slash, question mark or number sign, the path up to the last two.
 HOST = r"^.*?://([^/?#]*)"
 PATH = r"^.*?://[^/?#]*([^?#]*)"
@@ -56,26 +60,61 @@ def parts(pages: DataFrame) -> DataFrame:
     return rows.withColumn("__best", best).withColumns({"rule": F.col("__best.rule"), "rule_verdict": F.col("__best.verdict")}).drop("__best")
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(rule_id, antecedent, pivot): pruned rules that lead to blocking, from (tokens, blocked)."""
-    baskets = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    rules = settle(model.associationRules.where(F.col("consequent")[0] == BLOCKED).select("antecedent", "confidence").withColumn("rule_id", F.monotonically_increasing_id()))
-    parts_ = rules.select("rule_id", F.size("antecedent").alias("n"), F.explode("antecedent").alias("token"))
-    # A rule goes if another's tokens are among its own: as many shared tokens as the other has.
-    # Items are sorted for a tie-free comparison; the pairs meet by their rarest token.
-    frequency = parts_.groupBy("token").agg(F.count("*").alias("many"))
-    pivots = parts_.join(frequency, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("many", "token")).alias("pivot"))
-    rules = rules.join(pivots, "rule_id")
-    shorter = rules.select(F.col("antecedent").alias("less"), F.col("pivot").alias("token"))
-    longer = parts_.where("n > 1").select("rule_id", "token").join(shorter, "token").join(rules.select("rule_id", "antecedent"), "rule_id")
-    implied = longer.where((F.size("less") < F.size("antecedent")) & (F.size(F.array_except("less", "antecedent")) == 0)).select("rule_id").distinct()
-    return settle(rules.join(implied, "rule_id", "left_anti").select("rule_id", "antecedent", "pivot"))
-
-
-def judged(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE) -> DataFrame:
+def items_of(labelled: DataFrame) -> DataFrame:
+    """(token, item, n, n_blocked) from (row, tokens, blocked): item is the least token with the same rows."""
+    each = labelled.select("row", "blocked", F.explode("tokens").alias("token"))
+    # equal digests of the rows mean equal sets of rows
+    digest = [F.bit_xor(F.xxhash64("row", F.lit(k))).alias(f"digest{k}") for k in range(2)]
+    seen = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if("blocked").alias("n_blocked"), *digest)
+    group = ["n", "n_blocked", "digest0", "digest1"]
+    return settle(seen.join(seen.groupBy(*group).agg(F.min("token").alias("item")), group).select("token", "item", "n", "n_blocked"))
+
+
+def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
+    """(rule_id, antecedent, pivot): the shortest rules that lead to blocking, from (tokens, blocked).
+
+    A rule's tokens occur together in at least `least` blocked URLs and a share `support` of all
+    labelled ones, and a share `confidence` of the URLs with these tokens is blocked.
+    """
+    labelled = settle(labelled.select("tokens", "blocked").withColumn("row", F.monotonically_increasing_id()))
+    total, blocked = labelled.agg(F.count("*"), F.count_if("blocked")).first()
+    enough = max(least, math.ceil(support * total))
+    items = items_of(labelled)
+    sure = F.col("n_blocked") >= confidence * F.col("n")
+    frequent = items.where((F.col("n_blocked") >= enough) & (F.col("n") < total))
+    alone = frequent.where(sure & (F.col("token") == F.col("item"))).select(F.array("item").alias("items"))
+    open_ = frequent.where(~sure).select("token", "item", "n")
+    baskets = labelled.select("row", "blocked", F.explode("tokens").alias("token")).join(open_.where("token = item"), "token")
+    baskets = settle(baskets.groupBy("row", "blocked").agg(F.collect_set("item").alias("items")))
+    rules = alone
+    if not baskets.where("blocked").isEmpty():
+        n = baskets.where("blocked").count()
+        found = FPGrowth(itemsCol="items", minSupport=min(1.0, (enough - 0.5) / n)).fit(baskets.where("blocked").select("items")).freqItemsets.where("size(items) > 1")
+        found = settle(found.select("items", F.col("freq").alias("n_blocked")).withColumn("set_id", F.monotonically_increasing_id()))
+        # An itemset is counted where its rarest item stands.
+        rarest = found.select("set_id", F.explode("items").alias("item")).join(open_.where("token = item").select("item", "n"), "item").groupBy("set_id").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
+        indexed = found.join(rarest, "set_id").select("set_id", "item", F.col("items").alias("wanted"))
+        met = baskets.select("items", F.explode("items").alias("item")).join(indexed, "item").where(F.size(F.array_except("wanted", "items")) == 0)
+        counts = met.groupBy("set_id").agg(F.count("*").alias("n"))
+        rules = rules.union(found.join(counts, "set_id").where(sure).select("items"))
+    rules = settle(rules.select("items").withColumn("rule_id", F.monotonically_increasing_id()))
+    # A rule goes if another's items are among its own; the pairs meet by the other's rarest item.
+    sizes = items.where("token = item").select("item", "n")
+    of_rule = rules.select("rule_id", F.explode("items").alias("item"))
+    pivots = of_rule.join(sizes, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("n", "item")).alias("pivot"))
+    shorter = rules.join(pivots, "rule_id").select(F.col("items").alias("less"), F.col("pivot").alias("item"))
+    longer = of_rule.join(rules.where("size(items) > 1"), "rule_id").join(shorter, "item")
+    implied = longer.where((F.size("less") < F.size("items")) & (F.size(F.array_except("less", "items")) == 0)).select("rule_id").distinct()
+    # Back from items to all the tokens they stand for.
+    antecedents = of_rule.join(implied, "rule_id", "left_anti").join(items.select("item", "token"), "item").groupBy("rule_id").agg(F.sort_array(F.collect_set("token")).alias("antecedent"))
+    return settle(antecedents.join(pivots, "rule_id").select("rule_id", "antecedent", "pivot"))
+
+
+def judged(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
     """page_id, host, path, rule and verdict of every page.
 
+    Rules are mined from about `sample` labelled pages at most, chosen by a hash of page_id.
+
     A page is labelled by the row of `labels` with its id: low quality or toxic means block.
     Where no fixed rule fits, the verdict is block if a mined rule fits and allow otherwise;
     without labels nothing is mined. Repeated rows are judged each.
@@ -88,7 +127,7 @@ def judged(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confid
     n = labelled.count()
     verdict = F.col("rule_verdict")
     if n:
-        rules = mined(labelled.where(share * n < sample), support, confidence)
+        rules = mined(labelled.where(share * n < sample), support, confidence, least)
         # Each URL's distinct token set meets the rules by pivot token; equal sets are judged once.
         sets = rows.where("rule is null").select(F.array_sort("tokens").alias("set")).distinct()
         met = sets.select("set", F.explode("set").alias("pivot")).join(rules, "pivot")
@@ -100,5 +139,3 @@ def judged(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confid
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
-
-
