@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import settle, table
 
 SEED = 20240607
+#: Sources whose rates are broadcast at most (some 400 bytes each); more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: Without given weights, a source's target is its characters to this power.
 TEMPERATURE = 0.5
 #: The largest mean drawn at once, and the terms of its cumulative chances (the rest is < 1e-18).
@@ -62,12 +64,12 @@ def replicate(documents: DataFrame, weights: dict[str, float] | None = None, tem
     """
     kept = [c for c in documents.columns if c not in ("copy_no", "rate", "mix_key")]
     name = F.coalesce("source", F.lit(""))
-    # A source may hold a third of all rows: documents meet the few rows of rates by a salted key.
-    salts = 64
-    drawn = rates(documents, weights, temperature).toDF("__name", "__rate", "__parts", "__cumulative").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # The rates have a row a source: they come to the documents while they are few, so that a source
+    # with a third of all rows stays where it is and texts are shuffled only once, to be mixed.
+    drawn = settle(rates(documents, weights, temperature).toDF("__name", "__rate", "__parts", "__cumulative"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    rows = documents.select(*[F.col(f"`{c}`") for c in kept], name.alias("__name"), F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("__salt"), key.alias("__key"))
-    joined = rows.join(drawn, ["__name", "__salt"])
+    rows = documents.select(*[F.col(f"`{c}`") for c in kept], name.alias("__name"), key.alias("__key"))
+    joined = rows.join(F.broadcast(drawn) if drawn.count() <= BROADCAST_SOURCES else drawn, "__name")
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("__parts")),
         F.lit(0),

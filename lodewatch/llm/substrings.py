@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import settle, table
-from .words import Block, Words, blocks, mix, run_sums, signed
+from .words import Block, Words, blocks, give_back, mix, run_sums, signed
 
 WORDS = 20
 GRAM = 5
@@ -107,6 +107,7 @@ def stretch_rows(documents: DataFrame, size: int, gram: int) -> DataFrame:
             repeat = ~firsts(owner, starts, anchors, content)
             anchors[repeat], content[repeat] = 0, np.flatnonzero(repeat)  # a repeat is settled; small numbers spread it
             yield pa.RecordBatch.from_arrays([pa.array(signed(anchors)), pa.array(signed(content)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(repeat)], schema=schema)
+        give_back()
 
     return documents.mapInArrow(run, STRETCH)
 
@@ -144,6 +145,7 @@ def window_rows(documents: DataFrame, size: int) -> DataFrame:
             hashes, owner, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
             repeat = ~firsts(owner, starts, hashes)
             yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(repeat)], schema=schema)
+        give_back()
 
     return documents.select("doc_id", "text", "open").mapInArrow(run, WINDOW_ROW)
 
@@ -205,6 +207,7 @@ def deduplicated(documents: DataFrame, size: int = WORDS, gram: int = GRAM) -> D
                 yield pa.RecordBatch.from_arrays(
                     [*same.columns, pa.array(words.counts().astype(np.int64)), pa.array(gone.astype(np.int64)), joined_words(block, words, ~removed)], names=[*kept, "n_words", "n_removed", "kept_text"]
                 )
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

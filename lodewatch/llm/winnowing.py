@@ -3,59 +3,61 @@
 Tokens are runs between white space, lower-cased. Each run of GRAM tokens has a hash; of every
 WINDOW consecutive hashes the smallest is chosen, the rightmost among equals, and kept with its
 position. Texts that share GRAM + WINDOW - 1 consecutive tokens therefore share a fingerprint.
-A hash and its position are packed in one long, hash first and position complemented, so a plain
-minimum picks the rightmost of equal hashes.
+The smallest hash of a window is looked up in the window read backwards, so the first place found
+is the rightmost one.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import table
+from .shared import let, table
 
 GRAM, WINDOW = 3, 8
-#: Bits of a packed long for the position; texts of up to 2 ** 24 tokens have distinct positions.
-PLACE_BITS = 24
-BLOCKS = 256
+#: A block of neighbouring documents has about so many characters; there are at most so many blocks,
+#: and at most FAN of them are told apart by one list of bounds.
+BLOCK_CHARS, BLOCKS, FAN = 4_000_000, 16_384, 128
 
 
-def packed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """array<long>: the chosen hashes with their positions, in order of position.
+def chosen(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """array<struct<hash, place>>: the chosen hashes and their positions, in order of position.
 
     A text with fewer tokens than a gram has its whole sequence as one gram; without tokens it
     has no fingerprint. With fewer grams than a window, all grams are one window.
     """
-    top = (1 << PLACE_BITS) - 1
     tokens = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda t: t != "")
     hashed = F.transform(tokens, lambda t: F.xxhash64(t))
 
     def grams(h: Column) -> Column:
         n = F.greatest(F.size(h) - gram + 1, F.lit(1))
-        place = lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + j) for j in range(gram)]), PLACE_BITS + 1), PLACE_BITS) + (F.lit(top) - i)
-        return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), place))
-
-    def chosen(g: Column) -> Column:
-        n = F.greatest(F.size(g) - window + 1, F.lit(1))
-        return F.when(F.size(g) == 0, g).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(g, i, window)))))
+        one = lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(h, i + j) for j in range(gram)]), 1)
+        return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
-    return let(let(hashed, grams), chosen)
+    def places(g: Column) -> Column:
+        """Of each window [i, i + wide) its rightmost smallest hash, counted from 1; each place once."""
+        n = F.size(g)
+        wide = F.least(n, F.lit(window))
+        back = let(F.reverse(g), lambda r: F.transform(F.sequence(F.lit(1), n - wide + 1), lambda i: (i + wide - F.array_position(F.slice(r, n - i - wide + 2, wide), F.array_min(F.slice(g, i, wide)))).cast("int")))
+        return F.array_distinct(back)
 
+    def kept(g: Column) -> Column:
+        found = F.transform(places(g), lambda p: F.struct(F.get(g, p - 1).alias("hash"), (p - 1).alias("place")))
+        return F.when(F.size(g) > 0, found).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>"))
 
-def let(value: Column, then) -> Column:
-    """`then` of a value that is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
+    return let(let(hashed, grams), kept)
 
 
 def written(fingerprint: Column) -> Column:
     """hash@position, in hexadecimal and decimal, comma-joined."""
-    top = (1 << PLACE_BITS) - 1
-    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.hex(F.shiftright(x, PLACE_BITS))), F.lit("@"), (F.lit(top) - x.bitwiseAND(F.lit(top))).cast("string"))), ",")
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.hex(x["hash"])), F.lit("@"), x["place"].cast("string"))), ",")
 
 
 def hashes(fingerprint: Column) -> Column:
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, PLACE_BITS)))
+    return F.array_distinct(F.transform(fingerprint, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -64,17 +66,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def beside_next(rows: DataFrame, key: str, carried: list[str], blocks: int = BLOCKS) -> DataFrame:
+def block_number(key: Column, bounds: list[float], fan: int = FAN) -> Column:
+    """The number of bounds at or below the key, by a list of lists, so that few are compared."""
+    if not bounds:
+        return F.lit(0)
+    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
+    below = lambda list_: F.size(F.filter(list_, lambda b: b <= key.cast("double")))
+    tops = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<double>")
+    parts = F.from_json(F.lit(json.dumps(groups)), "array<array<double>>")
+    inside = lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * fan + below(F.get(parts, k - 1)))
+    return let(below(tops), inside)
+
+
+def beside_next(rows: DataFrame, key: str, carried: list[str], size: Column, block: int = BLOCK_CHARS) -> DataFrame:
     """Adds next_<c> of the row that follows by key (after the last: the first), with one shuffle.
 
-    Blocks of keys come from approximate quantiles. The first row of each block is also sent,
-    marked, to the block before it, so that block's last row finds it there. Ties in key are
-    ordered by a hash of the first carried column; a null key comes first.
+    Blocks of keys come from approximate quantiles; their number follows the sum of `size`. The
+    first row of each block is also sent, marked, to the block before it, so that block's last row
+    finds it there. Ties in key are ordered by a hash of the first carried column; a null key
+    comes first.
     """
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    blocks = max(1, min(BLOCKS, int(total // block)))
     ids = rows.select(F.col(key).cast("double").alias("k")).where("k is not null")
-    bounds = sorted({b for b in ids.approxQuantile("k", [i / blocks for i in range(1, blocks)], 0.5 / blocks)})
-    number = F.array_size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: b <= F.col(key).cast("double"))) if bounds else F.lit(0)
-    rows = rows.withColumn("__block", F.coalesce(number, F.lit(0)))
+    bounds = sorted({b for b in ids.approxQuantile("k", [i / blocks for i in range(1, blocks)], 0.5 / blocks)}) if blocks > 1 else []
+    rows = rows.withColumn("__block", F.coalesce(block_number(F.col(key), bounds), F.lit(0)))
     # One row a block at most, whatever the table's size.
     rows = rows.withColumn("__order", F.struct(F.col(key).alias("key"), F.xxhash64(carried[0]).alias("digest")))
     firsts = rows.groupBy("__block").agg(F.min("__order").alias("__order"))
@@ -99,12 +115,12 @@ def fingerprinted(documents: DataFrame) -> DataFrame:
     follows a hash of the text. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("fp", packed(F.col("text")))
-    rows = beside_next(rows, "doc_id", ["text", "fp"])
+    rows = rows.withColumn("fp", chosen(F.col("text")))
+    rows = beside_next(rows, "doc_id", ["text", "fp"], F.length("text"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), n - cut), F.substr("next_text", F.lit(1), cut)))
-    rows = rows.withColumn("edited_fp", packed(F.col("edited")))
+    rows = rows.withColumn("edited_fp", chosen(F.col("edited")))
     likely = lambda a, b: let(a, lambda x: let(b, lambda y: likeness(x, y)))
     return rows.select(
         "doc_id",
