@@ -14,7 +14,7 @@ from lodewatch.llm.langid import keep_identified
 from lodewatch.llm.minhash import keep_first_of_group
 from lodewatch.llm.mixing import replicated_to_weights
 from lodewatch.llm.pii import without_private_data
-from lodewatch.llm.shared import settle
+from lodewatch.llm.shared import drop, settle, written
 
 STAGES = [
     ("language_id", keep_identified),
@@ -24,15 +24,19 @@ STAGES = [
     ("byte_bpe", tokens_of_documents),
 ]
 
-#: No stage but mixing can be said in SQL; tests hold each against a brute-force version.
+#: No stage but mixing can be said in SQL; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the whole documents table, each written and read again before the next."""
+    """All stages on the whole documents table, each written and read again before the next.
+
+    What a stage wrote on its way is deleted once its result is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = settle(docs)
-    return docs
+    known = set(written())
+    for _, stage in STAGES[:-1]:
+        docs = settle(stage(spark, docs, sf_dir))
+        made = [p for p in written() if p not in known]
+        drop([p for p in made if p != made[-1]])  # the newest is the stage's own result
+    return STAGES[-1][1](spark, docs, sf_dir)
