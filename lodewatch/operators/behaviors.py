@@ -36,15 +36,42 @@ SEQUENCES = [
     (("code_upload", "git_bundle_uploaded", "secrets_exfiltrated", "canary_exfiltrated"), 2.0),
 ]
 
-# Technique and tactic of some behaviours.
+# Technique, tactic and stage of each behaviour; any other is T1078, defense evasion, other.
 TECHNIQUES = [
-    ("git_history_read", "T1213", "collection", "collect"),
-    ("secrets_scanned", "T1552", "credential-access", "discover"),
-    ("code_upload", "T1567", "exfiltration", "exfiltrate"),
-    ("ai_prompt_sent", "T1567", "exfiltration", "exfiltrate"),
-    ("process_suspicious", "T1059", "execution", "execute"),
-    ("suspicious_connection", "T1071", "command-and-control", "control"),
+    ("repo_indexed", "T1213", "Collection", "Collection"),
+    ("git_history_read", "T1213", "Collection", "Collection"),
+    ("git_objects_read", "T1213", "Collection", "Collection"),
+    ("git_bundle_created", "T1074", "Collection", "Packaging"),
+    ("git_bundle_uploaded", "T1041", "Exfiltration", "Exfiltration"),
+    ("git_archive_created", "T1560", "Collection", "Packaging"),
+    ("secrets_scanned", "T1555", "Credential Access", "Collection"),
+    ("secrets_exfiltrated", "T1041", "Exfiltration", "Exfiltration"),
+    ("embeddings_generated", "T1213", "Collection", "Collection"),
+    ("full_repo_snapshot", "T1074", "Collection", "Collection"),
+    ("canary_exfiltrated", "T1041", "Exfiltration", "Exfiltration"),
+    ("mass_file_read", "T1005", "Collection", "Collection"),
+    ("suspicious_connection", "T1071", "Command and Control", "Other"),
+    ("ai_prompt_sent", "T1071", "Command and Control", "Other"),
+    ("code_upload", "T1041", "Exfiltration", "Exfiltration"),
+    ("prompt_injection_attempt", "T1567", "Exfiltration", "Exfiltration"),
+    ("process_suspicious", "T1059", "Execution", "Other"),
+    ("dns_suspicious", "T1572", "Command and Control", "Other"),
+    ("tls_suspicious", "T1572", "Command and Control", "Other"),
+    ("anti_evasion_detected", "T1564", "Defense Evasion", "Other"),
+    ("preparation_detected", "T1590", "Reconnaissance", "Preparation"),
+    ("process_chain_detected", "T1059", "Execution", "Other"),
+    ("monitor_awareness_detected", "T1497", "Defense Evasion", "Other"),
+    ("monitor_disabled", "T1562", "Defense Evasion", "Other"),
+    ("canary_read", "T1005", "Collection", "Collection"),
+    ("canary_modified", "T1565", "Impact", "Other"),
+    ("fake_secret_read", "T1555", "Credential Access", "Collection"),
+    ("fake_secret_exfiltrated", "T1041", "Exfiltration", "Exfiltration"),
+    ("contaminated_git_read", "T1213", "Collection", "Collection"),
+    ("evidence_chain_detected", "T1074", "Collection", "Collection"),
+    ("pre_operational_snapshot_detected", "T1590", "Reconnaissance", "Preparation"),
 ]
+NO_TECHNIQUE = ("T1078", "Defense Evasion", "Other")
+STAGES = ["Preparation", "Collection", "Packaging", "Exfiltration", "Other"]
 
 
 def flow_type(host_known: Column, sent: Column, prompt: Column, dns: Column, sni: Column, mib: float, kib50: float) -> Column:
@@ -174,10 +201,30 @@ def session_dna(events: DataFrame, behaviors: DataFrame) -> DataFrame:
     return a.join(b, "session", "left")
 
 
-def stages(behaviors: DataFrame) -> DataFrame:
-    """session, technique, tactic, stage, first_ts, n: each technique once per session, at its first sight."""
+def mapped(behaviors: DataFrame) -> DataFrame:
+    """Adds technique, tactic and stage of each behaviour's type."""
     dim = F.broadcast(behaviors.sparkSession.createDataFrame(TECHNIQUES, "type string, technique string, tactic string, stage string"))  # a fixed table
-    return behaviors.join(dim, "type").groupBy("session", "technique", "tactic", "stage").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+    names = ("technique", "tactic", "stage")
+    return behaviors.join(dim, "type", "left").withColumns({c: F.coalesce(c, F.lit(other)) for c, other in zip(names, NO_TECHNIQUE, strict=True)})
+
+
+def stages(behaviors: DataFrame) -> DataFrame:
+    """session, technique, tactic, stage, first_ts, n: each technique and tactic once per session, with the stage of its first behaviour."""
+    return mapped(behaviors).groupBy("session", "technique", "tactic").agg(F.min_by("stage", F.struct("ts", "stage")).alias("stage"), F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+
+
+def stage_timeline(behaviors: DataFrame) -> DataFrame:
+    """session, stage, place, first_ts, n, evidence: each stage at its first sight, in the fixed order, with three of its behaviours."""
+    rows = mapped(behaviors).groupBy("session", "stage").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"), F.array_sort(F.collect_set("type")).alias("types"))
+    place = lookup(F.col("stage"), {s: i for i, s in enumerate(STAGES)}, len(STAGES))
+    return rows.select("session", "stage", place.alias("place"), "first_ts", "n", F.array_join(F.slice("types", 1, 3), ",").alias("evidence"))
+
+
+def first_chain(behaviors: DataFrame) -> DataFrame:
+    """session, chain: the types of a session in the order of their first sight."""
+    first = behaviors.groupBy("session", "type").agg(F.min("ts").alias("ts"))
+    listed = first.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("ts", "type"))).alias("t"))  # a row a type
+    return listed.select("session", F.array_join("t.type", ">").alias("chain"))
 
 
 def sessions(events: DataFrame, gap: int) -> DataFrame:

@@ -1,31 +1,24 @@
 """Many property graphs at once: rows carry their graph's key, every step is a join or an aggregate.
 
-nodes: (g, id, ...); edges: (g, src, dst, ...). Walks grow by one joined edge a round, so all
-graphs advance together; lineage is cut by reliable checkpoints.
+nodes: (g, id, ...); edges: (g, src, dst, ...). All graphs advance together, a round at a time, and
+each round is written, so a lost executor costs one round. Only `walks` lists paths, and only up to
+a given length; distances, dominators, levels and longest paths have a row per pair or node.
 """
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numbers import half_up, ratio
+from ..functions.tables import settle as cut
 
+#: Edges of a listed path, at most.
 DEEPEST = 10
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, in the folder the cluster names."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """g, nodes, edges, max_out, avg_out, roots, density, entropy of node kinds."""
     n = nodes.groupBy("g").agg(F.count("*").alias("nodes"))
@@ -75,59 +68,206 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("g", "id").join(edges.select("g", F.col("dst").alias("id")).distinct(), ["g", "id"], "left_anti")
 
 
-def closeness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """g, id, closeness: reachable nodes over the sum of their distances; paths from all nodes."""
-    near = paths.groupBy("g", "start", "end").agg(F.min("length").alias("d"))
-    found = near.groupBy("g", F.col("start").alias("id")).agg((F.count("*") / F.sum("d")).alias("c"))
+def distances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, start, end, d, ways: the shortest distance of every pair that is connected, and its number of shortest paths.
+
+    A breadth-first search from all nodes at once; a pair is found once, so rows grow with the pairs.
+    """
+    edges = cut(edges.select("g", F.col("src").alias("end"), "dst").distinct())
+    found = front = cut(nodes.select("g", F.col("id").alias("start"), F.col("id").alias("end"), F.lit(0).alias("d"), F.lit(1.0).alias("ways")))
+    while True:
+        near = front.join(edges, ["g", "end"]).groupBy("g", "start", F.col("dst").alias("end"), (F.col("d") + 1).alias("d")).agg(F.sum("ways").alias("ways"))
+        front = cut(near.join(found, ["g", "start", "end"], "left_anti").select("g", "start", "end", "d", "ways"))
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+def closeness(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """g, id, closeness: reachable nodes over the sum of their distances."""
+    found = pairs.where("d > 0").groupBy("g", F.col("start").alias("id")).agg((F.count("*") / F.sum("d")).alias("c"))
     return nodes.select("g", "id").join(found, ["g", "id"], "left").select("g", "id", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("closeness"))
 
 
-def betweenness(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """g, id, betweenness: shortest paths through a node over all shortest paths of their ends, over the graph's largest (1 at least)."""
-    w = Window.partitionBy("g", "start", "end")
-    short = paths.withColumn("d", F.min("length").over(w)).where("length = d").withColumn("all", F.count("*").over(w))
-    inner = short.where("length > 1").select("g", "all", F.explode(F.slice("nodes", 2, F.size("nodes") - 2)).alias("id"))
-    raw = inner.groupBy("g", "id").agg(F.sum(1 / F.col("all")).alias("b"))
-    every = nodes.select("g", "id").join(raw, ["g", "id"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+def betweenness(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """g, id, betweenness: shortest paths through a node over all of their ends, over the graph's largest (1 at least).
+
+    Each source's shares flow back from its farthest nodes, a distance a round.
+    """
+    pairs = cut(pairs)
+    edges = cut(edges.select("g", F.col("src").alias("v"), F.col("dst").alias("w")).distinct())
+    far = pairs.agg(F.max("d")).first()[0] or 0
+    done, last = [], None
+    for d in range(far, 0, -1):
+        here = pairs.where(F.col("d") == d).select("g", "start", F.col("end").alias("w"), "ways")
+        here = here.withColumn("share", F.lit(0.0)) if last is None else here.join(last, ["g", "start", "w"], "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+        here = cut(here)
+        done.append(here.select("g", F.col("w").alias("id"), "share"))
+        before = pairs.where(F.col("d") == d - 1).select("g", "start", F.col("end").alias("v"), F.col("ways").alias("ways_v"))
+        back = here.join(edges, ["g", "w"]).join(before, ["g", "start", "v"])
+        last = back.groupBy("g", "start", F.col("v").alias("w")).agg(F.sum(F.col("ways_v") / F.col("ways") * (1 + F.col("share"))).alias("share"))
+    every = nodes.select("g", "id")
+    raw = reduce(DataFrame.unionByName, done).groupBy("g", "id").agg(F.sum("share").alias("b")) if done else every.withColumn("b", F.lit(0.0))
+    every = every.join(raw, ["g", "id"], "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
     top = every.groupBy("g").agg(F.greatest(F.max("b"), F.lit(1.0)).alias("top"))
     return every.join(top, "g").select("g", "id", F.round(F.col("b") / F.col("top") + 1e-9, 3).alias("betweenness"))
 
 
-def dominators(paths: DataFrame) -> DataFrame:
-    """g, root, id, idom: the last node before id that every path from the root passes; paths from roots."""
-    total = paths.groupBy("g", "start", "end").agg(F.count("*").alias("all"))
-    inner = paths.select("g", "start", "end", F.posexplode(F.slice("nodes", 1, F.size("nodes") - 1)).alias("pos", "via"))
-    through = inner.groupBy("g", "start", "end", "via").agg(F.count("*").alias("k"), F.max("pos").alias("pos"))
-    always = through.join(total, ["g", "start", "end"]).where("k = all")
-    return always.groupBy("g", F.col("start").alias("root"), F.col("end").alias("id")).agg(F.max_by("via", "pos").alias("idom"))
+def strong_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """g, id, component: the smallest id that a node reaches and that reaches it."""
+    there = pairs.select("g", F.col("start").alias("id"), F.col("end").alias("other"))
+    back = pairs.select("g", F.col("end").alias("id"), F.col("start").alias("other"))
+    return there.join(back, ["g", "id", "other"]).groupBy("g", "id").agg(F.min("other").alias("component"))
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, id, level: the longest way to a node from one that nothing enters; null on a cycle and behind it.
+
+    Nodes are taken away once all that leads to them is gone.
+    """
+    edges = cut(edges.select("g", "src", "dst").distinct())
+    entered = edges.groupBy("g", F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
+    state = cut(nodes.select("g", "id").join(entered, ["g", "id"], "left").select("g", "id", F.coalesce("waits", F.lit(0)).alias("waits"), F.when(F.coalesce("waits", F.lit(0)) == 0, 0).alias("level")))
+    n = 0
+    while True:
+        gone = state.where(F.col("level") == n)
+        if gone.isEmpty():
+            return state.select("g", "id", "level")
+        freed = gone.select("g", F.col("id").alias("src")).join(edges, ["g", "src"]).groupBy("g", F.col("dst").alias("id")).agg(F.count("*").alias("freed"))
+        joined = state.join(freed, ["g", "id"], "left").withColumn("waits", F.col("waits") - F.coalesce("freed", F.lit(0)))
+        now = F.when(F.col("level").isNull() & (F.col("waits") == 0) & F.col("freed").isNotNull(), n + 1).otherwise(F.col("level"))
+        state = cut(joined.select("g", "id", "waits", now.alias("level")))
+        n += 1
+
+
+def shape(nodes: DataFrame, edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """g, acyclic, depth (of the acyclic part), branching (edges over nodes with edges out) from the levels."""
+    out = edges.groupBy("g").agg((F.count("*") / F.countDistinct("src")).alias("b"))
+    rows = placed.groupBy("g").agg(F.bool_and(F.col("level").isNotNull()).alias("acyclic"), F.coalesce(F.max("level"), F.lit(0)).alias("depth"))
+    return rows.join(out, "g", "left").select("g", "acyclic", "depth", F.round(F.coalesce("b", F.lit(0.0)), 6).alias("branching"))
+
+
+def dominator_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, id, by: every dominator of every node that a root reaches, itself included.
+
+    All nodes dominate to begin with; a round keeps a dominator if it dominates all predecessors.
+    """
+    edges = cut(edges.select("g", "src", "dst").distinct())
+    starts = roots(nodes, edges)
+    reached = front = cut(starts)
+    while True:
+        front = cut(front.withColumnRenamed("id", "src").join(edges, ["g", "src"]).select("g", F.col("dst").alias("id")).distinct().join(reached, ["g", "id"], "left_anti"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+    reached = cut(reached)
+    inner = edges.join(reached.withColumnRenamed("id", "src"), ["g", "src"])
+    needs = inner.groupBy("g", F.col("dst").alias("id")).agg(F.count("*").alias("needs"))
+    root_rows = starts.select("g", "id", F.col("id").alias("by"))
+    others = reached.join(starts, ["g", "id"], "left_anti")
+    rows = cut(others.join(reached.select("g", F.col("id").alias("by")), "g").unionByName(root_rows))
+    size = rows.count()
+    while True:
+        seen = rows.select("g", F.col("id").alias("src"), "by").join(inner, ["g", "src"]).groupBy("g", F.col("dst").alias("id"), "by").agg(F.count("*").alias("seen"))
+        shared = seen.join(needs, ["g", "id"]).where("seen = needs").select("g", "id", "by")
+        rows = cut(shared.unionByName(reached.select("g", "id", F.col("id").alias("by"))).distinct().join(starts.withColumn("root", F.lit(True)), ["g", "id"], "left").where("root is null or id = by").select("g", "id", "by"))
+        left = rows.count()
+        if left == size:
+            return rows
+        size = left
+
+
+def immediate(rows: DataFrame) -> DataFrame:
+    """g, id, idom: the nearest dominator of a node other than itself, null where there is none."""
+    depth = rows.groupBy("g", F.col("id").alias("by")).agg(F.count("*").alias("depth"))
+    near = rows.where("id <> by").join(depth, ["g", "by"]).groupBy("g", "id").agg(F.max_by("by", "depth").alias("idom"))
+    return rows.select("g", "id").distinct().join(near, ["g", "id"], "left")
+
+
+def frontier(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, id, stop: where a node's dominance ends: it dominates a predecessor of `stop`, but not `stop` beyond itself."""
+    into = edges.select("g", F.col("src").alias("id"), F.col("dst").alias("stop")).distinct()
+    over = into.join(rows, ["g", "id"]).select("g", F.col("by").alias("id"), "stop").distinct()
+    strict = rows.where("id <> by").select("g", F.col("by").alias("id"), F.col("id").alias("stop"))
+    return over.join(strict, ["g", "id", "stop"], "left_anti")
+
+
+def dominant(idoms: DataFrame) -> DataFrame:
+    """g, dominant, n: the node that is most often the nearest dominator; of equals the smallest."""
+    counted = idoms.where("idom is not null").groupBy("g", "idom").agg(F.count("*").alias("n"))
+    return counted.groupBy("g").agg(F.max_by("idom", F.struct("n", -F.col("idom"))).alias("dominant"), F.max("n").alias("n"))
+
+
+def critical_path(nodes: DataFrame, edges: DataFrame, placed: DataFrame) -> DataFrame:
+    """g, path, cost: the costliest path from a root to a leaf; ties by length, then by nodes; acyclic graphs only.
 
+    Each node keeps its best path, level by level.
+    """
+    whole = placed.groupBy("g").agg(F.bool_and(F.col("level").isNotNull()).alias("ok")).where("ok").select("g")
+    placed = cut(placed.join(whole, "g"))
+    edges = cut(edges.select("g", "src", "dst", "cost").join(placed.select("g", F.col("id").alias("dst"), "level"), ["g", "dst"]))
+    best = done = cut(placed.where("level = 0").select("g", "id", F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("length"), F.array("id").alias("nodes")).alias("best")))
+    for n in range(1, (placed.agg(F.max("level")).first()[0] or 0) + 1):
+        longer = done.withColumnRenamed("id", "src").join(edges.where(F.col("level") == n), ["g", "src"])
+        step = F.struct((F.col("best.cost") + F.col("cost")).alias("cost"), (F.col("best.length") + 1).alias("length"), F.array_append("best.nodes", F.col("dst")).alias("nodes"))
+        best = cut(longer.groupBy("g", F.col("dst").alias("id")).agg(F.max(step).alias("best")))
+        done = done.unionByName(best)
+    leaves = placed.select("g", "id").join(edges.select("g", F.col("src").alias("id")).distinct(), ["g", "id"], "left_anti")
+    ended = done.join(leaves, ["g", "id"]).where("best.length > 0").groupBy("g").agg(F.max("best").alias("m"))
+    return ended.select("g", F.array_join(F.col("m.nodes").cast("array<string>"), ">").alias("path"), "m.cost")
+
+
+def subgraph(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The edges of which both ends are among the chosen nodes (g, id)."""
+    a, b = chosen.select("g", F.col("id").alias("src")), chosen.select("g", F.col("id").alias("dst"))
+    return edges.join(a, ["g", "src"], "left_semi").join(b, ["g", "dst"], "left_semi")
 
-def critical_path(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> DataFrame:
-    """g, path, cost: the costliest path from a root to a leaf; ties by length, then by nodes."""
-    leaves = nodes.select("g", F.col("id").alias("end")).join(edges.select("g", F.col("src").alias("end")).distinct(), ["g", "end"], "left_anti")
-    ended = paths.join(leaves, ["g", "end"]).withColumn("path", F.array_join(F.col("nodes").cast("array<string>"), ">"))
-    return ended.groupBy("g").agg(F.max(F.struct("cost", "length", "path")).alias("m")).select("g", "m.path", "m.cost")
 
+def path_confidence(paths: DataFrame, start: str = "confidence") -> DataFrame:
+    """Adds propagated and lost_pct to paths whose cost is the sum of log(1 - degradation): what is left of the start's confidence."""
+    left = F.exp("cost")
+    return paths.withColumn("propagated", F.round(F.col(start) * left + 1e-9, 4)).withColumn("lost_pct", F.round((1 - left) * 100 + 1e-9, 2))
 
-def propagate(nodes: DataFrame, edges: DataFrame, most: int = DEEPEST) -> DataFrame:
+
+def seeded(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: int = DEEPEST) -> DataFrame:
+    """g, id, confidence, depth: a node's confidence once its first visit from the seeds (g, id) has come, `most` edges away at most.
+
+    A node is visited once, by the smallest of its nearest predecessors: noisy-or of its own
+    confidence and of what the edge leaves of the visitor's, to four places. Nodes without a visit
+    are left out.
+    """
+    edges = cut(edges.select("g", "src", "dst", "degradation"))
+    own = cut(nodes.select("g", "id", F.col("confidence").alias("own")))
+    found = front = cut(own.join(seeds.select("g", "id"), ["g", "id"]).select("g", "id", F.col("own").alias("confidence"), F.lit(0).alias("depth")))
+    for n in range(1, most + 1):
+        into = front.select("g", F.col("id").alias("src"), "confidence").join(edges, ["g", "src"])
+        first = into.groupBy("g", F.col("dst").alias("id")).agg(F.min_by(F.struct("confidence", "degradation"), "src").alias("from"))
+        given = F.col("from.confidence") * (1 - F.col("from.degradation"))
+        new = first.join(found, ["g", "id"], "left_anti").join(own, ["g", "id"])
+        front = cut(new.select("g", "id", half_up(1 - (1 - F.col("own")) * (1 - given), 4).alias("confidence"), F.lit(n).alias("depth")))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, placed: DataFrame) -> DataFrame:
     """g, id, confidence after noisy-or along the edges, level by level in topological order.
 
     nodes carry confidence (0 to 1), edges degradation. A node takes its turn when all its
-    sources have had theirs; what it gets from them is rounded to four places.
+    sources have had theirs; what it gets from them is rounded to four places. What is on a cycle
+    or behind one keeps 95 hundredths of its own.
     """
-    state = nodes.select("g", "id", F.col("confidence").alias("c")).join(roots(nodes, edges).withColumn("done", F.lit(True)), ["g", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    state = cut(state)
-    for _ in range(most + 2):
-        if state.where("not done").isEmpty():
-            break
-        src = state.select("g", F.col("id").alias("src"), F.col("c").alias("sc"), F.col("done").alias("ready"))
-        into = edges.join(src, ["g", "src"]).groupBy("g", F.col("dst").alias("id")).agg(
-            F.bool_and("ready").alias("ready"), F.product(1 - F.col("sc") * (1 - F.col("degradation"))).alias("miss")
-        )
-        step = state.join(into, ["g", "id"], "left")
-        turn = ~F.col("done") & F.coalesce("ready", F.lit(False))
-        state = cut(step.select("g", "id", F.when(turn, half_up(1 - (1 - F.col("c")) * F.col("miss"), 4)).otherwise(F.col("c")).alias("c"), (F.col("done") | turn).alias("done")))
-    return state.select("g", "id", F.when(F.col("done"), F.col("c")).otherwise(half_up(F.col("c") * 0.95, 4)).alias("confidence"))
+    state = cut(nodes.select("g", "id", F.col("confidence").alias("c")).join(placed, ["g", "id"]))
+    edges = cut(edges.select("g", "src", "dst", "degradation").join(placed.select("g", F.col("id").alias("dst"), "level"), ["g", "dst"]).where("level is not null"))
+    done = state.where("level = 0")
+    for n in range(1, (state.agg(F.max("level")).first()[0] or 0) + 1):
+        src = done.select("g", F.col("id").alias("src"), F.col("c").alias("sc"))
+        into = edges.where(F.col("level") == n).join(src, ["g", "src"]).groupBy("g", F.col("dst").alias("id")).agg(F.product(1 - F.col("sc") * (1 - F.col("degradation"))).alias("miss"))
+        turn = state.where(F.col("level") == n).join(into, ["g", "id"]).select("g", "id", half_up(1 - (1 - F.col("c")) * F.col("miss"), 4).alias("c"), "level")
+        done = done.unionByName(cut(turn))
+    rest = state.where("level is null").select("g", "id", half_up(F.col("c") * 0.95, 4).alias("c"), "level")
+    return done.unionByName(rest).select("g", "id", F.col("c").alias("confidence"))
 
 
 def graph_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import bounded, half_up
-from ..functions.text import basename
-from .rules import CATEGORY_WEIGHT, SEVERITY_RANK, TOKEN_KINDS, Rule
+from ..functions.text import basename, entropy
+from .rules import (
+    BINARY_CHANGE, CATEGORY_WEIGHT, DENSE_BITS, ENTROPY_RULE, LARGE_CHARACTERS, LINE_RULES, NAME_RULES, PERMISSION_SCORES, SEVERITY_RANK, SIZE_RULE, TOKEN_KINDS, TOKEN_LEVELS, TOKEN_VALUES,
+    UNKNOWN_TOKEN, WORKFLOW_PATH, WORKFLOW_TOKENS, Rule,
+)
 
 #: A pattern that begins with a repeated character class.
 REPEATED_START = re.compile(r"^(\[(?:\\.|[^\[\]\\])+\])\+(?![+?])")
@@ -43,8 +47,8 @@ def tested(pattern: str) -> str:
     return REPEATED_START.sub(r"\1", pattern)
 
 
-def match(rows: DataFrame, rules: Sequence[Rule], content: str = "content") -> DataFrame:
-    """A finding for every rule that a line meets, once per line and rule."""
+def match(rows: DataFrame, rules: Sequence[Rule], content: str = "content", snippet: bool = False) -> DataFrame:
+    """A finding for every rule that a line meets, once per line and rule; with the line's first 150 characters on request."""
     hits = F.array(
         *[
             F.when(
@@ -52,12 +56,15 @@ def match(rows: DataFrame, rules: Sequence[Rule], content: str = "content") -> D
                 F.struct(
                     F.lit(r.kind).alias("type"), F.lit(r.subcode).alias("subcode"), F.lit(r.category).alias("category"), F.lit(r.intent).alias("intent"),
                     F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.score).alias("risk_score"),
+                    *([F.lit(i).alias("rule_no")] if snippet else []),
                 ),
             )
-            for r in rules
+            for i, r in enumerate(rules)
         ]
     )
     keys = [c for c in rows.columns if c != content]
+    if snippet:
+        rows, keys = rows.withColumn("snippet", F.substring(content, 1, 150)), [*keys, "snippet"]
     return rows.select(*keys, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("hit")).select(*keys, "hit.*")
 
 
@@ -77,29 +84,114 @@ def patch_lines(df: DataFrame, patch: str, *keys: str) -> DataFrame:
     return raw.where(added & (F.col("hunk") > 0)).select(*keys, F.col("line").cast("int").alias("line"), F.trim(F.substr("content", F.lit(2))).alias("content"))
 
 
-def file_name_findings(df: DataFrame, path: str) -> DataFrame:
-    """Findings that the name alone gives: environment, credential, key and build files."""
-    name = F.lower(basename(F.col(path)))
-    cases = [
-        (name.startswith(".env"), "SEC-ENV-FILE", "HIGH", 75),
-        (name.isin("credentials", "credentials.json", ".npmrc", ".netrc"), "SEC-CREDS-FILE", "CRITICAL", 85),
-        (name.rlike(r"^id_(rsa|dsa|ecdsa|ed25519)$|\.pem$"), "SEC-SSH-FILE", "CRITICAL", 90),
-        (name == "binding.gyp", "GYP-FILE", "HIGH", 70),
-        (name.endswith(".node"), "GYP-NODE", "MEDIUM", 40),
-        (F.col(path).rlike(r"\.github/workflows/"), "WF-INFO", "LOW", 0),
-    ]
-    hits = F.array(*[F.when(c, F.struct(F.lit(s).alias("subcode"), F.lit(v).alias("severity"), F.lit(n).alias("risk_score"))) for c, s, v, n in cases])
-    return df.select(path, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("hit")).select(path, "hit.*")
+def by_name(path: Column, pattern: str) -> Column:
+    """Whether the base name, in lower case, meets the pattern; the whole path where the pattern has a folder."""
+    return (path if "workflows" in pattern else F.lower(basename(path))).rlike(pattern)
+
+
+def file_name_findings(df: DataFrame, path: str, *keys: str, patch: bool = True) -> DataFrame:
+    """Findings that the name alone gives; whole files are not tested for credential and key names.
+
+    A patch of binding.gyp is a build file and no further integration; a whole one is both.
+    """
+    rules = [r for r in NAME_RULES if patch or r.subcode not in ("SEC-CREDS-FILE", "SEC-SSH-FILE")]
+    one = lambda r: by_name(F.col(path), r.pattern) & (F.lower(basename(F.col(path))) != "binding.gyp" if patch and r.subcode == "GYP-NODE" else F.lit(True))
+    hits = F.array(*[F.when(one(r), rule_struct(r, i)) for i, r in enumerate(rules)])
+    return df.select(*keys, path, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("hit")).select(*keys, path, "hit.*")
+
+
+def rule_struct(r: Rule, i: int) -> Column:
+    named = {"type": r.kind, "subcode": r.subcode, "category": r.category, "intent": r.intent, "severity": r.severity, "confidence": r.confidence, "risk_score": r.score, "rule_no": i}
+    return F.struct(*[F.lit(v).alias(k) for k, v in named.items()])
+
+
+def token_level(score: Column) -> Column:
+    out = F.lit("LOW")
+    for level, least in sorted(TOKEN_LEVELS, key=lambda x: x[1]):
+        out = F.when(score >= least, level).otherwise(out)
+    return out
 
 
 def token_class(token: Column) -> Column:
-    """struct(kind, score) of a secret by its prefix, in order; unknown scores 0."""
-    found = F.struct(F.lit("unknown").alias("kind"), F.lit(0).alias("score"))
-    for kind, pattern, score in reversed(TOKEN_KINDS):
-        found = F.when(token.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.lit(score).alias("score"))).otherwise(found)
+    """struct(kind, provider, score, level, confidence) of a secret by its form, in order; unknown scores 0."""
+    cases = lambda t: F.struct(F.lit(t.kind).alias("kind"), F.lit(t.provider).alias("provider"), F.lit(t.score).alias("score"), token_level(F.lit(t.score)).alias("level"), F.lit(t.confidence).alias("confidence"))
+    found = cases(UNKNOWN_TOKEN)
+    for t in reversed(TOKEN_KINDS):
+        found = F.when(F.trim(token).rlike(t.pattern), cases(t)).otherwise(found)
     return found
 
 
+def token_score(base: Column, permissions: Column) -> Column:
+    """The base score with what each permission adds, from 0 to 100."""
+    extra = F.aggregate(permissions, F.lit(0), lambda acc, p: acc + lookup(p, PERMISSION_SCORES, 0))
+    return bounded(base + extra).cast("int")
+
+
+def token_findings(findings: DataFrame) -> DataFrame:
+    """A further finding for each secret whose token has a known form; findings have type and snippet."""
+    value = F.lit(None).cast("string")
+    for kind, pattern in TOKEN_VALUES.items():
+        value = F.when(F.col("type") == kind, F.regexp_extract("snippet", pattern, 0)).otherwise(value)
+    t = F.col("t")
+    rows = findings.withColumn("t", token_class(value)).where(F.coalesce(value, F.lit("")) != "").where("t.score > 0")
+    return rows.withColumns(
+        {"type": F.lit("TOKEN_RISK"), "subcode": F.lit("TOK-CLASS"), "category": F.lit("token"), "intent": F.lit("EXFILTRATION"), "severity": t["level"], "confidence": F.lit("high"), "risk_score": t["score"]}
+    ).drop("t")
+
+
+def scan_files(files: DataFrame, path: str, text: str, *keys: str) -> DataFrame:
+    """All findings of whole files: by name, by line, by entropy and size, by token form and by workflow permission.
+
+    keys, path, line (0: the file), type, subcode, category, intent, severity, confidence, risk_score,
+    snippet, phase and rule_no; the last two with line give the order of a file's findings.
+    """
+    at = lambda df, phase: df.withColumns({"line": F.lit(0), "snippet": F.lit(""), "phase": F.lit(phase)})
+    found = match(lines(files, text, *keys, path), LINE_RULES, snippet=True).withColumn("phase", F.lit(1))
+    names = at(file_name_findings(files, path, *keys, patch=False), 0)
+    whole = files.select(*keys, path, F.explode(F.array_compact(F.array(
+        F.when(by_name(F.col(path), ENTROPY_RULE.pattern) & (entropy(F.col(text)) > DENSE_BITS), rule_struct(ENTROPY_RULE, 0)),
+        F.when(F.length(text) > LARGE_CHARACTERS, rule_struct(SIZE_RULE, 1)),
+    ))).alias("hit")).select(*keys, path, "hit.*")
+    granted = files.where(F.col(path).rlike(WORKFLOW_PATH)).select(*keys, path, F.explode(F.array_compact(F.array(*[F.when(F.col(text).rlike(r.pattern), rule_struct(r, i)) for i, r in enumerate(WORKFLOW_TOKENS)]))).alias("hit")).select(*keys, path, "hit.*")
+    tokens = token_findings(found).withColumn("phase", F.lit(3))
+    parts = [names, found, at(whole, 2), tokens, at(granted, 4)]
+    columns = [*keys, path, "line", "type", "subcode", "category", "intent", "severity", "confidence", "risk_score", "snippet", "phase", "rule_no"]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+
+
+def scan_patches(patches: DataFrame, path: str, patch: str, *keys: str) -> DataFrame:
+    """All findings of patches: by name, of binary changes, by added line, by token form and by workflow permission."""
+    at = lambda df, phase: df.withColumns({"line": F.lit(0), "snippet": F.lit(""), "phase": F.lit(phase)})
+    found = match(patch_lines(patches, patch, *keys, path).where("content <> ''"), LINE_RULES, snippet=True).withColumn("phase", F.lit(1))
+    names = at(file_name_findings(patches, path, *keys), 0)
+    hits = F.array(F.when(F.col(patch).rlike(BINARY_CHANGE.pattern), rule_struct(BINARY_CHANGE, 100)), *[F.when(F.col(path).rlike(WORKFLOW_PATH) & F.col(patch).rlike(r.pattern), rule_struct(r, i)) for i, r in enumerate(WORKFLOW_TOKENS)])
+    whole = at(patches.select(*keys, path, F.explode(F.array_compact(hits)).alias("hit")).select(*keys, path, "hit.*"), 4)
+    parts = [names, found, token_findings(found).withColumn("phase", F.lit(3)), whole]
+    columns = [*keys, path, "line", "type", "subcode", "category", "intent", "severity", "confidence", "risk_score", "snippet", "phase", "rule_no"]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+
+
+# The categories that call for advice, in order.
+ADVICE = [
+    (("malware",), "remove what looks like malware"),
+    (("secret", "secrets"), "take secrets out of the code"),
+    (("ci-cd", "ci-supply-chain"), "pin actions and narrow permissions"),
+    (("workflow",), "review the workflows"),
+    (("obfuscation",), "make the code readable"),
+    (("supply-chain",), "audit the dependencies"),
+    (("agent",), "review the agents' instructions"),
+    (("token",), "restrict the tokens"),
+]
+
+
+def advice(findings: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, advice: what the categories of the ten worst findings call for, in a fixed order."""
+    drivers = ranked(findings, by).where("rank <= 10")
+    flags = drivers.groupBy(*by).agg(*[F.bool_or(F.col("category").isin(*c)).alias(f"f{i}") for i, (c, _) in enumerate(ADVICE)])
+    steps = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"f{i}"), F.lit(text)) for i, (_, text) in enumerate(ADVICE)])), "; ")
+    return flags.select(*by, F.when(steps == "", "nothing to do").otherwise(steps).alias("advice"))
+
+
 def correlations(findings: DataFrame, by: Sequence[str], file: str = "file") -> DataFrame:
     """by, name, adjustment: what several findings show together."""
     per_category = findings.groupBy(*by, "category").agg(F.countDistinct(file).alias("files")).where("files >= 2")

@@ -64,9 +64,28 @@ def order_deviations(events: DataFrame, by: str, order: Sequence[str], stage: st
     return rows.groupBy(by).agg(F.count_if(F.col("next") < F.col("i")).alias("deviations"), F.count("*").alias("n"))
 
 
+#: Measures are added up as whole numbers of this part, so that no order of adding changes a sum.
+PLACES = 10_000
+
+
+def exact_mean(value: Column) -> Column:
+    return F.sum(whole(value)).cast("double") / F.count(value) / PLACES
+
+
+def exact_std(value: Column) -> Column:
+    """The population deviation from exact sums: n * sum of squares - square of sum is n * n times the variance."""
+    n, v = F.count(value).cast("decimal(12,0)"), whole(value).cast("decimal(18,0)")
+    total, squares = F.sum(v).cast("decimal(18,0)"), F.sum(v * v).cast("decimal(26,0)")
+    return F.sqrt((n * squares - total * total).cast("double")) / F.count(value) / PLACES
+
+
+def whole(value: Column) -> Column:
+    return F.round(value * PLACES).cast("long")
+
+
 def baseline(records: DataFrame, by: str, measures: Sequence[str]) -> DataFrame:
     """by, n and mean, population std, min and max of each measure."""
-    aggs = [f(m).alias(f"{m}_{name}") for m in measures for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    aggs = [f(F.col(m)).alias(f"{m}_{name}") for m in measures for name, f in (("mean", exact_mean), ("std", exact_std), ("min", F.min), ("max", F.max))]
     return records.groupBy(by).agg(F.count("*").alias("n"), *aggs)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import builds, scan, sessions
+from . import builds, code, scan, sessions, telemetry
 
-MODULES = [scan, sessions, builds]
+MODULES = [scan, code, sessions, telemetry, builds]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 

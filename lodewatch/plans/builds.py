@@ -36,8 +36,13 @@ def baseline_stats(spark, sf_dir):
     return b.select("key", "n", *[F.round(c, 6).alias(c) for c in b.columns if c not in ("key", "n")])
 
 
+def _moments(m: str) -> str:
+    v = f"round({m} * {trends.PLACES})::BIGINT"
+    return f"sum({v})::DOUBLE / count({m}) / {trends.PLACES} AS {m}_mean, sqrt((count({m})::HUGEINT * sum({v}::HUGEINT * {v}::HUGEINT) - sum({v})::HUGEINT * sum({v})::HUGEINT)::DOUBLE) / count({m}) / {trends.PLACES} AS {m}_std"
+
+
 def _stats(rows: str = RECORDS) -> str:
-    return f"(SELECT key, count(*) AS n, {', '.join(f'avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std, min({m}) AS {m}_min, max({m}) AS {m}_max' for m in MEASURES)} FROM {rows} GROUP BY key)"
+    return f"(SELECT key, count(*) AS n, {', '.join(f'{_moments(m)}, min({m}) AS {m}_min, max({m}) AS {m}_max' for m in MEASURES)} FROM {rows} GROUP BY key)"
 
 
 def _z(m: str) -> str:
@@ -210,38 +215,132 @@ def graph_paths(spark, sf_dir):
     return paths.groupBy("g", "start", "end").agg(F.count("*").alias("paths"), F.min("length").alias("shortest"), F.max("length").alias("longest"))
 
 
+def mesh(spark, sf_dir):
+    """Graphs of 30 nodes: customers in order, each leading to the next, to the fourth after, and in every second graph some back."""
+    nodes = read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 30).alias("g"), (F.col("c_custkey") % 30).cast("int").alias("id"), F.col("c_nationkey").alias("kind"), F.col("c_custkey").alias("key"), F.round(F.lit(0.5) + F.col("c_custkey") % 5 / 10, 2).alias("confidence"))
+    steps = F.array(F.when(F.col("key") % 11 != 3, F.struct(F.lit(1).alias("by"), (F.col("key") % 7 + 1).cast("double").alias("cost"), F.lit(0.05).alias("degradation"))), F.when(F.col("key") % 3 == 0, F.struct(F.lit(4).alias("by"), F.lit(9.0).alias("cost"), F.lit(0.25).alias("degradation"))), F.when((F.col("g") % 2 == 1) & (F.col("key") % 13 == 0), F.struct(F.lit(-6).alias("by"), F.lit(1.0).alias("cost"), F.lit(0.1).alias("degradation"))))
+    edges = nodes.select("g", F.col("id").alias("src"), F.explode(F.array_compact(steps)).alias("s")).select("g", "src", (F.col("src") + F.col("s.by")).alias("dst"), "s.cost", "s.degradation")
+    there = nodes.select("g", F.col("id").alias("dst"))
+    return nodes, edges.join(there, ["g", "dst"], "left_semi").select("g", "src", "dst", "cost", "degradation")
+
+
+# Distances by growing walks: a pair's first length is its distance; no simple path here has more than 29 edges.
+REACH = """WITH RECURSIVE n AS MATERIALIZED (SELECT c_custkey // 30 AS g, (c_custkey % 30)::INT AS id, c_custkey AS key FROM customer),
+  e AS MATERIALIZED (SELECT g, src, dst, cost FROM (SELECT g, id AS src, id + 1 AS dst, (key % 7 + 1)::DOUBLE AS cost FROM n WHERE key % 11 <> 3 UNION ALL SELECT g, id, id + 4, 9.0 FROM n WHERE key % 3 = 0 UNION ALL SELECT g, id, id - 6, 1.0 FROM n WHERE g % 2 = 1 AND key % 13 = 0) WHERE (g, dst) IN (SELECT (g, id) FROM n)),
+  roots AS (SELECT g, id FROM n WHERE (g, id) NOT IN (SELECT (g, dst) FROM e)),
+  walk AS (SELECT g, id AS s, id AS t, 0 AS d FROM n UNION SELECT w.g, w.s, e.dst, w.d + 1 FROM walk w JOIN e ON e.g = w.g AND e.src = w.t WHERE w.d < 29),
+  dist AS MATERIALIZED (SELECT g, s, t, min(d) AS d FROM walk GROUP BY ALL)"""
+
+
 def graph_closeness(spark, sf_dir):
-    nodes, edges = nodes_edges(spark, sf_dir)
-    return graph.closeness(nodes, graph.walks(edges, nodes))
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.closeness(nodes, graph.distances(nodes, edges))
 
 
 def graph_betweenness(spark, sf_dir):
-    nodes, edges = nodes_edges(spark, sf_dir)
-    return graph.betweenness(nodes, graph.walks(edges, nodes))
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.betweenness(nodes, edges, graph.distances(nodes, edges))
 
 
-BETWEEN_SQL = walk_sql("n") + """, short AS (SELECT *, count(*) OVER (PARTITION BY g, start, "end") AS k FROM (SELECT *, min(length) OVER (PARTITION BY g, start, "end") AS d FROM paths) WHERE length = d), raw AS (SELECT g, id, sum(1.0::DOUBLE / k) AS b FROM (SELECT g, k, unnest(nodes[2:len(nodes) - 1]) AS id FROM short WHERE length > 1) GROUP BY g, id)
+# The number of shortest paths of a pair is the sum over its last edges.
+BETWEEN_SQL = REACH + """, ways AS MATERIALIZED (WITH RECURSIVE w AS (SELECT g, s, t, d, 1.0::DOUBLE AS k FROM dist WHERE d = 0 UNION ALL SELECT x.g, x.s, x.t, x.d, sum(w.k) FROM w JOIN e ON e.g = w.g AND e.src = w.t JOIN dist x ON x.g = w.g AND x.s = w.s AND x.t = e.dst AND x.d = w.d + 1 GROUP BY x.g, x.s, x.t, x.d) SELECT * FROM w),
+  raw AS (SELECT a.g, a.t AS id, sum(a.k * b.k / w.k) AS b FROM ways a JOIN ways b ON b.g = a.g AND b.s = a.t JOIN ways w ON w.g = a.g AND w.s = a.s AND w.t = b.t AND w.d = a.d + b.d WHERE a.d > 0 AND b.d > 0 GROUP BY a.g, a.t)
   SELECT g, id, round(b / greatest(max(b) OVER (PARTITION BY g), 1) + 1e-9::DOUBLE, 3) AS betweenness FROM (SELECT n.g, n.id, coalesce(b, 0) AS b FROM n LEFT JOIN raw USING (g, id))"""
 
 
+def graph_strong_components(spark, sf_dir):
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.strong_components(nodes, graph.distances(nodes, edges))
+
+
+STRONG_SQL = REACH + " SELECT a.g, a.s AS id, min(a.t) AS component FROM dist a JOIN dist b ON b.g = a.g AND b.s = a.t AND b.t = a.s GROUP BY a.g, a.s"
+
+
+def graph_shape(spark, sf_dir):
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.shape(nodes, edges, graph.levels(nodes, edges))
+
+
+# A node has a level if no cycle leads to it: no node that reaches itself by an edge reaches it.
+LEVELS = """, cyclic AS (SELECT DISTINCT a.g, a.t AS id FROM dist a JOIN (SELECT DISTINCT d.g, d.s FROM dist d JOIN e ON e.g = d.g AND e.src = d.t AND e.dst = d.s) c ON c.g = a.g AND c.s = a.s),
+  free AS (SELECT g, id FROM n WHERE (g, id) NOT IN (SELECT (g, id) FROM cyclic)),
+  climb AS (SELECT g, id, 0 AS level FROM roots UNION SELECT c.g, e.dst, c.level + 1 FROM climb c JOIN e ON e.g = c.g AND e.src = c.id WHERE (e.g, e.dst) IN (SELECT (g, id) FROM free)),
+  levels AS MATERIALIZED (SELECT g, id, max(level) AS level FROM climb GROUP BY ALL)"""
+SHAPE_SQL = REACH + LEVELS + """ SELECT g, k = m AS acyclic, depth, round(coalesce(b, 0), 6) AS branching FROM (SELECT g, count(*) AS k FROM n GROUP BY g) JOIN (SELECT g, count(*) AS m, max(level) AS depth FROM levels GROUP BY g) USING (g) LEFT JOIN (SELECT g, count(*) / count(DISTINCT src)::DOUBLE AS b FROM e GROUP BY g) USING (g)"""
+
+
+def graph_levels(spark, sf_dir):
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.levels(nodes, edges).where("level is not null")
+
+
 def graph_dominators(spark, sf_dir):
-    return graph.dominators(_root_paths(spark, sf_dir)[2])
+    return graph.immediate(graph.dominator_rows(*mesh(spark, sf_dir)))
+
 
+# A node dominates another if no way from a root is left without it.
+DOMINATED = """, without AS (SELECT n.g, n.id AS gone, r.id FROM n JOIN roots r ON r.g = n.g AND r.id <> n.id UNION SELECT w.g, w.gone, e.dst FROM without w JOIN e ON e.g = w.g AND e.src = w.id WHERE e.dst <> w.gone),
+  reached AS (SELECT DISTINCT d.g, d.t AS id FROM dist d JOIN roots r ON r.g = d.g AND r.id = d.s),
+  dom AS MATERIALIZED (SELECT a.g, a.id, b.id AS by FROM reached a JOIN reached b ON a.g = b.g WHERE (a.g, b.id, a.id) NOT IN (SELECT (g, gone, id) FROM without)),
+  idoms AS MATERIALIZED (SELECT r.g, r.id, x.idom FROM reached r LEFT JOIN (SELECT d.g, d.id, arg_max(d.by, k.k) AS idom FROM dom d JOIN (SELECT g, id, count(*) AS k FROM dom GROUP BY ALL) k ON k.g = d.g AND k.id = d.by WHERE d.id <> d.by GROUP BY d.g, d.id) x USING (g, id))"""
 
-DOMINATOR_SQL = walk_sql("roots") + """, total AS (SELECT g, start, "end", count(*) AS k FROM paths GROUP BY ALL), through AS (SELECT g, start, "end", via, count(*) AS t, max(pos) AS pos FROM (SELECT g, start, "end", unnest(nodes[1:len(nodes) - 1]) AS via, unnest(range(1, len(nodes))) AS pos FROM paths) GROUP BY ALL)
-  SELECT g, start AS root, "end" AS id, arg_max(via, pos) AS idom FROM through JOIN total USING (g, start, "end") WHERE t = k GROUP BY g, start, "end" """
+
+def graph_dominance_frontier(spark, sf_dir):
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.frontier(graph.dominator_rows(nodes, edges), edges)
+
+
+FRONTIER_SQL = REACH + DOMINATED + " SELECT DISTINCT d.g, d.by AS id, e.dst AS stop FROM e JOIN dom d ON d.g = e.g AND d.id = e.src WHERE (d.g, d.by, e.dst) NOT IN (SELECT (g, by, id) FROM dom WHERE id <> by)"
+
+
+def graph_dominant_node(spark, sf_dir):
+    return graph.dominant(graph.immediate(graph.dominator_rows(*mesh(spark, sf_dir))))
+
+
+DOMINANT_SQL = REACH + DOMINATED + " SELECT g, arg_max(idom, (n, -idom)) AS dominant, max(n) AS n FROM (SELECT g, idom, count(*) AS n FROM idoms WHERE idom IS NOT NULL GROUP BY ALL) GROUP BY g"
 
 
 def graph_propagation(spark, sf_dir):
-    return graph.propagate(*nodes_edges(spark, sf_dir), most=20)
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.propagate(nodes, edges, graph.levels(nodes, edges))
+
+
+def graph_seeded(spark, sf_dir):
+    """From the first node of each graph."""
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.seeded(nodes, edges, nodes.where("id = 0"))
+
+
+def graph_subgraph(spark, sf_dir):
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.subgraph(edges, nodes.where("kind % 2 = 0")).groupBy("g").agg(F.count("*").alias("edges"), F.sum("cost").alias("cost"))
+
+
+SUBGRAPH_SQL = REACH + ", k AS (SELECT n.g, n.id FROM n JOIN customer ON c_custkey = key WHERE c_nationkey % 2 = 0) SELECT g, count(*) AS edges, sum(cost) AS cost FROM e WHERE (g, src) IN (SELECT (g, id) FROM k) AND (g, dst) IN (SELECT (g, id) FROM k) GROUP BY g"
+
+
+def graph_confidence_paths(spark, sf_dir):
+    """Every path between two nodes of the small graphs with what is left of its start's confidence."""
+    nodes, edges = nodes_edges(spark, sf_dir)
+    paths = graph.walks(edges.withColumn("cost", F.log1p(-F.col("degradation"))), graph.roots(nodes, edges))
+    rows = graph.path_confidence(paths.join(nodes.select("g", F.col("id").alias("start"), "confidence"), ["g", "start"]))
+    return rows.select("g", F.array_join(F.col("nodes").cast("array<string>"), ">").alias("path"), "confidence", "propagated", "lost_pct")
+
+
+CONFIDENCE_SQL = f"""{GRAPH}, walk AS (SELECT g, id AS start, id AS last, [id] AS nodes, 1.0::DOUBLE AS kept FROM roots UNION ALL SELECT w.g, w.start, e.dst, list_append(w.nodes, e.dst), w.kept * (1 - e.degradation) FROM walk w JOIN e ON e.g = w.g AND e.src = w.last WHERE NOT list_contains(w.nodes, e.dst) AND len(w.nodes) < 11)
+  SELECT w.g, array_to_string(nodes, '>') AS path, n.confidence, round(n.confidence * kept + 1e-9::DOUBLE, 4) AS propagated, round((1 - kept) * 100 + 1e-9::DOUBLE, 2) AS lost_pct FROM walk w JOIN n ON n.g = w.g AND n.id = w.start WHERE len(nodes) > 1"""
 
 
 def temporal_critical_path(spark, sf_dir):
-    nodes, edges, paths = _root_paths(spark, sf_dir)
-    return graph.critical_path(nodes, edges, paths)
+    nodes, edges = mesh(spark, sf_dir)
+    return graph.critical_path(nodes, edges, graph.levels(nodes, edges))
 
 
-CRITICAL_SQL = walk_sql("roots") + """ SELECT g, arg_max(path, (cost, length, path)) AS path, max(cost) AS cost FROM (SELECT *, array_to_string(nodes, '>') AS path FROM paths WHERE (g, "end") NOT IN (SELECT (g, src) FROM e)) GROUP BY g"""
+# Acyclic graphs are the even ones and those odd ones without a cycle; best paths in order of levels.
+CRITICAL_SQL = REACH + LEVELS + """, ok AS (SELECT g FROM n GROUP BY g HAVING count(*) = (SELECT count(*) FROM levels l WHERE l.g = n.g)),
+  best AS (SELECT g, id, 0 AS level, 0.0::DOUBLE AS cost, [id] AS nodes FROM roots WHERE g IN (SELECT g FROM ok)
+    UNION ALL SELECT b.g, e.dst, b.level + 1, b.cost + e.cost, list_append(b.nodes, e.dst) FROM best b JOIN e ON e.g = b.g AND e.src = b.id)
+  SELECT g, array_to_string(arg_max(nodes, (cost, len(nodes), nodes)), '>') AS path, max(cost) AS cost FROM best WHERE len(nodes) > 1 AND (g, id) NOT IN (SELECT (g, src) FROM e) GROUP BY g"""
 
 
 def graph_diff(spark, sf_dir):
@@ -276,7 +375,6 @@ def roc_auc(spark, sf_dir):
 
 AUC_SQL = f"""SELECT count(*) AS n, sum(actual)::BIGINT AS positives, round(sum(CASE WHEN actual = 1 THEN below + ties / 2 END) / (sum(actual) * sum(1 - actual))::DOUBLE, 6) AS auc FROM (SELECT actual, coalesce(sum(1 - actual) OVER (ORDER BY share RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) + 0 * share AS below0, share,
   coalesce(sum(1 - actual) OVER (ORDER BY share), 0) - coalesce(sum(1 - actual) OVER (PARTITION BY share), 0) AS below, coalesce(sum(1 - actual) OVER (PARTITION BY share), 0)::DOUBLE AS ties FROM {PREDICTIONS})"""
-AUC_SQL = AUC_SQL.replace("coalesce(sum(1 - actual) OVER (ORDER BY share RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) + 0 * share AS below0, share,\n", "")
 
 
 def feature_vector(spark, sf_dir):
@@ -386,7 +484,7 @@ QUERIES = {
     for f in (
         orphan_anti_join, baseline_stats, normality_zscores, baseline_deviation, typical_tools, trend_slope_ewma_cusum, trend_overall, snapshot_direction, trust_dimensions, trust_score_verdict, hermetic_score, input_diff,
         jaccard_similarity, multi_dna_fingerprint, contract_violations, graph_build_edges, graph_stats, graph_components, graph_paths, graph_closeness, graph_betweenness, graph_dominators, graph_propagation,
-        temporal_critical_path, graph_diff, confusion_matrix, roc_auc, feature_vector, logistic_train_eval, coverage_rollup, campaign_summary, redteam_rules_unpivot, blindspot_stats, multi_author, ownership_by_author,
+        graph_strong_components, graph_shape, graph_levels, graph_dominance_frontier, graph_dominant_node, graph_seeded, graph_subgraph, graph_confidence_paths, temporal_critical_path, graph_diff, confusion_matrix, roc_auc, feature_vector, logistic_train_eval, coverage_rollup, campaign_summary, redteam_rules_unpivot, blindspot_stats, multi_author, ownership_by_author,
         codeowners_glob_join, typosquat_join, reputation_score, sbom_enrich,
     )
 }
@@ -410,9 +508,16 @@ ORACLE_SQL = {
     "graph_stats": STATS_SQL,
     "graph_components": COMPONENTS_SQL,
     "graph_paths": walk_sql("roots") + " SELECT g, start, \"end\", count(*) AS paths, min(length) AS shortest, max(length) AS longest FROM paths GROUP BY ALL",
-    "graph_closeness": walk_sql("n") + " SELECT n.g, n.id, round(coalesce(c, 0), 6) AS closeness FROM n LEFT JOIN (SELECT g, start AS id, count(*) / sum(d)::DOUBLE AS c FROM (SELECT g, start, \"end\", min(length) AS d FROM paths GROUP BY ALL) GROUP BY ALL) x USING (g, id)",
+    "graph_closeness": REACH + " SELECT n.g, n.id, round(coalesce(c, 0), 6) AS closeness FROM n LEFT JOIN (SELECT g, s AS id, count(*) / sum(d)::DOUBLE AS c FROM dist WHERE d > 0 GROUP BY ALL) USING (g, id)",
+    "graph_strong_components": STRONG_SQL,
+    "graph_shape": SHAPE_SQL,
+    "graph_levels": REACH + LEVELS + " SELECT g, id, level FROM levels",
+    "graph_dominance_frontier": FRONTIER_SQL,
+    "graph_dominant_node": DOMINANT_SQL,
+    "graph_subgraph": SUBGRAPH_SQL,
+    "graph_confidence_paths": CONFIDENCE_SQL,
     "graph_betweenness": BETWEEN_SQL,
-    "graph_dominators": DOMINATOR_SQL,
+    "graph_dominators": REACH + DOMINATED + " SELECT g, id, idom FROM idoms",
     "temporal_critical_path": CRITICAL_SQL,
     "graph_diff": DIFF_SQL,
     "confusion_matrix": CONFUSION_SQL,

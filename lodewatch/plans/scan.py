@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import entropy
 from ..operators import chains, scan
-from ..operators.rules import CATEGORY_WEIGHT, LANGUAGE_RULES, LINE_RULES, SEVERITY_RANK, TOKEN_KINDS, Rule
+from ..operators.rules import CATEGORY_WEIGHT, LINE_RULES, SEVERITY_RANK, TOKEN_KINDS, UNKNOWN_TOKEN, Rule
 from .tables import read
 
 # The corpus is prose, so besides the security rules these broader ones give it findings.
@@ -40,15 +40,17 @@ def quoted(x) -> str:
 
 def lines_sql(table: str, text: str, *keys: str) -> str:
     named = ", ".join(keys)
-    return f"(SELECT {named}, line, substring(content, 1, 10000) AS content FROM (SELECT {named}, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS content FROM (SELECT {named}, string_split({text}, chr(10)) AS l FROM {table})))"
+    return f"(SELECT {named}, line, content FROM (SELECT {named}, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS content FROM (SELECT {named}, string_split({text}, chr(10)) AS l FROM {table})))"
 
 
-def match_sql(lines: str, rules: list[Rule], keys: str) -> str:
-    cases = ", ".join(f"CASE WHEN regexp_matches(content, {quoted(r.pattern)}) THEN {quoted(r.subcode)} END" for r in rules)
-    values = ", ".join(f"({', '.join(quoted(x) for x in (r.kind, r.subcode, r.category, r.intent, r.severity, r.confidence))}, {r.score})" for r in rules)
-    return f"""(SELECT {keys}, r.type, r.subcode, r.category, r.intent, r.severity, r.confidence, r.risk_score
-      FROM (SELECT {keys}, unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS code FROM {lines}) h
-      JOIN (VALUES {values}) r(type, subcode, category, intent, severity, confidence, risk_score) ON r.subcode = h.code)"""
+def match_sql(lines: str, rules: list[Rule], keys: str, condition=None, more: str = "") -> str:
+    """Rows of `lines` with each rule whose condition (by default: its pattern is in content) holds."""
+    condition = condition or (lambda r: f"regexp_matches(content, {quoted(r.pattern)})")
+    cases = ", ".join(f"CASE WHEN {condition(r)} THEN {i} END" for i, r in enumerate(rules))
+    values = ", ".join(f"({i}, {', '.join(quoted(x) for x in (r.kind, r.subcode, r.category, r.intent, r.severity, r.confidence))}, {r.score})" for i, r in enumerate(rules))
+    return f"""(SELECT {keys}, r.type, r.subcode, r.category, r.intent, r.severity, r.confidence, r.risk_score{more}
+      FROM (SELECT *, unnest(list_filter([{cases}], lambda x: x IS NOT NULL)) AS rule_no FROM {lines}) h
+      JOIN (VALUES {values}) r(i, type, subcode, category, intent, severity, confidence, risk_score) ON r.i = h.rule_no)"""
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -91,9 +93,13 @@ def scan_token_findings(spark, sf_dir):
     return rows.select("file", "line", "token", scan.token_class(F.col("token")).alias("t")).select("file", "line", F.length("token").alias("n"), "t.kind", "t.score")
 
 
-TOKEN_SQL = f"""SELECT file, line, length(token)::INT AS n,
-  CASE {' '.join(f"WHEN regexp_matches(token, {quoted(p)}) THEN {quoted(k)}" for k, p, _ in TOKEN_KINDS)} ELSE 'unknown' END AS kind,
-  CASE {' '.join(f"WHEN regexp_matches(token, {quoted(p)}) THEN {s}" for _, p, s in TOKEN_KINDS)} ELSE 0 END AS score
+def token_cases(value: str, field: str) -> str:
+    show = lambda t: t.score if field == "score" else quoted(t[TOKEN_FIELDS.index(field)])
+    return f"CASE {' '.join(f'WHEN regexp_matches(trim({value}), {quoted(t.pattern)}) THEN {show(t)}' for t in TOKEN_KINDS)} ELSE {show(UNKNOWN_TOKEN)} END"
+
+
+TOKEN_FIELDS = ("kind", "provider", "score", "confidence")
+TOKEN_SQL = f"""SELECT file, line, length(token)::INT AS n, {token_cases('token', 'kind')} AS kind, {token_cases('token', 'score')} AS score
   FROM (SELECT file, line, regexp_extract(content, '[Tt]oken = "([^"]+)"', 1) AS token FROM {lines_sql(DOCS, 'text', 'file')}) WHERE token <> ''"""
 
 
@@ -104,7 +110,7 @@ def scan_entropy_size(spark, sf_dir):
 
 
 ENTROPY_SQL = f"""SELECT d.file, round(coalesce(e.bits, 0), 6) AS entropy, coalesce(e.bits, 0) > 6.0 AS dense, length(d.text) > 500000 AS large
-  FROM {DOCS} d LEFT JOIN (SELECT file, entropy(c) AS bits FROM (SELECT file, unnest(string_split(substring(text, 1, 100000), '')) AS c FROM {DOCS}) GROUP BY file) e USING (file)"""
+  FROM {DOCS} d LEFT JOIN (SELECT file, entropy(c) AS bits FROM (SELECT file, unnest(string_split(text, '')) AS c FROM {DOCS}) GROUP BY file) e USING (file)"""
 
 
 def scan_pages_dom(spark, sf_dir):
@@ -115,29 +121,6 @@ def scan_agent_phrases(spark, sf_dir):
     return scan.match(scan.lines(read(spark, sf_dir, "conversations"), "text", "conv_id", "turn"), [r for r in LINE_RULES if r.category == "agent"] + AGENT_TEXT)
 
 
-LANGUAGE_OF = {"en": "python", "de": "go", "fr": "rust"}
-
-
-def multilang_rules(spark, sf_dir):
-    """Language rules by file language; here the text's language stands for it, with one broad rule each."""
-    rows = scan.lines(read(spark, sf_dir, "documents"), "text", "doc_id", "lang")
-    parts = [scan.match(rows.where(F.col("lang") == lang), language_rules(name)).withColumn("language", F.lit(name)) for lang, name in LANGUAGE_OF.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
-def language_rules(name: str) -> list[Rule]:
-    return [*LANGUAGE_RULES[name], Rule("TEXT", f"{name.upper()}-MAIL", "malware", "NEUTRAL", "LOW", "low", 5, r"@mail[0-9]")]
-
-
-def multilang_sql() -> str:
-    base = lines_sql("documents", "text", "doc_id", "lang")
-    parts = []
-    for lang, name in LANGUAGE_OF.items():
-        found = match_sql(f"(SELECT * FROM {base} WHERE lang = '{lang}')", language_rules(name), "doc_id, lang, line")
-        parts.append(f"SELECT *, '{name}' AS language FROM {found}")
-    return " UNION ALL ".join(parts)
-
-
 def semantic_filter_flags(spark, sf_dir):
     rows = scan.lines(read(spark, sf_dir, "pages"), "html", "page_id", "url")
     flagged = scan.semantic_flags(rows, F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), F.col("content"))
@@ -201,23 +184,11 @@ BENCHMARK_SQL = f"""SELECT file, round(CASE WHEN nf = 0 THEN 0 ELSE hit / nf END
   LEFT JOIN (SELECT file, list(DISTINCT subcode) AS found FROM {FINDINGS} GROUP BY file) f USING (file))"""
 
 
-def attack_chains(spark, sf_dir):
-    return chains.attack_chains(corpus_findings(spark, sf_dir)).select("file", "path", "length", "confidence", "score", "severity")
-
-
-CHAIN_SQL = f"""WITH RECURSIVE f AS (SELECT DISTINCT file, subcode, category, risk_score FROM {FINDINGS}),
-  step AS (SELECT a.file, a.subcode AS src, b.subcode AS dst, p.weight, b.risk_score AS dst_risk
-    FROM f a JOIN (VALUES {', '.join(f"({quoted(a)}, {quoted(b)}, {w})" for a, b, w in chains.PROGRESSIONS)}) p(src_category, dst_category, weight) ON a.category = p.src_category JOIN f b ON b.file = a.file AND b.category = p.dst_category),
-  walk AS (SELECT f.file, f.subcode AS last, [f.subcode] AS path, 1.0::DOUBLE AS confidence, f.risk_score AS worst FROM f WHERE NOT EXISTS (SELECT 1 FROM step s WHERE s.file = f.file AND s.dst = f.subcode)
-    UNION ALL SELECT w.file, s.dst, list_append(w.path, s.dst), w.confidence * s.weight, greatest(w.worst, s.dst_risk) FROM walk w JOIN step s ON s.file = w.file AND s.src = w.last WHERE NOT list_contains(w.path, s.dst) AND len(w.path) < 10)
-  SELECT file, array_to_string(path, '>') AS path, len(path)::INT AS length, round(confidence, 6) AS confidence, score, CASE WHEN score >= 70 THEN 'CRITICAL' WHEN score >= 30 THEN 'HIGH' WHEN score >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity
-  FROM (SELECT *, floor(least(100, worst * confidence * least(len(path) / 3.0, 1)) + 0.5)::INT AS score FROM walk WHERE len(path) >= 2)"""
-
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_lines_findings, scan_corpus_findings, scan_token_findings, scan_entropy_size, scan_pages_dom, scan_agent_phrases, multilang_rules, semantic_filter_flags, agency_score_by_source,
-        agency_score_adjusted, category_file_correlation, evidence_cards_top, policy_gate, finding_delta_new_fixed, top_findings_global, benchmark_precision_recall, attack_chains,
+        scan_lines_findings, scan_corpus_findings, scan_token_findings, scan_entropy_size, scan_pages_dom, scan_agent_phrases, semantic_filter_flags, agency_score_by_source,
+        agency_score_adjusted, category_file_correlation, evidence_cards_top, policy_gate, finding_delta_new_fixed, top_findings_global, benchmark_precision_recall,
     )
 }
 ORACLE_SQL = {
@@ -227,7 +198,6 @@ ORACLE_SQL = {
     "scan_entropy_size": ENTROPY_SQL,
     "scan_pages_dom": f"SELECT * FROM {match_sql(lines_sql('pages', 'html', 'page_id'), PAGE_RULES, 'page_id, line')}",
     "scan_agent_phrases": f"SELECT * FROM {match_sql(lines_sql('conversations', 'text', 'conv_id', 'turn'), [r for r in LINE_RULES if r.category == 'agent'] + AGENT_TEXT, 'conv_id, turn, line')}",
-    "multilang_rules": multilang_sql(),
     "semantic_filter_flags": SEMANTIC_SQL,
     "agency_score_by_source": f"SELECT * FROM {PLAIN}",
     "agency_score_adjusted": f"SELECT * FROM {ADJUSTED}",
@@ -239,5 +209,4 @@ ORACLE_SQL = {
     "finding_delta_new_fixed": DELTA_SQL,
     "top_findings_global": f"SELECT file, line, subcode, severity, risk_score FROM {FINDINGS} ORDER BY {RANK_SQL} DESC, risk_score DESC, file, line, subcode LIMIT 50",
     "benchmark_precision_recall": BENCHMARK_SQL,
-    "attack_chains": CHAIN_SQL,
 }

@@ -144,7 +144,7 @@ def mitre_timeline(spark, sf_dir):
     return behaviors.stages(acts(spark, sf_dir))
 
 
-TIMELINE_SQL = f"""SELECT session, technique, tactic, stage, min(ts) AS first_ts, count(*) AS n FROM {ACTS} JOIN (VALUES {', '.join(str(t) for t in TECHNIQUES)}) d(type, technique, tactic, stage) USING (type) GROUP BY ALL"""
+TIMELINE_SQL = f"""SELECT session, technique, tactic, first(stage ORDER BY ts, stage) AS stage, min(ts) AS first_ts, count(*) AS n FROM {ACTS} JOIN (VALUES {', '.join(str(t) for t in TECHNIQUES)}) d(type, technique, tactic, stage) USING (type) GROUP BY session, technique, tactic"""
 
 
 def sessionize_gap(spark, sf_dir):
@@ -224,18 +224,18 @@ def threshold_analysis(spark, sf_dir):
 
 
 def history_correlation_90d(spark, sf_dir):
-    """Signals of the last ten days whose type the same session already showed in the ten days before."""
+    """The signals of a session in the 90 days before its last day whose type that day shows again."""
     e = events(spark, sf_dir)
-    last = e.agg(F.max("ts").alias("now"))
-    rows = e.crossJoin(F.broadcast(last))  # one row
-    ten = 10 * 86_400 * SECOND
-    recent = rows.where(F.col("ts") > F.col("now") - ten)
-    older = rows.where((F.col("ts") <= F.col("now") - ten) & (F.col("ts") > F.col("now") - 2 * ten)).select("session", "kind").distinct()
-    return recent.join(older, ["session", "kind"], "left_semi").groupBy("session", "kind").agg(F.count("*").alias("n"))
+    now = e.groupBy("session").agg(F.max("ts").alias("now"))
+    rows = e.join(now, "session")
+    today = F.col("now") - 86_400 * SECOND
+    current = rows.where(F.col("ts") > today).select("session", "kind").distinct()
+    older = rows.where((F.col("ts") <= today) & (F.col("ts") > F.col("now") - 90 * 86_400 * SECOND))
+    return older.join(current, ["session", "kind"], "left_semi").groupBy("session", "kind").agg(F.count("*").alias("n"))
 
 
-HISTORY_SQL = f"""WITH e AS (SELECT *, max(ts) OVER () AS now FROM {EVENTS}) SELECT session, kind, count(*) AS n FROM e WHERE ts > now - {10 * 86_400 * SECOND} AND (session, kind) IN
-  (SELECT (session, kind) FROM e WHERE ts <= now - {10 * 86_400 * SECOND} AND ts > now - {20 * 86_400 * SECOND}) GROUP BY session, kind"""
+HISTORY_SQL = f"""WITH e AS (SELECT *, max(ts) OVER (PARTITION BY session) AS now FROM {EVENTS}) SELECT session, kind, count(*) AS n FROM e WHERE ts <= now - {86_400 * SECOND} AND ts > now - {90 * 86_400 * SECOND} AND (session, kind) IN
+  (SELECT (session, kind) FROM e WHERE ts > now - {86_400 * SECOND}) GROUP BY session, kind"""
 
 
 def capability_drift(spark, sf_dir):
