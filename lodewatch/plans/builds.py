@@ -290,7 +290,7 @@ def graph_dominance_frontier(spark, sf_dir):
     return graph.frontier(graph.dominator_rows(nodes, edges), edges)
 
 
-FRONTIER_SQL = REACH + DOMINATED + " SELECT DISTINCT d.g, d.by AS id, e.dst AS stop FROM e JOIN dom d ON d.g = e.g AND d.id = e.src WHERE (d.g, d.by, e.dst) NOT IN (SELECT (g, by, id) FROM dom WHERE id <> by)"
+FRONTIER_SQL = REACH + DOMINATED + " SELECT DISTINCT d.g, d.by AS id, e.dst AS stop FROM e JOIN dom d ON d.g = e.g AND d.id = e.src WHERE (d.g, d.by, e.dst) NOT IN (SELECT (dom.g, dom.by, dom.id) FROM dom WHERE dom.id <> dom.by)"
 
 
 def graph_dominant_node(spark, sf_dir):
