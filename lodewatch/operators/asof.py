@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 def nearest(left: DataFrame, right: DataFrame, by: str, ts: str, right_id: str, tolerance: int | None = None) -> DataFrame:
     """Each left row with the right row of the same key that is nearest in time, and the gap.
 
-    One union and two running windows; no pair is built. Of equally near rows the earlier in time
+    One union and two running windows, both from the start of their order; no pair is built. Of equally near rows the earlier in time
     wins, then the smaller id. Left rows with none within the tolerance get nulls. ts is a long.
     """
     columns = left.columns
@@ -19,7 +19,8 @@ def nearest(left: DataFrame, right: DataFrame, by: str, ts: str, right_id: str,
     )
     # the smallest id among equal times: order by time, then id descending, last one wins
     before = F.last("__right", True).over(Window.partitionBy(by).orderBy(F.col(ts), F.col("__right").isNull(), F.desc("__right.id")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__right", True).over(Window.partitionBy(by).orderBy(F.col(ts), F.col("__right").isNotNull(), F.col("__right.id")).rowsBetween(0, Window.unboundedFollowing))
+    # the same looked at from the end of time: a frame that runs forward is kept up row by row
+    after = F.last("__right", True).over(Window.partitionBy(by).orderBy(F.desc(ts), F.col("__right").isNull(), F.desc("__right.id")).rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumns({"__before": before, "__after": after}).where("__right is null")
     gap_b, gap_a = F.col(ts) - F.col("__before.ts"), F.col("__after.ts") - F.col(ts)
     best = F.when(F.col("__after").isNull() | (gap_b <= gap_a), F.col("__before")).otherwise(F.col("__after"))

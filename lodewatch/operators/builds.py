@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import bounded, half_up, ratio
 from ..functions.text import short_hash
 
-# Weight of each dimension of trust.
+#: Weights of the dimensions that a caller gives as columns; redteam.trust has the seven of a whole record.
 DIMENSIONS = {"toolchain": 0.18, "inputs": 0.18, "artifacts": 0.15, "network": 0.15, "process": 0.12, "environment": 0.12, "history": 0.10}
 
 

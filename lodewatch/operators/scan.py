@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import bounded, half_up
+from ..functions.tables import settle
 from ..functions.text import basename, entropy
 from .rules import (
     BINARY_CHANGE, CATEGORY_WEIGHT, DENSE_BITS, ENTROPY_RULE, LARGE_CHARACTERS, LINE_RULES, NAME_RULES, PERMISSION_SCORES, SEVERITY_RANK, SIZE_RULE, TOKEN_KINDS, TOKEN_LEVELS, TOKEN_VALUES,
@@ -216,6 +217,8 @@ def ranked(findings: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def agency_score(findings: DataFrame, by: Sequence[str], adjust: bool = True) -> DataFrame:
     """by, score, verdict, blast: the ten worst findings, each counting half of the one before, plus correlations."""
+    if adjust:  # four groupings follow; the lines are scanned once
+        findings = settle(findings.select(*by, "file", "line", "subcode", "category", "risk_score"))
     part = half_up(F.col("risk_score") * F.pow(F.lit(0.5), F.col("rank") - 1) * lookup(F.col("category"), CATEGORY_WEIGHT, 1.0))
     base = ranked(findings, by).where("rank <= 10").groupBy(*by).agg(F.sum(part).alias("base"))
     if adjust:

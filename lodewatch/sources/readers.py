@@ -12,11 +12,12 @@ SESSION = """format string, metadata struct<id:string,recordedAt:timestamp,durat
   events array<struct<type:string,data:string>>"""
 
 
-def text_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 5_000_000) -> DataFrame:
-    """file, content of every file below a path, without the folders that are skipped and files above a size."""
+def text_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
+    """file, content of every file below a path, without the folders that are skipped and, if asked for, files above a size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
     skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
-    return files.where(~skipped & (F.col("length") <= most_bytes)).select(F.col("path").alias("file"), F.col("content").cast("string").alias("content"))
+    small = F.lit(True) if most_bytes is None else F.col("length") <= most_bytes
+    return files.where(~skipped & small).select(F.col("path").alias("file"), F.col("content").cast("string").alias("content"))
 
 
 def unified_diff(df: DataFrame, raw: str, *keys: str) -> DataFrame:
@@ -49,13 +50,14 @@ def npm_lock(df: DataFrame, content: str = "content", *keys: str) -> DataFrame:
 
 def yarn_lock(df: DataFrame, content: str = "content", *keys: str) -> DataFrame:
     """keys, name, version, resolved, integrity of yarn lock files of version 1."""
-    lines = df.select(*keys, F.posexplode(F.split(F.col(content), "\n")).alias("pos", "line")).where("trim(line) <> '' and not startswith(line, '#')")
-    w = Window.partitionBy(*keys).orderBy("pos") if keys else Window.orderBy("pos")
+    df = df.withColumn("__file", F.monotonically_increasing_id())
+    lines = df.select(*keys, "__file", F.posexplode(F.split(F.col(content), "\n")).alias("pos", "line")).where("trim(line) <> '' and not startswith(line, '#')")
+    w = Window.partitionBy("__file").orderBy("pos")
     head = ~F.col("line").startswith(" ")
     rows = lines.withColumn("block", F.sum(head.cast("int")).over(w))
     value = lambda key: F.max(F.when(F.trim("line").startswith(f"{key} "), F.regexp_extract(F.trim("line"), r"^\w+ \"?([^\"]+)\"?$", 1)))
     name = F.max(F.when(head, F.regexp_extract("line", r"^\"?(@?[^@\"]+)@", 1)))
-    return rows.groupBy(*keys, "block").agg(name.alias("name"), value("version").alias("version"), value("resolved").alias("resolved"), value("integrity").alias("integrity")).drop("block")
+    return rows.groupBy(*keys, "__file", "block").agg(name.alias("name"), value("version").alias("version"), value("resolved").alias("resolved"), value("integrity").alias("integrity")).drop("__file", "block")
 
 
 def lock_format(content: Column) -> Column:
@@ -73,14 +75,63 @@ def npm_audit(df: DataFrame, raw: str = "raw", *keys: str) -> DataFrame:
     return rows.select(*keys, "name", severity.alias("severity"), detail["title"].alias("title"), F.regexp_extract(F.coalesce(detail["url"], F.lit("")), r"(GHSA-[a-z0-9-]+|CVE-\d+-\d+)", 1).alias("advisory"), "fix")
 
 
-def codeowners(df: DataFrame, content: str = "content") -> DataFrame:
-    """seq, pattern, owner of an ownership file; comments and lines without an @owner are skipped."""
-    lines = df.select(F.posexplode(F.split(F.col(content), "\n")).alias("seq", "line")).where("trim(line) <> '' and not startswith(trim(line), '#')")
+def codeowners(df: DataFrame, content: str = "content", *keys: str) -> DataFrame:
+    """keys, seq, pattern, owner of ownership files; comments and lines without an @owner are skipped."""
+    lines = df.select(*keys, F.posexplode(F.split(F.col(content), "\n")).alias("seq", "line")).where("trim(line) <> '' and not startswith(trim(line), '#')")
     parts = lines.withColumn("parts", F.split(F.trim("line"), r"\s+"))
-    return parts.select("seq", F.col("parts")[0].alias("pattern"), F.explode(F.filter(F.slice("parts", 2, 1000), lambda x: x.startswith("@"))).alias("owner"))
+    return parts.select(*keys, "seq", F.col("parts")[0].alias("pattern"), F.explode(F.filter(F.slice("parts", F.lit(2), F.size("parts")), lambda x: x.startswith("@"))).alias("owner"))
 
 
 def newest(df: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
     """The newest rows of each key: a history that keeps so many entries."""
     w = Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most).drop("__r")
+
+
+def snapshots_within(df: DataFrame, by: list[str], ts: str, days: int) -> DataFrame:
+    """The snapshots of the last days before each key's newest."""
+    now = df.groupBy(*by).agg(F.max(ts).alias("__now"))
+    return df.join(now, by).where(F.col(ts) > F.col("__now") - F.expr(f"interval {days} days")).drop("__now")
+
+
+def baseline_snapshot(df: DataFrame, by: list[str], ts: str, branch: str = "branch") -> DataFrame:
+    """The newest snapshot of each key on a main branch."""
+    return newest(df.where(F.col(branch).isin("main", "master")), by, [ts], 1)
+
+
+def replay_datasets(df: DataFrame, platform: str | None = None, campaign: str | None = None) -> DataFrame:
+    """Stored datasets by platform and campaign, where given."""
+    for column, wanted in (("platform", platform), ("campaign", campaign)):
+        df = df if wanted is None else df.where(F.col(column) == wanted)
+    return df
+
+
+def build_inputs(files: DataFrame, deepest: int = 6) -> DataFrame:
+    """file, kind, depth, size, sha256, text: inputs of a build below a depth, without dot entries, by the kind of their name.
+
+    files has file (a relative path) and content (binary).
+    """
+    parts = F.split("file", "/")
+    name = F.lower(F.element_at(parts, -1))
+    kind = (
+        F.when(name.isin("package-lock.json", "yarn.lock", "cargo.lock", "go.sum", "poetry.lock"), "lockfile")
+        .when(name.isin("package.json", "cargo.toml", "go.mod", "pyproject.toml", "pom.xml"), "manifest")
+        .when(name.isin("makefile", "cmakelists.txt", "build.gradle", "dockerfile"), "build_script")
+        .when(name.rlike(r"\.(?:ya?ml|json|toml|ini|cfg)\z"), "config")
+        .when(name.rlike(r"\.(?:c|cc|cpp|h|hpp|rs|go|js|ts|py|java)\z"), "source")
+        .otherwise("other")
+    )
+    rows = files.where((F.size(parts) <= deepest) & ~F.exists(parts, lambda p: p.startswith(".")))
+    return rows.select("file", kind.alias("kind"), F.size(parts).alias("depth"), F.length("content").alias("size"), F.sha2("content", 256).alias("sha256"), F.is_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
+def artifact_format(content: Column) -> Column:
+    """The format of a binary by its first bytes."""
+    head = F.hex(F.substring(content, 1, 4))
+    return F.when(head == "7F454C46", "elf").when(head.startswith("4D5A"), "pe").when(head.isin("CFFAEDFE", "CEFAEDFE", "FEEDFACE", "FEEDFACF", "CAFEBABE"), "macho").when(head == "504B0304", "zip").otherwise("unknown")
+
+
+def manifest_hardening(df: DataFrame, content: str = "content") -> DataFrame:
+    """Adds what a package manager's settings harden: scripts off, exact versions, a registry of its own, strict TLS."""
+    setting = lambda key: F.regexp_extract(content, rf"(?m)^\s*{key}\s*=\s*(\S+)", 1)
+    return df.withColumns({"scripts_off": setting("ignore-scripts") == "true", "exact": setting("save-exact") == "true", "registry": setting("registry"), "strict_tls": setting("strict-ssl") != "false"})

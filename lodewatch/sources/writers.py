@@ -39,3 +39,26 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], order: list[str
 def compact(record: DataFrame, arrays: dict[str, int], strings: dict[str, int]) -> DataFrame:
     """The rows with arrays and strings cut to the sizes a stored record may have."""
     return record.withColumns({c: F.slice(c, 1, n) for c, n in arrays.items()} | {c: F.substring(c, 1, n) for c, n in strings.items()})
+
+
+def session_json(sessions: DataFrame) -> DataFrame:
+    """value: each row as a JSON object, to be written as lines."""
+    return sessions.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sessions.columns])).alias("value"))
+
+
+def enriched_report(findings: DataFrame, scores: DataFrame, by: list[str]) -> DataFrame:
+    """by, value: a project's score, verdict and number of findings by severity as one JSON object."""
+    counts = findings.groupBy(*by).agg(*[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW")])
+    rows = scores.join(counts, by, "left")
+    body = [c for c in rows.columns if c not in by]
+    return rows.select(*by, F.to_json(F.struct(*body)).alias("value"))
+
+
+def changed(table: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """The table with new values in the rows that meet the condition; write it over the partition it came from."""
+    return table.withColumns({c: F.when(condition, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def purged(table: DataFrame, condition: Column) -> DataFrame:
+    """The table without the rows that meet the condition; a null condition keeps its row."""
+    return table.where(~F.coalesce(condition, F.lit(False)))

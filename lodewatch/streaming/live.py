@@ -31,8 +31,8 @@ def not_in_baseline(events: DataFrame, baseline: DataFrame, keys: list[str]) ->
 
 
 def mass_reads(events: DataFrame, span: str = "5 seconds", least: int = 50, distinct: int = 20, delay: str = "30 seconds") -> DataFrame:
-    """session, window, n, hosts of windows with many reads of many hosts."""
-    windows = events.withWatermark("ts", delay).groupBy("session", F.window("ts", span)).agg(F.count("*").alias("n"), F.approx_count_distinct("host").alias("hosts"))
+    """session, window, n, hosts of windows with many reads of many hosts, counted exactly as in a batch."""
+    windows = events.withWatermark("ts", delay).groupBy("session", F.window("ts", span)).agg(F.count("*").alias("n"), F.size(F.collect_set("host")).alias("hosts"))
     return windows.where((F.col("n") >= least) & (F.col("hosts") >= distinct))
 
 
@@ -47,13 +47,20 @@ def rate(events: DataFrame, span: str = "1 second", delay: str = "10 seconds") -
     return events.withWatermark("ts", delay).groupBy(F.window("ts", span, "500 milliseconds")).agg(F.count("*").alias("n")).select("window.start", "n")
 
 
-def chain(events: DataFrame) -> DataFrame:
+def chain(events: DataFrame, delay: str = DELAY, idle_ms: int = 86_400_000) -> DataFrame:
     """session, idx, seq, previous_hash, hash: a hash chain that continues from batch to batch.
 
-    The state of a session is its last index and hash; a batch's rows are linked in order of seq.
+    The state of a session is its last index and hash. A batch's rows are linked in order of time
+    and seq, batches in order of arrival. A session that is silent for `idle_ms` beyond the watermark
+    gives up its state; a chain that begins after that is a new one.
     """
 
     def link(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = ["session", "idx", "seq", "previous_hash", "hash"]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         idx, last = state.get if state.exists else (0, GENESIS)
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         out = []
@@ -62,12 +69,25 @@ def chain(events: DataFrame) -> DataFrame:
             out.append((key[0], idx, r.seq, last, now))
             idx, last = idx + 1, now
         state.update((idx, last))
-        yield pd.DataFrame(out, columns=["session", "idx", "seq", "previous_hash", "hash"])
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + idle_ms)
+        yield pd.DataFrame(out, columns=columns)
 
-    return events.groupBy("session").applyInPandasWithState(link, "session long, idx long, seq long, previous_hash string, hash string", "idx long, hash string", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", delay).groupBy("session").applyInPandasWithState(link, "session long, idx long, seq long, previous_hash string, hash string", "idx long, hash string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def alerts(findings: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str):
     """A started query that hands each batch's warning and critical rows to `send`."""
     loud = findings.where(F.col("severity").isin("warning", "critical", "HIGH", "CRITICAL"))
     return loud.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).start()
+
+
+def dropped_processes(samples: DataFrame, span: str = "10 seconds", delay: str = DELAY) -> DataFrame:
+    """start, n: the number of processes of each sample window; held against the window before by `process_drop` in a batch sink."""
+    counts = samples.withWatermark("ts", delay).groupBy(F.window("ts", span)).agg(F.size(F.collect_set("pid")).alias("n"))
+    return counts.select("window.start", "n")
+
+
+def between_polls(polls: DataFrame, delay: str = DELAY, gap: str = "30 seconds") -> DataFrame:
+    """key, first, last, n: how long a key is seen in poll after poll; a row comes when it is gone for `gap`."""
+    seen = polls.withWatermark("ts", delay).groupBy("key", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"))
+    return seen.select("key", "first", "last", "n")
