@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import builds, code, records, scan, sessions, telemetry
+from . import builds, code, processes, records, scan, sessions, telemetry
 
-MODULES = [scan, code, sessions, telemetry, builds, records]
+MODULES = [scan, code, sessions, telemetry, builds, records, processes]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 
