@@ -1,9 +1,12 @@
+import os
+
 import pytest
 
 from lodewatch.plans import ORACLE_SQL, QUERIES
 from tests.compare import connect, differences
 
-SF_DIR = "/root/testdata/sf0.01"
+#: The smallest tables; TEST_SF_DIR names larger ones.
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
