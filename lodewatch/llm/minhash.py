@@ -274,9 +274,9 @@ def grouped(documents: DataFrame, bands: int = BANDS, rows: int = ROWS, percent:
     members = reps.select(F.explode("keys").alias("key"), "node")
     centres = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("many")).where("many > 1").select("key", "centre")
     members = settle(members.join(centres, "key"))
-    wanted = few(only(reps.select("node", F.col("doc_id").alias("__id"), *DIGEST), members.select("node")))
-    chosen = documents.join(F.broadcast(wanted.select("__id").distinct()) if wanted.count() <= BROADCAST_IDS else wanted.select("__id").distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    sets = whole_sets(chosen).join(wanted, DIGEST).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "shingles")
+    wanted = settle(only(reps.select("node", F.col("doc_id").alias("__id"), *DIGEST), members.select("node")))
+    chosen = documents.join(few(wanted.select("__id").distinct()), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    sets = whole_sets(chosen).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS // 8 else wanted, DIGEST).where(F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "shingles")
     sets = settle(sets)
     if sets.count() > wanted.count():
         sets = settle(sets.dropDuplicates(["node"]))
