@@ -68,3 +68,42 @@ def detection_rate(fired: DataFrame, records: DataFrame, by: str, record: str) -
 def features(records: DataFrame, key: str, caps: dict[str, float]) -> DataFrame:
     """key and each measure over its cap, 1 at most."""
     return records.select(key, *[F.round(F.least(F.col(c) / cap, F.lit(1.0)), 8).alias(c) for c, cap in caps.items()])
+
+
+# The features of a build record in order, with the value that counts as 1; `+` caps at it.
+FEATURES = {
+    "avg_confidence": "100", "edge_node_ratio": "5+", "max_depth": "20+", "component_count": "10+", "graph_density": "1", "graph_entropy": "1", "is_dag": "1", "scc_count": "50+", "idom_count": "50+", "confidence_spread": "100+",
+    "max_fan_out": "20+", "avg_fan_out": "10+", "largest_component_ratio": "1", "avg_betweenness": "1+", "max_betweenness": "1", "avg_closeness": "1+", "max_closeness": "1", "root_eccentricity": "20+", "avg_branch_factor": "10+",
+    "process_tree_depth": "20+", "longest_chain_ms": "60000+", "critical_path_ms": "60000+", "avg_edge_latency_ms": "30000+", "max_edge_latency_ms": "60000+", "edge_latency_variance": "1000000+", "temporal_span_ms": "120000+",
+    "global_prior": "1", "overall_posterior": "1", "spawned_posterior": "1", "accessed_posterior": "1", "connected_posterior": "1", "uploaded_posterior": "1", "exfiltrated_posterior": "1", "hijack_risk": "1", "dominant_changed": "1",
+    "toolchain_shift": "1", "dominant_idom_count": "50+", "process_count": "100+", "file_op_count": "200+", "network_count": "50+", "secret_count": "20+", "compiler_count": "20+", "anomaly_count": "20+", "exfil_risk_count": "10+",
+    "critical_secret_count": "10+", "orphan_count": "5+", "fileless_count": "5+", "doh_count": "5+", "named_pipe_count": "5+", "ld_preload_count": "5+", "suspicious_maps_count": "5+", "response_file_changes": "10+",
+    "secret_path_length": "20+", "network_path_length": "50+", "compiler_diversity": "10+", "toolchain_entropy": "1", "contract_violation_ratio": "1+", "file_read_ratio": "1+", "secret_to_process_ratio": "5+",
+    "network_to_process_ratio": "10+", "hermetic_score": "100", "reproducibility_score": "100", "observation_confidence": "100", "inference_degradation": "1+", "observation_degradation": "1+", "confidence_variance": "1000+",
+    "total_processes": "100+", "total_hash_links": "100+", "exit_state": "1",
+}
+# Weights of the features that trust is learned from.
+LEARNED = {"avg_confidence": 0.15, "edge_node_ratio": 0.05, "hermetic_score": 0.12, "reproducibility_score": 0.08, "anomaly_count": 0.12, "exfil_risk_count": 0.10, "critical_secret_count": 0.10, "max_depth": 0.05, "component_count": 0.03}
+
+
+def exit_state(code: Column) -> Column:
+    """0 for success, 1 for failure, a half where it is not known."""
+    return F.when(code.isNull(), 0.5).when(code == 0, 0.0).otherwise(1.0)
+
+
+def feature_vector(records: DataFrame, *keys: str) -> DataFrame:
+    """keys and all features, each over the value that counts as 1; records have a column of each name."""
+
+    def one(name: str) -> Column:
+        top = float(FEATURES[name].rstrip("+"))
+        value = F.least(F.col(name).cast("double"), F.lit(top)) if FEATURES[name].endswith("+") else F.col(name)
+        return F.round(value / top, 8).alias(name)
+
+    return records.select(*keys, *[one(name) for name in FEATURES])
+
+
+def learned_trust(records: DataFrame, *keys: str) -> DataFrame:
+    """keys, trust: the weighted sum of nine features in whole per cent."""
+    percent = lambda n: half_up(F.least(F.col(n) / float(FEATURES[n].rstrip("+")), F.lit(1.0)) * 100)
+    total = sum((percent(n) * w for n, w in LEARNED.items()), F.lit(0.0))
+    return records.select(*keys, half_up(F.round(total, 9)).cast("int").alias("trust"))

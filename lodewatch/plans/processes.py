@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import builds as builds_ops
 from ..operators import dna, processes
 from .scan import quoted
 from .sessions import EVENTS, events
@@ -228,11 +229,41 @@ def sanitised_lines(spark, sf_dir):
 # The 31-hash of at most five digits needs no wrap.
 SAFE_SQL = """SELECT p_partkey, 'key=' || substr(h, 1, 4) || '*** // note ' || p_partkey || ' ''quoted''' AS safe, 'key=' || h || ' ' AS code, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_partkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: a * 31 + c)::INT AS hash FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS h FROM part)"""
 
+# A raw value of each feature: the order's number times the feature's place, folded to one and a half of its top.
+def _folded(name: str, i: int) -> str:
+    top = float(builds_ops.FEATURES[name].rstrip("+"))
+    return f"((o_orderkey * {i + 3}) % {int(top * 1.5) + 1}) * 1.0" if top > 1 else f"((o_orderkey * {i + 3}) % 100) / 80.0"
+
+
+def feature_records(spark, sf_dir: str):
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("build"), *[F.expr(_folded(n, i)).cast("double").alias(n) for i, n in enumerate(builds_ops.FEATURES)])
+
+
+FEATURE_ROWS = f"(SELECT o_orderkey AS build, {', '.join(f'({_folded(n, i)})::DOUBLE AS {n}' for i, n in enumerate(builds_ops.FEATURES))} FROM orders)"
+
+
+def record_features(spark, sf_dir):
+    return builds_ops.feature_vector(feature_records(spark, sf_dir), "build")
+
+
+def learned_trust(spark, sf_dir):
+    return builds_ops.learned_trust(feature_records(spark, sf_dir), "build")
+
+
+def _scaled(name: str) -> str:
+    top = builds_ops.FEATURES[name].rstrip("+")
+    return f"round({f'least({name}, {top})' if builds_ops.FEATURES[name].endswith('+') else name} / {top}.0::DOUBLE, 8) AS {name}"
+
+
+def _percent(name: str) -> str:
+    return f"floor(least({name} / {builds_ops.FEATURES[name].rstrip('+')}.0::DOUBLE, 1) * 100 + 0.5)"
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         spawned_edges, process_tree, process_descendants, tree_dna, story_chains, process_timelines, exfil_timelines, build_stages, process_exits, compiler_invocations, weak_compiler_flags, build_tool_chain, artifact_producers, build_likeness,
-        byte_entropy, input_fingerprints, integrity_chain, snapshot_delta, sensor_coverage, artifact_findings, sanitised_lines,
+        byte_entropy, input_fingerprints, integrity_chain, snapshot_delta, sensor_coverage, artifact_findings, sanitised_lines, record_features, learned_trust,
     )
 }
 ORACLE_SQL = {
@@ -257,4 +288,6 @@ ORACLE_SQL = {
     "sensor_coverage": SENSOR_SQL,
     "artifact_findings": ARTIFACT_SQL,
     "sanitised_lines": SAFE_SQL,
+    "record_features": f"SELECT build, {', '.join(map(_scaled, builds_ops.FEATURES))} FROM {FEATURE_ROWS}",
+    "learned_trust": f"SELECT build, floor(round({' + '.join(f'{_percent(n)} * {w}::DOUBLE' for n, w in builds_ops.LEARNED.items())}, 9) + 0.5)::INT AS trust FROM {FEATURE_ROWS}",
 }
