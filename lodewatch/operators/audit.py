@@ -130,3 +130,27 @@ def drift_verdict(drift: DataFrame, by: Sequence[str], dangerous: Sequence[str]
 
 def cache_state(age_seconds: Column, expires: int = 7 * 86_400) -> Column:
     return F.when(age_seconds >= expires, "EXPIRED").when(age_seconds < 3_600, "FRESH").when(age_seconds < 86_400, "RECENT").otherwise("STALE")
+
+
+def threat_matches(changes: DataFrame, authors: DataFrame, hashes: DataFrame, patterns: Sequence[str]) -> DataFrame:
+    """id, by_author, by_hash, patterns: changes (id, author, hash, text) that known threats speak of.
+
+    Authors and hashes meet by equality; the patterns are a short list of literals and are looked for
+    in each text where it is.
+    """
+    a = authors.select("author").distinct().withColumn("by_author", F.lit(True))
+    h = hashes.select("hash").distinct().withColumn("by_hash", F.lit(True))
+    seen = F.array_join(F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.col("text").contains(p), F.lit(p)) for p in patterns])), ",")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    rows = changes.join(a, "author", "left").join(h, "hash", "left").select("id", flag(F.col("by_author")).alias("by_author"), flag(F.col("by_hash")).alias("by_hash"), seen.alias("patterns"))
+    return rows.where("by_author or by_hash or patterns <> ''")
+
+
+def vault_stats(signals_: DataFrame) -> DataFrame:
+    """signals, repos, authors, types of all stored signals."""
+    return signals_.agg(F.count("*").alias("signals"), F.countDistinct("repo").alias("repos"), F.countDistinct("author").alias("authors"), F.countDistinct("type").alias("types"))
+
+
+def most_frequent(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """The values of a column that occur most; a top-k report, ties by value."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(most)

@@ -159,3 +159,31 @@ def producers(artifacts: DataFrame, edges: DataFrame, by: Sequence[str]) -> Data
     named = artifacts.withColumn("label", basename(F.col("artifact")))
     first = edges.groupBy(*by, "label").agg(F.min_by("src", "seq").alias("producer"))
     return named.join(first, [*by, "label"], "left").select(*by, "artifact", "producer")
+
+
+# What an edge from a tool to what it wrote is called, by the tool's step.
+EDGE_KINDS = {"compile": "compiled", "link": "linked", "archive": "archived", "generate-script": "generated", "download": "downloaded"}
+
+
+def provenance(reads: DataFrame, writes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """by, src, dst, kind, n: files to the tools that read them, and tools to the files they wrote, by what the tool does.
+
+    reads and writes: (by, tool, file).
+    """
+    from .scan import lookup
+
+    step = lookup(F.col("tool"), TOOL_STEPS, "")
+    into = reads.select(*by, F.concat(F.lit("file:"), "file").alias("src"), F.concat(F.lit("tool:"), "tool").alias("dst"), F.lit("read").alias("kind"))
+    out = writes.select(*by, F.concat(F.lit("tool:"), "tool").alias("src"), F.concat(F.lit("file:"), "file").alias("dst"), lookup(step, EDGE_KINDS, "produced").alias("kind"))
+    return into.unionByName(out).groupBy(*by, "src", "dst", "kind").agg(F.count("*").alias("n"))
+
+
+def causal_dag(placed: DataFrame, by: Sequence[str], attached: dict[str, DataFrame]) -> DataFrame:
+    """by, kind, label, parent, depth: the process tree with what hangs on its processes, one deeper.
+
+    attached: a kind and its rows (by, pid, label), such as files, artifacts and connections.
+    """
+    own = placed.select(*by, F.lit("process").alias("kind"), F.col("name").alias("label"), F.col("pid").alias("parent"), "depth")
+    at = placed.select(*by, "pid", (F.col("depth") + 1).alias("depth"))
+    more = [df.join(at, [*by, "pid"]).select(*by, F.lit(kind).alias("kind"), "label", F.col("pid").alias("parent"), "depth") for kind, df in attached.items()]
+    return reduce(DataFrame.unionByName, more, own)

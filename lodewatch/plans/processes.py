@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import builds as builds_ops
-from ..operators import dna, processes
+from ..operators import audit, dna, processes
 from .scan import quoted
 from .sessions import EVENTS, events
 from .tables import read
@@ -259,11 +259,52 @@ def _percent(name: str) -> str:
     return f"floor(least({name} / {builds_ops.FEATURES[name].rstrip('+')}.0::DOUBLE, 1) * 100 + 0.5)"
 
 
+def touched(spark, sf_dir: str, kinds: int):
+    """session, pid, tool, file of a build's file events: even ones are reads, odd ones writes."""
+    return builds(spark, sf_dir).where(F.col("k") % 2 == kinds).select("session", "pid", F.col("name").alias("tool"), F.concat(F.lit("f"), F.col("k") % 6).alias("file"))
+
+
+def provenance_edges(spark, sf_dir):
+    return processes.provenance(touched(spark, sf_dir, 0), touched(spark, sf_dir, 1), ["session"])
+
+
+KIND = f"CASE {STEP} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in processes.EDGE_KINDS.items()) + " ELSE 'produced' END"
+PROVENANCE_SQL = f"""SELECT session, CASE WHEN k % 2 = 0 THEN 'file:f' || (k % 6) ELSE 'tool:' || name END AS src, CASE WHEN k % 2 = 0 THEN 'tool:' || name ELSE 'file:f' || (k % 6) END AS dst, CASE WHEN k % 2 = 0 THEN 'read' ELSE {KIND} END AS kind, count(*) AS n FROM {BUILDS} GROUP BY ALL"""
+
+
+def causal_dag(spark, sf_dir):
+    b = builds(spark, sf_dir)
+    file = lambda n: touched(spark, sf_dir, n).select("session", "pid", F.col("file").alias("label"))
+    return processes.causal_dag(processes.tree(b, ["session"]), ["session"], {"file": file(1), "network": file(0)})
+
+
+DAG_SQL = f"{TREE} SELECT session, 'process' AS kind, name AS label, pid AS parent, depth FROM t UNION ALL SELECT session, CASE WHEN k % 2 = 1 THEN 'file' ELSE 'network' END, 'f' || (k % 6), pid, t.depth + 1 FROM t JOIN (SELECT session, pid, k FROM p) q USING (session, pid)"
+
+
+def threat_matches(spark, sf_dir):
+    """Orders as changes, their customers as authors; every fiftieth customer and some priorities are known."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author"), (F.col("o_orderkey") % 977).alias("hash"), F.col("o_orderpriority").alias("text"))
+    bad = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("author"))
+    return audit.threat_matches(o, bad, spark.range(20).select((F.col("id") * 31).alias("hash")), ["URGENT", "LOW"])
+
+
+THREAT_SQL = """SELECT * FROM (SELECT o_orderkey AS id, o_custkey % 50 = 0 AS by_author, o_orderkey % 977 % 31 = 0 AND o_orderkey % 977 < 620 AS by_hash, array_to_string(list_filter([CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'URGENT' END, CASE WHEN contains(o_orderpriority, 'LOW') THEN 'LOW' END], lambda x: x IS NOT NULL), ',') AS patterns FROM orders) WHERE by_author OR by_hash OR patterns <> ''"""
+
+
+def vault_stats(spark, sf_dir):
+    return audit.vault_stats(events(spark, sf_dir).select(F.col("host").alias("repo"), F.col("session").alias("author"), F.col("kind").alias("type")))
+
+
+def frequent_authors(spark, sf_dir):
+    return audit.most_frequent(events(spark, sf_dir), "session", 20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         spawned_edges, process_tree, process_descendants, tree_dna, story_chains, process_timelines, exfil_timelines, build_stages, process_exits, compiler_invocations, weak_compiler_flags, build_tool_chain, artifact_producers, build_likeness,
         byte_entropy, input_fingerprints, integrity_chain, snapshot_delta, sensor_coverage, artifact_findings, sanitised_lines, record_features, learned_trust,
+        provenance_edges, causal_dag, threat_matches, vault_stats, frequent_authors,
     )
 }
 ORACLE_SQL = {
@@ -288,6 +329,11 @@ ORACLE_SQL = {
     "sensor_coverage": SENSOR_SQL,
     "artifact_findings": ARTIFACT_SQL,
     "sanitised_lines": SAFE_SQL,
+    "provenance_edges": PROVENANCE_SQL,
+    "causal_dag": DAG_SQL,
+    "threat_matches": THREAT_SQL,
+    "vault_stats": f"SELECT count(*) AS signals, count(DISTINCT host) AS repos, count(DISTINCT session) AS authors, count(DISTINCT kind) AS types FROM {EVENTS}",
+    "frequent_authors": f"SELECT session, count(*) AS n FROM {EVENTS} GROUP BY session ORDER BY n DESC, session LIMIT 20",
     "record_features": f"SELECT build, {', '.join(map(_scaled, builds_ops.FEATURES))} FROM {FEATURE_ROWS}",
     "learned_trust": f"SELECT build, floor(round({' + '.join(f'{_percent(n)} * {w}::DOUBLE' for n, w in builds_ops.LEARNED.items())}, 9) + 0.5)::INT AS trust FROM {FEATURE_ROWS}",
 }
