@@ -1,4 +1,7 @@
-"""Removal of passages that stand earlier in the corpus, exact for windows of a fixed length.
+"""Removal of passages that stand earlier in the corpus, for windows of a fixed length.
+
+Windows and stretches are compared by 64-bit hashes of their words and not read again, so the result
+is exact but for collisions: about n * n / 4e19 of n distinct windows.
 
 A window of so many words is removed where the same words start earlier: in a document with a
 smaller id, or earlier in the same one. The corpus is its own reference, and that reference
