@@ -3,8 +3,10 @@
 Tokens are runs between white space, lower-cased. Each run of GRAM tokens has a hash; of every
 WINDOW consecutive hashes the smallest is chosen, the rightmost among equals, and kept with its
 position. Texts that share GRAM + WINDOW - 1 consecutive tokens therefore share a fingerprint.
-The smallest hash of a window is looked up in the window read backwards, so the first place found
-is the rightmost one.
+Hashes are ordered by their upper ORDER_BITS bits. In a text of fewer tokens than the other bits of
+a long can count, order and complemented position are packed in one long, so that a plain minimum
+picks the rightmost of equals; in a longer text the smallest is looked up in the window read
+backwards, where the first place found is the rightmost one. Both choose the same.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from pyspark.sql.window import Window
 from .shared import let, table
 
 GRAM, WINDOW = 3, 8
+ORDER_BITS, PLACE_BITS = 39, 24
 #: A block of neighbouring documents has about so many characters; there are at most so many blocks,
 #: and at most FAN of them are told apart by one list of bounds.
 BLOCK_CHARS, BLOCKS, FAN = 4_000_000, 16_384, 128
 
 
-def chosen(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+def chosen(text: Column, gram: int = GRAM, window: int = WINDOW, place_bits: int = PLACE_BITS) -> Column:
     """array<struct<hash, place>>: the chosen hashes and their positions, in order of position.
 
     A text with fewer tokens than a gram has its whole sequence as one gram; without tokens it
@@ -39,12 +42,18 @@ def chosen(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
     def places(g: Column) -> Column:
         """Of each window [i, i + wide) its rightmost smallest hash, counted from 1; each place once."""
-        n = F.size(g)
+        n, top = F.size(g), (1 << place_bits) - 1
         wide = F.least(n, F.lit(window))
-        back = let(F.reverse(g), lambda r: F.transform(F.sequence(F.lit(1), n - wide + 1), lambda i: (i + wide - F.array_position(F.slice(r, n - i - wide + 2, wide), F.array_min(F.slice(g, i, wide)))).cast("int")))
-        return F.array_distinct(back)
+        starts = F.sequence(F.lit(1), n - wide + 1)
+        order = lambda x: F.shiftrightunsigned(x, 63 - ORDER_BITS)
+        packed = F.transform(g, lambda x, i: F.shiftleft(order(x), place_bits) + (F.lit(top) - i))
+        short = let(packed, lambda p: F.transform(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(p, i, wide)))), lambda x: (F.lit(top + 1) - x.bitwiseAND(F.lit(top))).cast("int")))
+        back = lambda h, r: F.transform(starts, lambda i: (i + wide - F.array_position(F.slice(r, n - i - wide + 2, wide), F.array_min(F.slice(h, i, wide)))).cast("int"))
+        long = let(F.transform(g, order), lambda h: let(F.reverse(h), lambda r: F.array_distinct(back(h, r))))
+        return F.when(n <= top, short).otherwise(long)
 
     def kept(g: Column) -> Column:
+        # positions beyond PLACE_BITS go the longer way, to the same places
         found = F.transform(places(g), lambda p: F.struct(F.get(g, p - 1).alias("hash"), (p - 1).alias("place")))
         return F.when(F.size(g) > 0, found).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>"))
 

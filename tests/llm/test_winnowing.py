@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from lodewatch.llm.winnowing import GRAM, WINDOW, fingerprinted
+from lodewatch.llm.winnowing import GRAM, WINDOW, chosen, fingerprinted
 
 
 def made():
@@ -76,3 +76,11 @@ def test_one_row_and_none(spark):
     assert fingerprinted(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = fingerprinted(spark.createDataFrame([(1, "abcd efgh")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcd efab").hexdigest() and one[0].near_next == 1.0
+
+
+def test_texts_beyond_the_packed_positions_choose_the_same(spark):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choice(["a", "b", "c", "dd"]) for _ in range(n)) for n in (1, 5, 10, 60, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = docs.select(chosen(docs.text).alias("packed"), chosen(docs.text, place_bits=3).alias("far")).collect()
+    assert all(r.packed == r.far and r.packed for r in rows)
