@@ -91,7 +91,7 @@ def test_signatures_across_chunks_are_found_once(spark, monkeypatch):
 def test_base_phrases_stay_and_higher_priority_suppresses(spark):
     rows = spark.createDataFrame([(None, "Licensed under the MIT License, SPDX-License-Identifier: Apache-2.0", "k", 3)] * 2, "doc_id long, text string, n_words string, spaced int")
     out = licenses.license_scan(rows).collect()
-    assert len(out) == 2 and all(r.spaced == 3 and r.n_words == 9 for r in out)
+    assert len(out) == 2 and all(r.spaced == 3 and r.n_words == 11 for r in out)
     got = licenses.summary(licenses.license_scan(rows)).collect()
     assert [(r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got] == [(1, 1, 1, "mit", "apache-2,mit", 1.0)] * 2
     inner = spark.createDataFrame([(1, "GNU General Public License, version 3")], "doc_id long, text string")
