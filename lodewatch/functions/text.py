@@ -34,19 +34,3 @@ def basename(path: Column) -> Column:
 
 def short_hash(text: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, digits)
-
-
-#: Letters that look like a Latin letter, one to one.
-LOOKALIKES = ("аеорсухіѕј0135", "aeopcyxisjoles")
-
-
-def skeleton(name: Column) -> Column:
-    """The name in lower case with look-alike characters as the Latin letter they resemble."""
-    return F.translate(F.lower(name), *LOOKALIKES)
-
-
-def glob_pattern(glob: Column) -> Column:
-    """A regular expression for an ownership pattern: `*` within a segment, `**` across, a prefix otherwise."""
-    quoted = F.regexp_replace(glob, r"([.+^$(){}|\[\]\\?])", r"\\$1")
-    open_ = F.replace(F.replace(F.replace(quoted, F.lit("**"), F.lit("\x01")), F.lit("*"), F.lit("[^/]*")), F.lit("\x01"), F.lit(".*"))
-    return F.concat(F.lit("^"), open_, F.when(glob.contains("*"), F.lit("$")).otherwise(F.lit("")))

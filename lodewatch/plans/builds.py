@@ -438,27 +438,84 @@ def ownership_by_author(spark, sf_dir):
 
 
 OWNER_SQL = f"SELECT author, count(DISTINCT file) AS files, sum(findings)::BIGINT AS findings, sum(risk)::BIGINT AS risk FROM (SELECT DISTINCT o_orderkey AS file, o_custkey % 40 AS author FROM orders) JOIN (SELECT file, count(*) AS findings, max(risk_score) AS risk FROM {FINDINGS} GROUP BY file) USING (file) GROUP BY author"
-PATTERNS = [("*", "@all"), ("en/", "@english"), ("de/*", "@german"), ("**/*.html", "@web"), ("fr/**", "@french"), ("**/1*", "@ones")]
+PATTERNS = ["*", "en", "de/*", "**/1", "fr/**", "**/1?.html", "en/1*.html", "*/9*", "fr/1", "**/html", "d/**", "en/5??"]
+
+
+def page_paths(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/$", "").alias("path"))
+
+
+def owned_patterns(spark, sf_dir) -> DataFrame:
+    """seq, pattern, owner: fixed patterns of each kind and one for the pages that end in 7 of their own paths."""
+    fixed = spark.createDataFrame([(k, p, f"@team{k % 5}") for k, p in enumerate(PATTERNS)], "seq long, pattern string, owner string")
+    own = page_paths(spark, sf_dir).where("page_id % 10 = 7 and path <> ''").select((F.col("page_id") + 100).alias("seq"), F.col("path").alias("pattern"), F.concat(F.lit("@own"), F.col("page_id") % 3).alias("owner"))
+    return fixed.unionByName(own)
 
 
 def codeowners_glob_join(spark, sf_dir):
-    files = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/$", "").alias("path"))
-    owned = supply.owned(files.select("path").distinct(), spark.createDataFrame(PATTERNS, "pattern string, owner string"))
-    return files.join(owned, "path").groupBy("owner", "pattern").agg(F.count("*").alias("files"))
+    found = supply.owned(page_paths(spark, sf_dir).where("path <> ''"), owned_patterns(spark, sf_dir))
+    return found.groupBy("owner", "pattern").agg(F.countDistinct("path").alias("files"))
+
+
+def last_owners(spark, sf_dir):
+    """The pattern that decides for each path: the last one."""
+    return supply.last_owner(supply.owned(page_paths(spark, sf_dir).where("path <> ''"), owned_patterns(spark, sf_dir)))
+
 
+def team_totals(spark, sf_dir):
+    files = page_paths(spark, sf_dir).where("path <> ''")
+    author = F.col("page_id") % 7
+    totals = files.groupBy(author.alias("author")).agg(F.count("*").alias("findings"), F.sum(F.col("page_id") % 100).alias("risk"))
+    authored = files.select("path", author.alias("author")).distinct().join(totals, "author")
+    return supply.teams(supply.owned(files, owned_patterns(spark, sf_dir)), authored)
 
-GLOB_SQL = "WITH f AS (SELECT regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/$', '') AS path FROM pages) SELECT owner, pattern, count(*) AS files FROM f JOIN (VALUES ('*', '@all', '^[^/]*$'), ('en/', '@english', '^en/'), ('de/*', '@german', '^de/[^/]*$'), ('**/*.html', '@web', '^.*/[^/]*\\.html$'), ('fr/**', '@french', '^fr/.*$'), ('**/1*', '@ones', '^.*/1[^/]*$')) p(pattern, owner, rx) ON regexp_matches(path, rx) GROUP BY owner, pattern"
+
+PATH_CTE = "f AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/$', '') AS path FROM pages), files AS (SELECT * FROM f WHERE path <> '')"
+OWNED_CTE = f"""{PATH_CTE}, patterns AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{p}', '@team{k % 5}')" for k, p in enumerate(PATTERNS))}) v(seq, pattern, owner)
+  UNION ALL SELECT page_id + 100, path, '@own' || (page_id % 3) FROM files WHERE page_id % 10 = 7),
+  owned AS (SELECT DISTINCT path, seq, pattern, owner FROM files JOIN patterns ON CASE WHEN starts_with(pattern, '**/') THEN ends_with(path, substr(pattern, 4)) OR contains(path, '/' || substr(pattern, 4))
+    WHEN ends_with(pattern, '/**') THEN starts_with(path, left(pattern, -3)) WHEN contains(pattern, '*') THEN regexp_matches(path, '^' || replace(replace(replace(pattern, '.', '\\.'), '*', '[^/]*'), '?', '.') || '$') ELSE path = pattern OR starts_with(path, pattern || '/') END)"""
+GLOB_SQL = f"WITH {OWNED_CTE} SELECT owner, pattern, count(DISTINCT path) AS files FROM owned GROUP BY owner, pattern"
+LAST_SQL = f"WITH {OWNED_CTE} SELECT path, arg_max(pattern, seq) AS pattern, arg_max(owner, seq) AS owner FROM owned GROUP BY path"
+TEAM_SQL = f"""WITH {OWNED_CTE}, totals AS (SELECT page_id % 7 AS author, count(*) AS findings, sum(page_id % 100) AS risk FROM files GROUP BY 1), authored AS (SELECT DISTINCT path, page_id % 7 AS author FROM files)
+  SELECT owner AS team, count(DISTINCT path) AS files, sum(findings)::BIGINT AS findings, sum(risk)::BIGINT AS risk FROM (SELECT DISTINCT owner, path FROM owned) JOIN authored USING (path) JOIN totals USING (author) GROUP BY owner"""
+
+
+def hosts(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("name")).where("name <> ''")
+
+
+def popular_names(spark, sf_dir) -> DataFrame:
+    """Part names, and hosts with two pages or more."""
+    many = hosts(spark, sf_dir).groupBy(F.col("name").alias("target")).agg(F.count("*").alias("n")).where("n >= 2").select("target")
+    return many.unionByName(read(spark, sf_dir, "part").select(F.col("p_name").alias("target")).distinct())
 
 
 def typosquat_join(spark, sf_dir):
-    names = read(spark, sf_dir, "part").select(F.col("p_name").alias("name"))
-    popular = names.groupBy("name").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(20).select(F.col("name").alias("target"))
-    return supply.typosquats(names, popular)
+    names = hosts(spark, sf_dir).select("name").unionByName(read(spark, sf_dir, "part").select(F.expr("substring(p_name, 2)").alias("name")))
+    return supply.typosquats(names, popular_names(spark, sf_dir))
+
+
+def lookalike_join(spark, sf_dir):
+    """Hosts written with a look-alike: rn for an m, l for an i, or a letter left out."""
+    k = F.col("page_id") % 4
+    odd = F.when(k == 0, F.regexp_replace("name", "m", "rn")).when(k == 1, F.translate("name", "l", "i")).when(k == 2, F.expr("substring(name, 2)")).otherwise(F.col("name"))
+    return supply.lookalikes(hosts(spark, sf_dir).select(odd.alias("name")), popular_names(spark, sf_dir))
 
 
-SKELETON = "translate(lower({0}), 'аеорсухіѕј0135', 'aeopcyxisjoles')"
-TYPO_SQL = f"""SELECT name, target, d AS distance, round(1 - d / greatest(length(name), length(target))::DOUBLE, 2) AS confidence FROM (SELECT *, levenshtein({SKELETON.format('name')}, {SKELETON.format('target')}) AS d, CASE WHEN length(name) <= 5 THEN 1 WHEN length(name) <= 10 THEN 2 ELSE 3 END AS allowed
-  FROM (SELECT DISTINCT p_name AS name FROM part) JOIN (SELECT p_name AS target FROM part GROUP BY p_name ORDER BY count(*) DESC, p_name LIMIT 20) ON name <> target) WHERE d <= allowed AND abs(length(name) - length(target)) <= allowed"""
+POPULAR_CTE = """h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS name FROM pages), hosts AS (SELECT * FROM h WHERE name <> ''),
+  popular AS (SELECT DISTINCT lower(target) AS target FROM (SELECT name AS target FROM hosts GROUP BY name HAVING count(*) >= 2 UNION ALL SELECT p_name FROM part))"""
+TYPO_SQL = f"""WITH {POPULAR_CTE}, odd AS (SELECT DISTINCT regexp_replace(lower(name), '^@', '') AS name FROM (SELECT name FROM hosts UNION ALL SELECT substring(p_name, 2) FROM part)),
+  pairs AS (SELECT name, target, levenshtein(name, target) AS d, greatest(length(name), length(target)) AS n FROM odd, popular WHERE name NOT IN (SELECT target FROM popular) AND abs(length(name) - length(target)) <= 3)
+  SELECT * FROM (SELECT name, target, d::INT AS distance, round(1 - d / n::DOUBLE, 2) AS confidence, row_number() OVER (PARTITION BY name ORDER BY d, target)::INT AS rank FROM pairs WHERE d <= CASE WHEN n <= 5 THEN 1 WHEN n <= 10 THEN 2 ELSE 3 END) WHERE rank <= 3"""
+LETTER_ROWS = ", ".join(f"('{k}', '{x}')" for k, v in supply.LOOKALIKE_LETTERS.items() for x in v)
+ALIKE_SQL = f"""WITH {POPULAR_CTE}, odd AS (SELECT DISTINCT lower(CASE page_id % 4 WHEN 0 THEN replace(name, 'm', 'rn') WHEN 1 THEN replace(name, 'l', 'i') WHEN 2 THEN substring(name, 2) ELSE name END) AS name FROM hosts),
+  strange AS (SELECT * FROM odd WHERE name <> '' AND name NOT IN (SELECT target FROM popular)), places AS (SELECT name, unnest(range(1, length(name) + 1)) AS k FROM strange),
+  forms AS (SELECT name, substring(name, 1, k - 1) || x || substring(name, k + 1) AS target FROM places JOIN (VALUES {LETTER_ROWS}) l(c, x) ON substring(name, k, 1) = c
+    UNION SELECT name, substring(name, 1, k - 1) || 'm' || substring(name, k + 2) FROM places WHERE substring(name, k, 2) = 'rn'),
+  pairs AS (SELECT name, target, min(d) AS d FROM (SELECT name, target, 0 AS d FROM forms SEMI JOIN popular USING (target) UNION ALL SELECT name, target, levenshtein(name, target) FROM strange, popular WHERE abs(length(name) - length(target)) <= 2) WHERE d <= 2 GROUP BY ALL),
+  ranked AS (SELECT *, round(1 - d / greatest(length(name), length(target))::DOUBLE, 2) AS c, row_number() OVER (PARTITION BY name ORDER BY d, target)::INT AS rank FROM pairs)
+  SELECT name, target, d::INT AS distance, CASE d WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity, first(c) OVER (PARTITION BY name ORDER BY rank) AS confidence, rank FROM ranked QUALIFY rank <= 5"""
 
 
 def reputation_score(spark, sf_dir):
@@ -485,7 +542,7 @@ QUERIES = {
         orphan_anti_join, baseline_stats, normality_zscores, baseline_deviation, typical_tools, trend_slope_ewma_cusum, trend_overall, snapshot_direction, trust_dimensions, trust_score_verdict, hermetic_score, input_diff,
         jaccard_similarity, multi_dna_fingerprint, contract_violations, graph_build_edges, graph_stats, graph_components, graph_paths, graph_closeness, graph_betweenness, graph_dominators, graph_propagation,
         graph_strong_components, graph_shape, graph_levels, graph_dominance_frontier, graph_dominant_node, graph_seeded, graph_subgraph, graph_confidence_paths, temporal_critical_path, graph_diff, confusion_matrix, roc_auc, feature_vector, logistic_train_eval, coverage_rollup, campaign_summary, redteam_rules_unpivot, blindspot_stats, multi_author, ownership_by_author,
-        codeowners_glob_join, typosquat_join, reputation_score, sbom_enrich,
+        codeowners_glob_join, last_owners, team_totals, typosquat_join, lookalike_join, reputation_score, sbom_enrich,
     )
 }
 ORACLE_SQL = {
@@ -530,7 +587,10 @@ ORACLE_SQL = {
     "multi_author": MULTI_SQL,
     "ownership_by_author": OWNER_SQL,
     "codeowners_glob_join": GLOB_SQL,
+    "last_owners": LAST_SQL,
+    "team_totals": TEAM_SQL,
     "typosquat_join": TYPO_SQL,
+    "lookalike_join": ALIKE_SQL,
     "reputation_score": REPUTATION_SQL,
     "sbom_enrich": SBOM_SQL,
 }
