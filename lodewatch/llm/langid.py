@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import settle, table
-from .words import BYTE_CODES, Block, blocks, give_back, mix
+from .shared import free_name, settle, table
+from .words import BYTE_CODES, SPACE, Block, blocks, give_back, mix
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 UNDETERMINED = "und"
@@ -44,6 +44,12 @@ REMEMBERED = 200_000
 #: Texts are scored in blocks of about so many bytes.
 BLOCK = 1 << 20
 WORD_MARK = 32
+#: Longer words are scored in stretches, so many bytes each and so many stretches at a time.
+LONG, STRETCH, STRETCHES = 1024, 512, 128
+#: Leading bits of a hash that tell most places without a piece.
+HEAD_BITS = 18
+#: Bytes of words that are scored in step.
+CELLS = 1 << 18
 RATE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,12 +64,14 @@ class Vocabulary:
         letter = lambda c: c == " " or c.isalpha() or unicodedata.category(c).startswith("M")
         self.pieces = sorted(x.encode() for x in pieces if x == x.lower() and x.lstrip(" ") and " " not in x[1:] and all(map(letter, x)))
         self.longest = max(map(len, self.pieces))
-        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length in sorted({len(x) for x in self.pieces}):
             ids = np.array([i for i, x in enumerate(self.pieces) if len(x) == length])
             hashes = self.hashes(np.frombuffer(b"".join(self.pieces[i] for i in ids), np.uint8).reshape(len(ids), length), length)[:, 0]
             order = np.argsort(hashes)
-            self.by_length[length] = hashes[order], ids[order]
+            heads = np.zeros(1 << HEAD_BITS, bool)
+            heads[hashes >> np.uint64(64 - HEAD_BITS)] = True
+            self.by_length[length] = hashes[order], ids[order].astype(np.int32), heads
 
     @staticmethod
     def hashes(rows: np.ndarray, length: int) -> np.ndarray:
@@ -81,10 +89,14 @@ class Vocabulary:
             if length > 1:
                 h = h[:, :-1] * RATE + codes[:, length - 1 :]
             if length in self.by_length:
-                known, ids = self.by_length[length]
-                mixed = mix(h)
+                known, ids, heads = self.by_length[length]
+                mixed = mix(h).ravel()
+                places = np.flatnonzero(heads[mixed >> np.uint64(64 - HEAD_BITS)])  # the rest has no piece
+                mixed = mixed[places]
                 at = np.minimum(np.searchsorted(known, mixed), len(known) - 1)
-                found.append((length, np.where(known[at] == mixed, ids[at], -1)))
+                out = np.full(h.size, -1, np.int32)
+                out[places] = np.where(known[at] == mixed, ids[at], -1)
+                found.append((length, out.reshape(h.shape)))
         return found
 
 
@@ -93,33 +105,104 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def forward(own: Vocabulary, rows: np.ndarray, chances: np.ndarray) -> np.ndarray:
+def forward(own: Vocabulary, rows: np.ndarray, chances: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
     """log P of each row (a word's bytes after the word mark) under each language.
 
-    chances: (pieces, languages). The pass rescales every so many bytes as the longest piece has, so
+    chances: (pieces, languages); lengths: of the rows' words, if some are shorter than the rows. Only
+    as many steps back as the longest piece has are kept; the pass rescales them now and then, so
     words of any length keep their value.
     """
     n, length = rows.shape
-    languages = chances.shape[1]
+    lengths = np.full(n, length) if lengths is None else lengths
+    back = own.longest + 1
     matches = own.matches(rows)
-    alpha = np.zeros((length + 1, n, languages))
-    alpha[0] = 1.0
-    scale = np.zeros((n, languages))
+    ring = np.zeros((back, n, chances.shape[1]))
+    ring[0] = 1.0
+    scale = np.zeros((n, chances.shape[1]))
+    out = np.zeros((n, chances.shape[1]))
     for end in range(1, length + 1):
-        total = alpha[end - 1] * STRAY
+        total = ring[(end - 1) % back] * STRAY
         for size, ids in matches:
             if size > end:
                 break
             hit = np.flatnonzero(ids[:, end - size] >= 0)
             if len(hit):
-                total[hit] += alpha[end - size, hit] * chances[ids[hit, end - size]]
-        alpha[end] = total
+                total[hit] += ring[(end - size) % back, hit] * chances[ids[hit, end - size]]
+        ring[end % back] = total
+        done = np.flatnonzero(lengths == end)
+        out[done] = np.log(total[done]) + scale[done]
         if end % own.longest == 0 and end < length:
-            recent = alpha[max(0, end - own.longest) : end + 1]
-            top = recent.max(axis=0)
+            top = ring.max(axis=0)
             scale += np.log(top)
-            recent /= top
-    return np.log(alpha[length]) + scale
+            ring /= top
+    return out
+
+
+def forward_long(own: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, chances: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
+    """The same for words of any length, in time proportional to it.
+
+    Words are cut into stretches. What a stretch does to the last steps before it is a matrix for
+    each language, found for many stretches at once by one pass from each of those steps; the
+    matrices are then applied in order. Memory is that of STRETCHES stretches, however long a word is.
+    """
+    back, languages = own.longest, chances.shape[1]
+    table = np.vstack([chances, np.zeros(languages)])  # the last row is that of no piece, -1
+    out = np.zeros((len(starts), languages))
+    state = np.zeros((back, languages))
+    pieces = [(w, at, min(stretch, int(size) - at)) for w, size in enumerate(ends - starts + 1) for at in range(0, int(size), stretch)]
+    for first in range(0, len(pieces), STRETCHES):
+        some = pieces[first : first + STRETCHES]
+        rows = np.zeros((len(some), back - 1 + stretch), np.uint8)
+        for row, (w, at, size) in zip(rows, some, strict=True):
+            low = max(at - (back - 1), 0)  # offset 0 is the word mark
+            row[back - 1 - (at - low) : back - 1 + size] = np.concatenate([[WORD_MARK], data[starts[w] : starts[w] + at + size - 1]])[low:] if not low else data[starts[w] + low - 1 : starts[w] + at + size - 1]
+        for (w, at, size), (matrix, scale) in zip(some, stretch_matrices(own, rows, np.array([size for *_, size in some]), table), strict=True):
+            if at == 0:
+                state = np.full((back, languages), -np.inf)
+                state[0] = 0.0
+            with np.errstate(divide="ignore"):
+                terms = np.log(matrix) + scale + state[: matrix.shape[1]]
+            top = terms.max(axis=1, keepdims=True)
+            top = np.where(np.isfinite(top), top, 0.0)
+            with np.errstate(divide="ignore"):
+                state = top[:, 0] + np.log(np.exp(terms - top).sum(axis=1))
+            out[w] = state[0]  # stands once the word's last stretch is done
+    return out
+
+
+def stretch_matrices(own: Vocabulary, rows: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each stretch: [step back at its end, step back at its start, language], and the log scale [start, language].
+
+    rows have the bytes that could begin a piece before the stretch, then its own.
+    """
+    back, n, languages = own.longest, len(rows), table.shape[1]
+    matches = [(size, ids, (ids >= 0).sum(axis=0)) for size, ids in own.matches(rows)]
+    matches = [x for x in matches if x[2].any()]
+    base = max((size for size, *_ in matches), default=1)
+    ring = np.zeros((back, n, base, languages))
+    for j in range(base):
+        ring[-j % back, :, j] = 1.0
+    scale = np.zeros((n, base, languages))
+    ended: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for end in range(1, int(sizes.max()) + 1):
+        total = ring[(end - 1) % back] * STRAY
+        for size, ids, some in matches:
+            at = end - size + back - 1
+            if 3 * some[at] > n:
+                total += ring[(end - size) % back] * table[ids[:, at]][:, None, :]
+            elif some[at]:
+                hit = np.flatnonzero(ids[:, at] >= 0)
+                total[hit] += ring[(end - size) % back, hit] * table[ids[hit, at]][:, None, :]
+        ring[end % back] = total
+        if end % back == 0:
+            top = ring.max(axis=0)
+            top[top == 0] = 1.0
+            scale += np.log(top)
+            ring /= top
+        for k in np.flatnonzero(sizes == end):
+            ended[k] = ring[[(end - i) % back for i in range(back)], k], scale[k].copy()
+    for k in range(n):
+        yield ended.pop(k)
 
 
 def expected(own: Vocabulary, rows: np.ndarray, weights: np.ndarray, chances: np.ndarray) -> np.ndarray:
@@ -167,6 +250,24 @@ def by_length(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int
             yield part, rows
 
 
+def by_size(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of words of about one length, their bytes after a word mark, and their lengths with it."""
+    lengths = ends - starts
+    class_ = np.where(lengths <= 16, lengths, 16 + np.ceil(np.log(np.maximum(lengths, 1) / 16) / np.log(1.25)).astype(int))
+    order = np.lexsort((lengths, class_))
+    for group in np.split(order, np.flatnonzero(np.diff(class_[order])) + 1):
+        if not len(group):
+            continue
+        step = max(1, CELLS // (int(lengths[group[-1]]) + 1))
+        for i in range(0, len(group), step):
+            part = group[i : i + step]
+            longest = int(lengths[part].max())
+            places = starts[part][:, None] + np.arange(longest)
+            rows = np.full((len(part), longest + 1), WORD_MARK, np.uint8)
+            rows[:, 1:] = np.where(places < ends[part][:, None], data[np.minimum(places, len(data) - 1)], 0)
+            yield part, rows, lengths[part] + 1
+
+
 def letters(text: str | Column) -> Column:
     """Lower-case runs of letters and marks, with single spaces between them."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
@@ -222,19 +323,21 @@ def predict(documents: DataFrame, languages: list[str], chances: np.ndarray, pat
 
     score is the chance of the language named, all languages being equally likely beforehand.
     A text that is null or has no letter is `und` with a score of 0; so is every text if nothing
-    was learned. Equal chances go to the first language by name. Columns lang_pred and score of
+    was learned. Equal chances go to the first language by name. A null or repeated doc_id changes
+    nothing; a run of letters of any length is scored whole. Columns lang_pred and score of
     the input are replaced; of the others `keep` stay (all, if not given).
     """
     kept = [c for c in (documents.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col("text").rlike(r"\p{L}"), letters("text")).alias("__letters"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__letters"), "lang_pred string, score double"])
+    plain = free_name(documents, "letters")
+    rows = documents.select(*[F.col(f"`{c}`") for c in kept], F.when(F.col("text").rlike(r"\p{L}"), letters("text")).alias(plain))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != plain), "lang_pred string, score double"])
     names = pa.array([*languages, UNDETERMINED], pa.string())
     shared = documents.sparkSession.sparkContext.broadcast(chances)  # at most one float a piece and language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(vocabulary(path), shared.value)
         for batch in batches:
-            texts = batch.column("__letters")
+            texts = batch.column(plain)
             for block in blocks(texts, BLOCK):
                 n = len(block)
                 best, score = scorer.texts(block)
@@ -259,8 +362,8 @@ class Scorer:
         out = np.empty((len(hashes), self.chances.shape[1]))
         out[~new] = self.logs[at[~new]]
         places = np.flatnonzero(new)
-        for part, bytes_ in by_length(block.data, starts[places], ends[places]):
-            out[places[part]] = forward(self.own, bytes_, self.chances)
+        for part, bytes_, sizes in by_size(block.data, starts[places], ends[places]):
+            out[places[part]] = forward(self.own, bytes_, self.chances, sizes)
         if len(places):
             if len(self.known) + len(places) > REMEMBERED:
                 self.known, self.logs = hashes, out
@@ -274,12 +377,19 @@ class Scorer:
         """For each text of a block the best language (or one more than the last) and its chance."""
         n, languages = len(block), self.chances.shape[1]
         best, score = np.full(n, languages), np.zeros(n)
-        words = block.words(lower=False)
-        if len(words.hashes) and languages:
-            hashes, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-            logs = self.words(block, hashes, words.starts[first], words.ends[first])
-            some = np.flatnonzero(words.counts())
-            sums = np.add.reduceat(logs[which], words.offsets[some], axis=0)
+        starts, ends = block.runs(~SPACE[block.data])
+        if len(starts) and languages:
+            logs = np.empty((len(starts), languages))
+            long = ends - starts > LONG
+            short = np.flatnonzero(~long)
+            if len(short):
+                hashes, first, which = np.unique(block.range_hashes(starts[short], ends[short]), return_index=True, return_inverse=True)
+                logs[short] = self.words(block, hashes, starts[short[first]], ends[short[first]])[which]
+            if long.any():
+                logs[long] = forward_long(self.own, block.data, starts[long], ends[long], self.chances)
+            offsets = np.searchsorted(starts, block.offsets)
+            some = np.flatnonzero(np.diff(offsets))
+            sums = np.add.reduceat(logs, offsets[some], axis=0)
             best[some] = sums.argmax(axis=1)
             score[some] = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         return best, score
@@ -290,6 +400,7 @@ def fold(doc_id: str | Column = "doc_id") -> Column:
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
+    """Null texts and texts without a letter are `und`; a null doc_id is not held out, nor learned from; see predict."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     languages, chances = train(documents.where(fold() != 1))
     found = predict(documents, languages, chances, keep=["doc_id"])

@@ -1,4 +1,6 @@
 import math
+import subprocess
+import sys
 
 import numpy as np
 
@@ -55,3 +57,48 @@ def test_texts_without_letters_and_without_training(spark):
     nothing = langid.train(docs.where("false"))
     assert {r.lang_pred for r in langid.predict(docs, *nothing).collect()} == {"und"}
     assert langid.predict(docs.where("false"), languages, chances).count() == 0
+
+
+def test_stretches_of_long_words_equal_one_pass():
+    own = langid.vocabulary(langid.PIECES)
+    rng = np.random.default_rng(1)
+    table = rng.random((len(own.pieces), 3)) * 1e-3
+    table[rng.random(table.shape) < 0.3] = 0
+    pieces = [p.decode().strip() for p in own.pieces]
+    texts = ["".join(rng.choice(pieces, k)) for k in (1, 3, 40, 200, 900)] + ["a" * 3000, "中" * 700, "q"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    ends = np.cumsum([len(x.encode()) for x in texts])
+    starts = ends - [len(x.encode()) for x in texts]
+    want = np.array([langid.forward(own, np.concatenate([[32], data[a:b]]).astype(np.uint8)[None], table)[0] for a, b in zip(starts, ends, strict=True)])
+    for stretch in (22, 64, 512):
+        assert np.allclose(langid.forward_long(own, data, starts, ends, table, stretch), want, rtol=1e-11)
+    for part, rows, lengths in langid.by_size(data, starts, ends):
+        assert np.allclose(langid.forward(own, rows, table, lengths), want[part], rtol=1e-12)
+
+
+LONG_RUN = """
+import resource, time, numpy as np, pyarrow as pa
+from lodewatch.llm import langid
+from lodewatch.llm.words import blocks
+own, rng = langid.vocabulary(langid.PIECES), np.random.default_rng(0)
+table = rng.random((len(own.pieces), 4)) * 1e-3
+text = pa.array([rng.integers(97, 123, 5_000_000).astype(np.uint8).tobytes().decode()])
+began, before = time.time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for block in blocks(text, langid.BLOCK):
+    langid.Scorer(own, table).texts(block)
+print(time.time() - began, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+
+
+def test_a_run_of_five_million_letters_takes_seconds_and_little_memory():
+    out = subprocess.run([sys.executable, "-c", LONG_RUN], capture_output=True, text=True, check=True, timeout=120)
+    seconds, megabytes = map(float, out.stdout.split())
+    assert seconds < 60 and megabytes < 200
+
+
+def test_long_texts_null_ids_and_clashing_names(spark):
+    rows = [(None, "the cat and the dog " * 20, "en"), (None, None, None), (3, "der Hund und die Katze " * 20, "de"), (3, "derhundunddiekatze" * 400, "de"), (4, "the dog", "en")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, letters int, _letters int")
+    languages, chances = langid.train(docs)
+    got = langid.predict(docs, languages, chances).collect()
+    assert sorted((str(r.doc_id), r.lang_pred, r.letters, r["_letters"]) for r in got) == [("3", "de", 1, 2), ("3", "de", 1, 2), ("4", "en", 1, 2), ("None", "en", 1, 2), ("None", "und", 1, 2)]
