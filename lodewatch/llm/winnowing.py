@@ -17,13 +17,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import let, table
+from .shared import let, settle, table
 
 GRAM, WINDOW = 3, 8
 ORDER_BITS, PLACE_BITS = 39, 24
-#: A block of neighbouring documents has about so many characters; there are at most so many blocks,
-#: and at most FAN of them are told apart by one list of bounds.
-BLOCK_CHARS, BLOCKS, FAN = 4_000_000, 16_384, 128
+#: A block of neighbouring documents has about so many characters; the first places of FAN blocks are one group.
+BLOCK_CHARS, FAN = 16_000_000, 512
+#: Blocks whose first places are broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_BLOCKS = 4_000_000
+
+
+def sliding_least(values: Column, wide: int) -> Column:
+    """The least of each value and the wide - 1 after it, as far as there are any, by doubling the width."""
+    width = 1
+    while width < wide:
+        step = min(width, wide - width)
+        values = let(values, least_after(step))
+        width += step
+    return values
+
+
+def least_after(step: int):
+    return lambda values: F.transform(values, lambda v, i: F.least(v, F.get(values, i + step)))
 
 
 def chosen(text: Column, gram: int = GRAM, window: int = WINDOW, place_bits: int = PLACE_BITS) -> Column:
@@ -47,7 +62,8 @@ def chosen(text: Column, gram: int = GRAM, window: int = WINDOW, place_bits: int
         starts = F.sequence(F.lit(1), n - wide + 1)
         order = lambda x: F.shiftrightunsigned(x, 63 - ORDER_BITS)
         packed = F.transform(g, lambda x, i: F.shiftleft(order(x), place_bits) + (F.lit(top) - i))
-        short = let(packed, lambda p: F.transform(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(p, i, wide)))), lambda x: (F.lit(top + 1) - x.bitwiseAND(F.lit(top))).cast("int")))
+        lowest = F.array_distinct(F.slice(sliding_least(packed, window), F.lit(1), n - wide + 1))
+        short = F.transform(lowest, lambda x: (F.lit(top + 1) - x.bitwiseAND(F.lit(top))).cast("int"))
         back = lambda h, r: F.transform(starts, lambda i: (i + wide - F.array_position(F.slice(r, n - i - wide + 2, wide), F.array_min(F.slice(h, i, wide)))).cast("int"))
         long = let(F.transform(g, order), lambda h: let(F.reverse(h), lambda r: F.array_distinct(back(h, r))))
         return F.when(n <= top, short).otherwise(long)
@@ -75,45 +91,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def block_number(key: Column, bounds: list[float], fan: int = FAN) -> Column:
-    """The number of bounds at or below the key, by a list of lists, so that few are compared."""
-    if not bounds:
-        return F.lit(0)
-    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
-    below = lambda list_: F.size(F.filter(list_, lambda b: b <= key.cast("double")))
-    tops = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<double>")
-    parts = F.from_json(F.lit(json.dumps(groups)), "array<array<double>>")
-    inside = lambda k: F.when(k == 0, F.lit(0)).otherwise((k - 1) * fan + below(F.get(parts, k - 1)))
-    return let(below(tops), inside)
+def block_firsts(rows: DataFrame, order: Column, size: Column, block: int) -> DataFrame:
+    """(number, first): the first place in order of each block, numbered from 0; a row a block.
+
+    Places are dealt by ranges and cut inside each range where the running sum of sizes passes a
+    block, so blocks are even, however many there are, and no task sees more than a range of places.
+    """
+    narrow = settle(rows.select(order.alias("o"), size.alias("n")).repartitionByRange("o").withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = narrow.withColumn("sub", F.floor(before / block)).groupBy("part", "sub").agg(F.min("o").alias("first")).select("first").distinct()
+    return firsts.withColumn("number", F.row_number().over(Window.orderBy("first")) - 1)  # a row a block
 
 
-def beside_next(rows: DataFrame, key: str, carried: list[str], size: Column, block: int = BLOCK_CHARS) -> DataFrame:
-    """Adds next_<c> of the row that follows by key (after the last: the first), with one shuffle.
+def beside_next(rows: DataFrame, key: str, carried: list[str], size: Column, block: int = BLOCK_CHARS, fan: int = FAN) -> DataFrame:
+    """Adds next_<c> of the row that follows by key (after the last: the first), with one shuffle of the rows.
 
-    Blocks of keys come from approximate quantiles; their number follows the sum of `size`. The
-    first row of each block is also sent, marked, to the block before it, so that block's last row
-    finds it there. Ties in key are ordered by a hash of the first carried column; a null key
+    Neighbours are brought together in blocks, each of about `block` of `size`. A row finds its block
+    by the first places: in a short list of every fan-th, then in one group of them, which is joined
+    to it. The first row of each block is also sent, marked, to the block before it, so that block's
+    last row finds it there. Ties in key are ordered by a hash of the first carried column; a null key
     comes first.
     """
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    blocks = max(1, min(BLOCKS, int(total // block)))
-    ids = rows.select(F.col(key).cast("double").alias("k")).where("k is not null")
-    bounds = sorted({b for b in ids.approxQuantile("k", [i / blocks for i in range(1, blocks)], 0.5 / blocks)}) if blocks > 1 else []
-    rows = rows.withColumn("__block", F.coalesce(block_number(F.col(key), bounds), F.lit(0)))
-    # One row a block at most, whatever the table's size.
-    rows = rows.withColumn("__order", F.struct(F.col(key).alias("key"), F.xxhash64(carried[0]).alias("digest")))
-    firsts = rows.groupBy("__block").agg(F.min("__order").alias("__order"))
-    around = Window.orderBy("__block")
-    before = F.coalesce(F.lag("__block").over(around), F.max("__block").over(Window.partitionBy()))
-    firsts = F.broadcast(firsts.select("__order", before.alias("__before")))
-    sent = rows.join(firsts, rows["__order"].eqNullSafe(firsts["__order"]), "left").select(rows["*"], "__before")
-    copies = F.when(F.col("__before").isNull(), F.array(F.struct(F.col("__block").alias("block"), F.lit(False).alias("guest")))).otherwise(
-        F.array(F.struct(F.col("__block").alias("block"), F.lit(False).alias("guest")), F.struct(F.col("__before").alias("block"), F.lit(True).alias("guest")))
-    )
-    dealt = sent.withColumn("__copy", F.explode(copies))
+    order = F.struct(F.col(key).cast("long").alias("key"), F.xxhash64(carried[0]).alias("digest"))
+    firsts = settle(block_firsts(rows, order, size, block))
+    groups = settle(firsts.groupBy(F.floor(F.col("number") / fan).cast("int").alias("__group")).agg(F.array_sort(F.collect_list("first")).alias("__firsts")))
+    blocks = firsts.count()
+    tops = [r.top.asDict() for r in groups.select(F.get("__firsts", F.lit(0)).alias("top"), "__group").orderBy("__group").collect()]  # one of `fan` blocks
+    listed = F.from_json(F.lit(json.dumps(tops)), "array<struct<key:bigint,digest:bigint>>")
+    up_to = lambda list_: F.size(F.filter(list_, lambda x: x <= F.col("__order"))) - 1
+    placed = rows.withColumn("__order", order).withColumn("__group", up_to(listed))
+    placed = placed.join(F.broadcast(groups) if blocks <= BROADCAST_BLOCKS else groups, "__group").withColumn("__at", up_to(F.col("__firsts")))
+    number = F.col("__group") * fan + F.col("__at")
+    leads = F.get("__firsts", F.col("__at")) == F.col("__order")
+    copy = lambda n, guest: F.struct(n.cast("int").alias("block"), F.lit(guest).alias("guest"))
+    own, sent = copy(number, False), copy(F.when(number == 0, blocks - 1).otherwise(number - 1), True)
+    dealt = placed.withColumn("__copy", F.explode(F.when(leads, F.array(own, sent)).otherwise(F.array(own)))).drop("__firsts", "__at", "__group")
     ahead = Window.partitionBy("__copy.block").orderBy("__copy.guest", "__order")
     found = dealt.withColumns({f"next_{c}": F.lead(c).over(ahead) for c in carried}).where("not __copy.guest")
-    return found.drop("__block", "__order", "__before", "__copy")
+    return found.drop("__order", "__copy")
 
 
 def fingerprinted(documents: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 import hashlib
 import random
+from collections import Counter
 
-from lodewatch.llm.winnowing import GRAM, WINDOW, chosen, fingerprinted
+from pyspark.sql import functions as F
+
+from lodewatch.llm.winnowing import GRAM, WINDOW, beside_next, block_firsts, chosen, fingerprinted
 
 
 def made():
@@ -84,3 +87,17 @@ def test_texts_beyond_the_packed_positions_choose_the_same(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     rows = docs.select(chosen(docs.text).alias("packed"), chosen(docs.text, place_bits=3).alias("far")).collect()
     assert all(r.packed == r.far and r.packed for r in rows)
+
+
+def test_many_small_blocks_give_the_same_neighbours(spark):
+    rng = random.Random(11)
+    rows = [(rng.randrange(400) if k % 7 else None, f"t{k}" * rng.randrange(1, 30)) for k in range(600)]
+    rows += [(5000, "same")] * 40 + [(rng.randrange(4_000_000_000_000), "far")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(6)
+    order = sorted(((i is not None, i or 0, d, t) for i, t, d in ((r.id, r.text, r.digest) for r in docs.withColumn("digest", F.xxhash64("text")).collect())))
+    want = Counter((a[3], b[3]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    for block, fan in ((200, 2), (200, 512), (10**9, 512)):
+        got = beside_next(docs, "id", ["text"], F.length("text"), block, fan)
+        assert Counter((r.text, r.next_text) for r in got.collect()) == want
+    assert block_firsts(docs, F.struct(F.col("id").alias("key"), F.xxhash64("text").alias("digest")), F.length("text"), 200).count() > 50
+    assert "Python" not in got._jdf.queryExecution().toString()
