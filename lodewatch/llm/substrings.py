@@ -1,7 +1,7 @@
 """Removal of passages that stand earlier in the corpus, for windows of a fixed length.
 
-Windows and stretches are compared by 64-bit hashes of their words and not read again, so the result
-is exact but for collisions: about n * n / 4e19 of n distinct windows.
+Windows and stretches are compared by two independent 64-bit hashes of their words and not read
+again, so the result is exact but for collisions of both: about n * n / 7e38 of n distinct windows.
 
 A window of so many words is removed where the same words start earlier: in a document with a
 smaller id, or earlier in the same one. The corpus is its own reference, and that reference
@@ -33,19 +33,20 @@ WORDS = 20
 GRAM = 5
 
 
-def window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts (in words of the block) of all windows inside one text, and their hashes."""
+def window_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts (in words of the block) of all windows inside one text, and their two hashes."""
     grams, inside = words.grams(size)
     at = np.flatnonzero(inside)
-    return at, grams[at]
+    return at, grams[at], mix(run_sums(words.second, size))[at] if len(at) else grams[at]
 
 
-def stretches(words: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, numbers of windows, anchors and content hashes of the stretches of a block."""
-    at, _ = window_hashes(words, size)
+def stretches(words: Words, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Starts, numbers of windows, anchors and two content hashes of the stretches of a block."""
+    _, inside = words.grams(size)
+    at = np.flatnonzero(inside)
     if not len(at):
-        nothing = np.empty(0, np.int64)
-        return nothing, nothing, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        nothing, no_hash = np.empty(0, np.int64), np.empty(0, np.uint64)
+        return nothing, nothing, no_hash, no_hash, no_hash
     grams = mix(run_sums(words.hashes, gram))
     span = size - gram + 1
     lowest = np.lib.stride_tricks.sliding_window_view(grams, span)[at]
@@ -55,12 +56,15 @@ def stretches(words: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarra
     first = np.flatnonzero(new)
     counts = np.diff(np.append(first, len(at)))
     starts = at[first]
-    sums = np.zeros(len(words.hashes) + 1, np.uint64)
     power, inverse = word_powers(len(words.hashes) + 1)
-    np.cumsum(words.hashes * power[:-1], out=sums[1:])
     ends = starts + counts + size - 1
-    content = mix((sums[ends] - sums[starts]) * inverse[starts] + counts.astype(np.uint64))
-    return starts, counts, grams[place[first]], content
+
+    def content(hashes: np.ndarray) -> np.ndarray:
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * power[:-1], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + counts.astype(np.uint64))
+
+    return starts, counts, grams[place[first]], content(words.hashes), content(words.second)
 
 
 def word_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,39 +92,39 @@ def firsts(ids: np.ndarray, starts: np.ndarray, *keys: np.ndarray) -> np.ndarray
     return out
 
 
-STRETCH = "anchor long, content long, doc_id long, start int, windows int, repeat boolean"
+STRETCH = "anchor long, content long, second long, doc_id long, start int, windows int, repeat boolean"
 
 
 def stretch_rows(documents: DataFrame, size: int, gram: int) -> DataFrame:
     """A row per stretch; repeat: an equal one stands earlier in the same batch."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("repeat", pa.bool_())])
+    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("repeat", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             parts: list[list[np.ndarray]] = []
             for block in blocks(batch.column("text")):
-                words = block.words(lower=False)
-                starts, counts, anchors, content = stretches(words, size, gram)
+                words = block.words(lower=False, twice=True)
+                starts, counts, anchors, content, second = stretches(words, size, gram)
                 text = np.searchsorted(words.offsets, starts, "right") - 1
-                parts.append([anchors, content, ids[block.rows[text]], starts - words.offsets[text], counts])
+                parts.append([anchors, content, second, ids[block.rows[text]], starts - words.offsets[text], counts])
             if not parts:
                 continue
-            anchors, content, owner, starts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            repeat = ~firsts(owner, starts, anchors, content)
+            anchors, content, second, owner, starts, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            repeat = ~firsts(owner, starts, anchors, content, second)
             anchors[repeat], content[repeat] = 0, np.flatnonzero(repeat)  # a repeat is settled; small numbers spread it
-            yield pa.RecordBatch.from_arrays([pa.array(signed(anchors)), pa.array(signed(content)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(repeat)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(anchors)), pa.array(signed(content)), pa.array(signed(second)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(counts.astype(np.int32)), pa.array(repeat)], schema=schema)
         give_back()
 
     return documents.mapInArrow(run, STRETCH)
 
 
-WINDOW_ROW = "window long, doc_id long, start int, repeat boolean"
+WINDOW_ROW = "window long, second long, doc_id long, start int, repeat boolean"
 
 
 def window_rows(documents: DataFrame, size: int) -> DataFrame:
     """A row per window of the stretches listed in `open`; repeat: an equal one stands earlier in the same batch."""
-    schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("repeat", pa.bool_())])
+    schema = pa.schema([("window", pa.int64()), ("second", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("repeat", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,22 +136,22 @@ def window_rows(documents: DataFrame, size: int) -> DataFrame:
             begun, many = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             parts: list[list[np.ndarray]] = []
             for block in blocks(batch.column("text")):
-                words = block.words(lower=False)
-                at, hashes = window_hashes(words, size)
+                words = block.words(lower=False, twice=True)
+                at, hashes, second = window_hashes(words, size)
                 lo, hi = edges[block.rows[0]], edges[block.rows[-1] + 1]
                 marks = np.zeros(len(words.hashes) + 1, np.int64)
                 first = begun[lo:hi] + np.repeat(words.offsets[:-1], sizes[block.rows])
                 np.add.at(marks, first, 1)
                 np.add.at(marks, first + many[lo:hi], -1)
                 wanted = np.cumsum(marks)[at] > 0
-                at, hashes = at[wanted], hashes[wanted]
+                at, hashes, second = at[wanted], hashes[wanted], second[wanted]
                 text = np.searchsorted(words.offsets, at, "right") - 1
-                parts.append([hashes, ids[block.rows[text]], at - words.offsets[text]])
+                parts.append([hashes, second, ids[block.rows[text]], at - words.offsets[text]])
             if not parts:
                 continue
-            hashes, owner, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
-            repeat = ~firsts(owner, starts, hashes)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(repeat)], schema=schema)
+            hashes, second, owner, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            repeat = ~firsts(owner, starts, hashes, second)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(signed(second)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(repeat)], schema=schema)
         give_back()
 
     return documents.select("doc_id", "text", "open").mapInArrow(run, WINDOW_ROW)
@@ -160,14 +164,14 @@ def repeats(documents: DataFrame, size: int = WORDS, gram: int = GRAM) -> DataFr
     earliest = lambda *keys: F.min(place).over(Window.partitionBy(*keys))
     # One shuffle tells first stretches from later ones. Rows found to be repeats have keys of their
     # own, so an equal stretch has one row a batch at most and groups stay small.
-    rows = stretch_rows(documents, size, gram).withColumn("again", F.col("repeat") | (place > earliest("anchor", "content")))
+    rows = stretch_rows(documents, size, gram).withColumn("again", F.col("repeat") | (place > earliest("anchor", "content", "second")))
     rows = settle(rows.select(F.when(~F.col("again"), F.col("anchor")).alias("anchor"), "doc_id", "start", "windows", "again"))
     first = rows.where("not again")
     later = rows.where("again").select("doc_id", "start", "windows")
     crowded = first.groupBy("anchor").agg(F.count("*").alias("unlike")).where("unlike > 1").select("anchor")
     unsure = first.join(crowded, "anchor").select("doc_id", F.struct("start", "windows").alias("stretch")).groupBy("doc_id").agg(F.collect_list("stretch").alias("open"))
     windows = settle(window_rows(documents.join(unsure, "doc_id"), size))
-    later_windows = windows.where("not repeat").withColumn("first_place", earliest("window")).where(place > F.col("first_place"))
+    later_windows = windows.where("not repeat").withColumn("first_place", earliest("window", "second")).where(place > F.col("first_place"))
     one = F.lit(1).alias("windows")
     return (
         later

@@ -24,6 +24,8 @@ LOWER[65:91] += 32
 
 _random = np.random.default_rng(20240607)
 BYTE_CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: For a second hash that is independent of the first.
+SECOND_CODES = _random.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 GRAM_STEP = np.uint64(0xD1342543DE82EF95)
 _powers: list[np.ndarray] = []
@@ -65,7 +67,7 @@ class Block:
     def __len__(self) -> int:
         return len(self.rows)
 
-    def range_hashes(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
+    def range_hashes(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None, codes: np.ndarray = BYTE_CODES) -> np.ndarray:
         """A hash of each byte range, equal for equal bytes wherever they stand; ranges are in order, apart.
 
         They are taken in segments of a block's usual size, so a text of any length needs eight
@@ -80,7 +82,7 @@ class Block:
             part = data[base : ends[stop - 1]]
             power, inverse = _powers_to(len(part))
             sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(BYTE_CODES[part] * power[: len(part)], out=sums[1:])
+            np.cumsum(codes[part] * power[: len(part)], out=sums[1:])
             a, b = starts[at:stop] - base, ends[at:stop] - base
             out[at:stop] = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
             at = stop
@@ -101,10 +103,12 @@ class Block:
             after[self.offsets[1:][full] - 1] = False
         return np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
 
-    def words(self, lower: bool) -> Words:
+    def words(self, lower: bool, twice: bool = False) -> Words:
+        """twice: with a second, independent hash of each word."""
         data = LOWER[self.data] if lower else self.data
         starts, ends = self.runs(~SPACE[data])
-        return Words(self, starts, ends, self.range_hashes(starts, ends, data), np.searchsorted(starts, self.offsets))
+        second = self.range_hashes(starts, ends, data, SECOND_CODES) if twice else None
+        return Words(self, starts, ends, self.range_hashes(starts, ends, data), np.searchsorted(starts, self.offsets), second)
 
 
 @dataclass
@@ -116,6 +120,7 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     offsets: np.ndarray
+    second: np.ndarray | None = None
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)

@@ -72,3 +72,33 @@ def test_digest_of_kept_words(spark):
 
     got = deduplicated(spark.createDataFrame([(1, " a  b\n")], "doc_id long, text string")).select(F.sha2(F.col("kept_text").cast("binary"), 256)).first()[0]
     assert got == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_a_collision_of_one_hash_removes_nothing():
+    import numpy as np
+    import pyarrow as pa
+
+    from lodewatch.llm.substrings import firsts, stretches, window_hashes
+    from lodewatch.llm.words import blocks
+
+    text = " ".join(f"w{i}" for i in range(60))
+    for spoiled in ("hashes", "second"):
+        words = next(blocks(pa.array([text, text]))).words(lower=False, twice=True)
+        getattr(words, spoiled)[:] = 7  # every word has one of its hashes in common with all others
+        at, one, two = window_hashes(words, 20)
+        owner = np.searchsorted(words.offsets, at, "right") - 1
+        lead = firsts(owner, at, one, two)
+        assert lead.tolist() == (owner == 0).tolist()  # all windows of the first text, none of the second
+        starts, counts, anchors, content, second = stretches(words, 20, 5)
+        owner = np.searchsorted(words.offsets, starts, "right") - 1
+        same = firsts(owner, starts, anchors * np.uint64(0), content, second)
+        assert counts.sum() == 82 and same[owner == 0].all() and not same[owner == 1].any()
+
+
+def test_a_passage_of_every_row_and_a_very_long_text(spark):
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(i, f"a{i} {shared} b{i} " + " ".join(f"c{i}x{k}" for k in range(25))) for i in range(2000)]
+    rows.append((5000, " ".join(f"long{k % 70_000}" for k in range(150_000)) + f" {shared}"))
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(16)).select("doc_id", "n_words", "n_removed").collect()}
+    assert got[0] == (57, 0) and all(got[i] == (57, 30) for i in range(1, 2000))
+    assert got[5000] == (150_030, 80_030)
