@@ -192,6 +192,22 @@ def asof_sql(tolerance: int | None) -> str:
       SELECT l.seq, p.id AS nearest_id, p.gap FROM l LEFT JOIN p ON p.seq = l.seq AND rank = 1 {keep}"""
 
 
+def asof_edges(spark, sf_dir):
+    """Processes (views of a user) and what is laid to them: files made, tools used and reads, each within its reach."""
+    e = events(spark, sf_dir).withColumn("ts", F.expr("ts div 200000"))  # so that the reaches bind
+    processes = e.where("kind = 'view' and k <> 0")
+    kinds = {"produced": e.where("kind = 'purchase' and k % 2 = 0"), "tool": e.where("kind = 'click'"), "inferred_read": e.where("kind = 'error'")}
+    found = [asof.laid_to(rows, processes, "host", "ts", "seq", "seq", edge) for edge, rows in kinds.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).drop("host")
+
+
+EDGE_SQL = f"""WITH e AS (SELECT * REPLACE (ts // 200000 AS ts) FROM {EVENTS}), p AS (SELECT host, seq, ts FROM e WHERE kind = 'view' AND k <> 0),
+  a AS (SELECT *, CASE kind WHEN 'purchase' THEN 'produced' WHEN 'click' THEN 'tool' ELSE 'inferred_read' END AS edge FROM e WHERE kind IN ('click', 'error') OR (kind = 'purchase' AND k % 2 = 0)),
+  pairs AS (SELECT p.seq AS process, a.seq AS act, edge, abs(a.ts - p.ts) AS gap, row_number() OVER (PARTITION BY a.seq ORDER BY abs(a.ts - p.ts), p.ts, p.seq) AS rank FROM a JOIN p USING (host)
+    WHERE abs(a.ts - p.ts) <= CASE edge {' '.join(f"WHEN '{k}' THEN {v}" for k, v in asof.REACH.items())} END)
+  SELECT process, act, edge, gap FROM pairs WHERE rank = 1"""
+
+
 def interval_join_top3(spark, sf_dir):
     e = events(spark, sf_dir)
     return asof.within(e.where("kind = 'signup'"), e, "session", "ts", 6 * 3600 * SECOND, 3, "seq", "seq").drop("session")
@@ -293,7 +309,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         flow_classify, process_intent_dim_join, evidence_severity_union, rhythm_cv_by_user, protocol_hopping, fragmented_traffic, distributed_chain, read_write_ratio, mass_read_window, anti_evasion_score,
-        inference_cascade, risk_assessment, risk_confidence, session_dna, mitre_timeline, sessionize_gap, dedup_within_key, hash_chain_build, hash_chain_verify, asof_nearest, asof_tolerance, interval_join_top3,
+        inference_cascade, risk_assessment, risk_confidence, session_dna, mitre_timeline, sessionize_gap, dedup_within_key, hash_chain_build, hash_chain_verify, asof_nearest, asof_tolerance, asof_edges, interval_join_top3,
         secret_flow_semi, observation_confidence, threshold_analysis, history_correlation_90d, capability_drift, stage_order_deviation, latency_percentiles, bayesian_relations, props_json_extract,
     )
 }
@@ -319,6 +335,7 @@ ORACLE_SQL = {
     "hash_chain_verify": VERIFY_SQL,
     "asof_nearest": asof_sql(None),
     "asof_tolerance": asof_sql(12 * 3600 * SECOND),
+    "asof_edges": EDGE_SQL,
     "interval_join_top3": INTERVAL_SQL,
     "secret_flow_semi": f"SELECT session, seq, CASE WHEN k > 80 THEN 'CRITICAL' WHEN k > 40 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM {EVENTS} a WHERE kind = 'signup' AND EXISTS (SELECT 1 FROM {EVENTS} b WHERE b.session = a.session AND b.kind = 'purchase' AND abs(a.ts - b.ts) <= {86_400 * SECOND})",
     "observation_confidence": OBSERVED_SQL,
