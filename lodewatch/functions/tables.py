@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +27,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder and read from there; scratch until the driver ends."""
+    """The rows, written to the shared checkpoint folder and read from there; scratch until dropped or until the driver ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_drop_all)
+        atexit.register(lambda: drop(list(_written)))
     _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop_all() -> None:
-    for path, spark in _written.items():
+def drop(paths: list[str]) -> None:
+    for path in paths:
+        spark = _written.pop(path)
         try:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
         except Exception:  # noqa: BLE001  the session ended first; the folder is scratch
             return
+
+
+def tidied(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Of a function that works in rounds: its result is written, and what its rounds wrote is deleted."""
+
+    @wraps(build)
+    def run(*args, **kwargs) -> DataFrame:
+        known = set(_written)
+        out = settle(build(*args, **kwargs))
+        made = [path for path in _written if path not in known]
+        drop(made[:-1])  # the last is the result
+        return out
+
+    return run

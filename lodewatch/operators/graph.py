@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up, ratio
-from ..functions.tables import settle as cut
+from ..functions.tables import settle as cut, tidied
 
 #: Edges of a listed path, at most.
 DEEPEST = 10
@@ -35,6 +35,7 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+@tidied
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """g, id, component: the smallest id that a node is connected with, in whatever direction."""
     both = cut(edges.select("g", "src", "dst").unionByName(edges.select("g", F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -113,11 +114,86 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFra
     return every.join(top, "g").select("g", "id", F.round(F.col("b") / F.col("top") + 1e-9, 3).alias("betweenness"))
 
 
-def strong_components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """g, id, component: the smallest id that a node reaches and that reaches it."""
-    there = pairs.select("g", F.col("start").alias("id"), F.col("end").alias("other"))
-    back = pairs.select("g", F.col("end").alias("id"), F.col("start").alias("other"))
-    return there.join(back, ["g", "id", "other"]).groupBy("g", "id").agg(F.min("other").alias("component"))
+def doubled(links: DataFrame, rounds: int) -> DataFrame:
+    """g, id, up, down, low, ring of nodes (g, id, up, down) with one edge in and one out: the ends of the chain that each is in.
+
+    A pointer to the chain's first node doubles its reach in each round, so a chain of n nodes takes
+    log n of them. What has found no first node then is on a ring; low is its smallest id.
+    """
+    inside = links.select("g", F.col("id").alias("up"), F.lit(True).alias("known"))
+    begun = links.join(inside, ["g", "up"], "left")
+    rows = cut(begun.select("g", "id", F.when(F.col("known"), F.col("up")).otherwise(F.col("id")).alias("first"), F.least("id", F.when(F.col("known"), F.col("up"))).alias("low"), F.col("known").isNull().alias("ends")))
+    for _ in range(rounds):
+        if rows.where("not ends").isEmpty():
+            break
+        far = rows.select("g", F.col("id").alias("first"), F.col("first").alias("first2"), F.col("low").alias("low2"), F.col("ends").alias("ends2"))
+        rows = cut(rows.join(far, ["g", "first"]).select("g", "id", F.col("first2").alias("first"), F.least("low", "low2").alias("low"), (F.col("ends") | F.col("ends2")).alias("ends")))
+    heads = links.select("g", F.col("id").alias("first"), "up")
+    last = links.join(links.select("g", F.col("id").alias("down")), ["g", "down"], "left_anti").join(rows.select("g", "id", "first"), ["g", "id"]).select("g", "first", "down")
+    return rows.join(heads, ["g", "first"]).join(last, ["g", "first"], "left").select("g", "id", "up", "down", "low", (~F.col("ends")).alias("ring"))
+
+
+def spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, id, colour: the smallest colour that leads to a node along the edges, a step a round."""
+    while True:
+        near = edges.join(labels.select("g", F.col("id").alias("src"), "colour"), ["g", "src"]).groupBy("g", F.col("dst").alias("id")).agg(F.min("colour").alias("near"))
+        step = cut(labels.join(near, ["g", "id"], "left").select("g", "id", F.least("colour", "near").alias("colour"), F.col("colour").alias("was")))
+        labels = step.drop("was")
+        if step.where("colour <> was").isEmpty():
+            return labels
+
+
+@tidied
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, id, component: the smallest id that a node reaches and that reaches it.
+
+    Nodes that nothing enters or leaves are taken away, chains of nodes with one edge in and one out
+    become one edge, rings are components; this alone undoes long paths and cycles, in a number of
+    rounds that is the logarithm of their length. What is left is coloured by the smallest id that
+    leads to a node: from that id back along its own colour is a component. A node of a chain is in
+    its ends' component if both ends are in one. State has a row a node and edge, never a pair.
+    """
+    left = cut(edges.select("g", "src", "dst").where("src <> dst").distinct())
+    found: list[DataFrame] = []
+    chains: list[DataFrame] = []
+    while not left.isEmpty():
+        into = left.groupBy("g", F.col("dst").alias("id")).agg(F.count("*").alias("ins"), F.min("src").alias("up"))
+        out = left.groupBy("g", F.col("src").alias("id")).agg(F.count("*").alias("outs"), F.min("dst").alias("down"))
+        both = cut(into.join(out, ["g", "id"]))
+        inner = both.select("g", "id")
+        trimmed = cut(left.join(inner.withColumnRenamed("id", "src"), ["g", "src"], "left_semi").join(inner.withColumnRenamed("id", "dst"), ["g", "dst"], "left_semi"))
+        links = cut(both.where("ins = 1 and outs = 1"))
+        many = links.count()
+        shrunk = trimmed.count() < left.count()
+        if many and not shrunk:
+            ends = cut(doubled(links, many.bit_length()))
+            found.append(ends.where("ring").select("g", "id", F.col("low").alias("label")))
+            chains.append(ends.where("not ring").select("g", "id", "up", "down"))
+            gone = links.select("g", "id")
+            kept = trimmed.join(gone.withColumnRenamed("id", "src"), ["g", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["g", "dst"], "left_anti")
+            short = chains[-1].select("g", F.col("up").alias("src"), F.col("down").alias("dst")).where("src <> dst")
+            left = cut(kept.select("g", "src", "dst").unionByName(short).distinct())
+        elif shrunk:
+            left = trimmed
+        else:
+            colours = spread(inner.withColumn("colour", F.col("id")), left)
+            of = lambda end: colours.select("g", F.col("id").alias(end), F.col("colour").alias(f"{end}_colour"))
+            left = cut(left.join(of("src"), ["g", "src"]).join(of("dst"), ["g", "dst"]).where("src_colour = dst_colour").select("g", "src", "dst"))
+            # back from each colour's own node: its colour again, a larger number stands for not reached
+            back = spread(colours.select("g", "id", F.when(F.col("id") == F.col("colour"), 0).otherwise(1).alias("colour")), left.select("g", F.col("dst").alias("src"), F.col("src").alias("dst")))
+            done = cut(back.where("colour = 0").select("g", "id").join(colours, ["g", "id"]).select("g", "id", F.col("colour").alias("label")))
+            found.append(done)
+            gone = done.select("g", "id")
+            left = cut(left.join(gone.withColumnRenamed("id", "src"), ["g", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["g", "dst"], "left_anti").select("g", "src", "dst"))
+    labels = cut(reduce(DataFrame.unionByName, found)) if found else nodes.select("g", "id", F.col("id").alias("label")).limit(0)
+    for ends in reversed(chains):
+        of = lambda end: labels.select("g", F.col("id").alias(end), F.col("label").alias(f"{end}_label"))  # noqa: B023, E731
+        named = ends.join(of("up"), ["g", "up"], "left").join(of("down"), ["g", "down"], "left")
+        one = F.when(F.col("up") == F.col("down"), F.coalesce("up_label", "up")).when(F.col("up_label") == F.col("down_label"), F.col("up_label"))
+        labels = cut(labels.unionByName(named.where(one.isNotNull()).select("g", "id", one.alias("label"))))
+    whole = nodes.select("g", "id").join(labels, ["g", "id"], "left").withColumn("label", F.coalesce("label", "id"))
+    smallest = whole.groupBy("g", "label").agg(F.min("id").alias("component"))
+    return whole.join(smallest, ["g", "label"]).select("g", "id", "component")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

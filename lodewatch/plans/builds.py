@@ -250,7 +250,7 @@ BETWEEN_SQL = REACH + """, ways AS MATERIALIZED (WITH RECURSIVE w AS (SELECT g,
 
 def graph_strong_components(spark, sf_dir):
     nodes, edges = mesh(spark, sf_dir)
-    return graph.strong_components(nodes, graph.distances(nodes, edges))
+    return graph.strong_components(nodes, edges)
 
 
 STRONG_SQL = REACH + " SELECT a.g, a.s AS id, min(a.t) AS component FROM dist a JOIN dist b ON b.g = a.g AND b.s = a.t AND b.t = a.s GROUP BY a.g, a.s"
