@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import half_up, ratio
+from ..sources import artifacts
 
 # Weights of the facets, by equality and by likeness; the tolerance of numbers.
 EXACT = {"toolchain": 0.2, "environment": 0.1, "artifact": 0.25, "network": 0.1, "graph": 0.2, "behavior": 0.15}
@@ -58,12 +59,8 @@ def hash31(text: Column) -> Column:
 
 
 def byte_entropy(content: Column) -> Column:
-    """Shannon entropy of bytes in bits, to two places: counts of the pairs of hexadecimal digits."""
-    pairs = F.regexp_extract_all(F.hex(content), F.lit(".."), F.lit(0))
-    n = F.size(pairs)
-    share = lambda p: F.size(F.filter(pairs, lambda x: x == p)) / n
-    bits = F.aggregate(F.array_distinct(pairs), F.lit(0.0), lambda acc, p: acc - share(p) * F.log2(share(p)))
-    return F.when(n == 0, 0.0).otherwise(half_up(bits, 2))
+    """Shannon entropy of bytes in bits, to two places; 0 for none."""
+    return F.when(F.octet_length(content) == 0, 0.0).otherwise(artifacts.byte_entropy(content))
 
 
 def canonical(*columns: str) -> Column:
@@ -89,11 +86,6 @@ def sanitised(text: Column) -> Column:
     return F.regexp_replace(plain, r"\b([A-Za-z0-9_-]{4})[A-Za-z0-9_-]{16,}\b", "$1***")
 
 
-def masked(line: Column) -> Column:
-    """A line with strings and comments blanked, so that only code is left to test."""
-    return F.regexp_replace(F.regexp_replace(line, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`", "\"\""), r"//.*$|/\*.*?\*/|^\s*#.*$", "")
-
-
 def integrity_chain(rows: DataFrame, by: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """rows with own and previous: a hash of six fields and one of the whole row before; a first row has none before."""
     own = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).cast("binary"), 256)

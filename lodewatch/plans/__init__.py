@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import builds, code, masks, processes, records, scan, sessions, telemetry
+from . import builds, code, learning, masks, processes, records, scan, sessions, telemetry
 
-MODULES = [scan, code, masks, sessions, telemetry, builds, records, processes]
+MODULES = [scan, code, masks, sessions, telemetry, builds, learning, records, processes]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
 

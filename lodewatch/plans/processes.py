@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import builds as builds_ops
+from ..functions.text import bits
 from ..operators import audit, dna, processes
+from ..operators import builds as builds_ops
+from ..sources import artifacts
 from .scan import quoted
 from .sessions import EVENTS, events
 from .tables import read
@@ -219,15 +221,60 @@ ARTIFACT_SQL = f"""SELECT p_partkey, unnest(list_filter([CASE WHEN e > 7.5 THEN
   FROM (SELECT p_partkey, p_partkey AS k, p_partkey % 20 / 10.0::DOUBLE + 6.2::DOUBLE AS e FROM part)"""
 
 
+IMAGE_NAMES, IMAGE_STRINGS = "\0.text\0.dynstr\0.dynamic\0.shstrtab\0", "\0libc.so\0libdl_dlopen.so\0"
+
+
+def image(spark, sf_dir):
+    """Pages as binaries: an ELF file whose code is the page, with a table of names and, for odd ids, the libraries it asks for.
+
+    Sections: none, .text (the html), .dynstr, .dynamic, .shstrtab.
+    """
+    number = lambda n, size: F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(n), 2 * size, "0"), F.lit(".."), F.lit(0))), ""))
+    names, strings = IMAGE_NAMES, IMAGE_STRINGS
+    code = F.coalesce("html", F.lit("")).cast("binary")
+    n, odd = F.octet_length(code), F.col("page_id") % 2
+    zero = lambda size: number(F.lit(0), size)
+    entry = lambda tag, value: F.concat(number(F.lit(tag), 8), number(value, 8))
+    dynamic = F.concat(entry(1, F.lit(1)), entry(1, F.when(odd == 1, F.lit(9)).otherwise(F.lit(1))), entry(0, F.lit(0)))
+    at_strings, at_dynamic = 64 + n, 64 + n + len(strings)
+    at_names = at_dynamic + 48
+    table = at_names + len(names)
+    head = F.concat(F.unhex(F.lit("7F454C46020101" + "00" * 9)), number(F.lit(2), 2), number(F.lit(62), 2), zero(4), zero(16), number(table, 8), zero(10), number(F.lit(64), 2), number(F.lit(5), 2), number(F.lit(4), 2))
+    one = lambda name, kind, flags, at, size: F.concat(number(F.lit(name), 4), number(F.lit(kind), 4), number(F.lit(flags), 8), zero(8), number(at, 8), number(size, 8), zero(24))
+    rows = [one(0, 0, 0, F.lit(0), F.lit(0)), one(1, 1, 6, F.lit(64), n), one(7, 3, 2, at_strings, F.lit(len(strings))), one(15, 6, 3, at_dynamic, F.lit(48)), one(24, 3, 0, at_names, F.lit(len(names)))]
+    content = F.concat(head, code, F.lit(strings).cast("binary"), dynamic, F.lit(names).cast("binary"), *rows)
+    return read(spark, sf_dir, "pages").select("page_id", content.alias("content"))
+
+
+def artifact_sections(spark, sf_dir):
+    return artifacts.section_rows(artifacts.parsed(image(spark, sf_dir))).where("section <> ''")
+
+
+# Bytes as two hexadecimal digits each.
+SECTION_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, hex(encode(coalesce(html, ''))) AS h FROM pages), bytes AS (SELECT page_id, unnest(list_transform(range(1, length(h), 2), lambda i: substr(h, i, 2))) AS b FROM p WHERE h <> ''),
+  e AS (SELECT page_id, entropy(b) AS bits FROM bytes GROUP BY page_id)
+  SELECT page_id, '.text' AS section, strlen(html)::BIGINT AS size, true AS executable, round(coalesce(bits, 0) + 1e-9::DOUBLE, 2) AS entropy FROM p LEFT JOIN e USING (page_id)
+  UNION ALL SELECT page_id, '.dynstr', {len(IMAGE_STRINGS)}, false, {round(bits(IMAGE_STRINGS.encode()), 2)} FROM pages UNION ALL SELECT page_id, '.shstrtab', {len(IMAGE_NAMES)}, false, {round(bits(IMAGE_NAMES.encode()), 2)} FROM pages
+  UNION ALL SELECT page_id, '.dynamic', 48, false, CASE page_id % 2 WHEN 1 THEN {round(bits(bytes([1, 1, 1, 9] + [0] * 44)), 2)} ELSE {round(bits(bytes([1] * 4 + [0] * 44)), 2)} END FROM pages"""
+
+
+def artifact_changes(spark, sf_dir):
+    """Each page's binary against that of the page before it."""
+    rows = artifacts.parsed(image(spark, sf_dir))
+    return artifacts.artifact_diff(rows.withColumn("page_id", F.col("page_id") + 1), rows, "page_id").select(
+        "page_id", "changed", "entropy_delta", F.array_join("imports_added", ",").alias("imports_added"), F.array_join("imports_removed", ",").alias("imports_removed"), F.array_join("findings", ",").alias("findings")
+    ).withColumn("changed", F.array_join("changed", ","))
+
+
 def sanitised_lines(spark, sf_dir):
-    """What masking leaves of lines made of a part's name and number."""
+    """What is left of secrets in lines made of a part's name and number."""
     n = F.col("p_partkey")
     line = F.concat(F.lit("key="), F.sha2(n.cast("string").cast("binary"), 256), F.lit(" // note "), n.cast("string"), F.lit(" 'quoted'"))
-    return read(spark, sf_dir, "part").select("p_partkey", dna.sanitised(line).alias("safe"), dna.masked(line).alias("code"), dna.hash31(n.cast("string")).alias("hash"))
+    return read(spark, sf_dir, "part").select("p_partkey", dna.sanitised(line).alias("safe"), dna.hash31(n.cast("string")).alias("hash"))
 
 
 # The 31-hash of at most five digits needs no wrap.
-SAFE_SQL = """SELECT p_partkey, 'key=' || substr(h, 1, 4) || '*** // note ' || p_partkey || ' ''quoted''' AS safe, 'key=' || h || ' ' AS code, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_partkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: a * 31 + c)::INT AS hash FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS h FROM part)"""
+SAFE_SQL = """SELECT p_partkey, 'key=' || substr(h, 1, 4) || '*** // note ' || p_partkey || ' ''quoted''' AS safe, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_partkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: a * 31 + c)::INT AS hash FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS h FROM part)"""
 
 # A raw value of each feature: the order's number times the feature's place, folded to one and a half of its top.
 def _folded(name: str, i: int) -> str:
@@ -303,7 +350,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         spawned_edges, process_tree, process_descendants, tree_dna, story_chains, process_timelines, exfil_timelines, build_stages, process_exits, compiler_invocations, weak_compiler_flags, build_tool_chain, artifact_producers, build_likeness,
-        byte_entropy, input_fingerprints, integrity_chain, snapshot_delta, sensor_coverage, artifact_findings, sanitised_lines, record_features, learned_trust,
+        byte_entropy, input_fingerprints, integrity_chain, snapshot_delta, sensor_coverage, artifact_findings, artifact_sections, artifact_changes, sanitised_lines, record_features, learned_trust,
         provenance_edges, causal_dag, threat_matches, vault_stats, frequent_authors,
     )
 }
@@ -328,6 +375,7 @@ ORACLE_SQL = {
     "snapshot_delta": "SELECT s_nationkey AS repo, count(*) - count(*) FILTER (WHERE s_suppkey % 2 = 0) AS findings_delta, (count(*) FILTER (WHERE s_acctbal < 0) - count(*) FILTER (WHERE s_acctbal < 0 AND s_suppkey % 2 = 0))::BIGINT AS critical_delta FROM supplier GROUP BY 1",
     "sensor_coverage": SENSOR_SQL,
     "artifact_findings": ARTIFACT_SQL,
+    "artifact_sections": SECTION_SQL,
     "sanitised_lines": SAFE_SQL,
     "provenance_edges": PROVENANCE_SQL,
     "causal_dag": DAG_SQL,

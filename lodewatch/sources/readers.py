@@ -6,18 +6,60 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SKIPPED = ("node_modules", ".git", "dist", "build", "coverage")
+# What each kind of walk leaves out below its root: folder and file names, dot entries but some, depths, endings.
+DOT_KEPT = r"^(?:\.github|\.cursorrules|\.windsurfrules|\..*\.mdc)$"
+WALKS = {
+    "project": {"skipped": ("test", "tests", "example", "examples", "benchmark", "docs", "node_modules"), "dots": DOT_KEPT},
+    "package": {"skipped": ("node_modules",), "deepest": 10},
+    "dependency": {"skipped": ("node_modules", ".bin"), "deepest": 3, "files": r"\.(?:js|ts|mjs|cjs|gyp|sh)$|^package\.json$"},
+    "tool": {"skipped": ("node_modules",), "deepest": 8, "files": r"\.(?:js|ts|mjs|cjs|json)$"},
+    "corpus": {"skipped": (), "dots": "."},
+}
 
 SESSION = """format string, metadata struct<id:string,recordedAt:timestamp,durationMs:bigint,platform:string,tags:array<string>>,
   events array<struct<type:string,data:string>>"""
 
 
-def text_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
-    """file, content of every file below a path, without the folders that are skipped and, if asked for, files above a size."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
+def walked(path: Column, kind: str) -> Column:
+    """Whether a walk of that kind comes to a file, by its path below the root."""
+    rule = WALKS[kind]
+    parts = F.split(path, "/")
+    skipped = F.exists(parts, lambda p: (F.lower(p) if kind == "project" else p).isin(*rule["skipped"])) if rule["skipped"] else F.lit(False)
+    dotted = F.exists(parts, lambda p: p.startswith(".") & ~p.rlike(rule.get("dots", r"\A\z")))
+    near = F.size(parts) <= rule["deepest"] + 1 if "deepest" in rule else F.lit(True)
+    wanted = F.element_at(parts, -1).rlike(rule["files"]) if "files" in rule else F.lit(True)
+    return ~skipped & ~dotted & near & wanted
+
+
+def text_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int | None = None, kind: str = "project") -> DataFrame:
+    """file, content of the files below a folder that a walk of that kind comes to, and, if asked for, none above a size.
+
+    Only what is below the folder counts: names in the folder's own path leave nothing out. Spark
+    lists no dot entries; those of the folder itself are asked for by name, deeper ones are not seen.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(place).toString().rstrip("/")
+    dots = [str(s.getPath().toString()) for s in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root + "/.*")) or [] if not s.getPath().getName().endswith(".crc")]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load([path, *dots])
+    below = F.regexp_replace(F.substr("path", F.lit(len(root) + 1)), "^/+", "")
     small = F.lit(True) if most_bytes is None else F.col("length") <= most_bytes
-    return files.where(~skipped & small).select(F.col("path").alias("file"), F.col("content").cast("string").alias("content"))
+    return files.where(small).withColumn("__below", below).where(walked(F.col("__below"), kind)).select(F.col("path").alias("file"), F.col("content").cast("string").alias("content"))
+
+
+#: A string of JSON with the string that follows as its value, if one does.
+JSON_STRINGS = r'"(?:[^"\\]|\\.)*+"(?:\s*+:\s*+"(?:[^"\\]|\\.)*+")?'
+
+
+def timestamps(json: Column) -> Column:
+    """array<struct<key, value, at>>: the texts under `timestamp` or a key that ends in `At`, at any depth, and the times they say.
+
+    In the order of the text; a text that is no time has a null one. Strings are taken whole, so a key
+    inside another string is none. Null JSON gives null.
+    """
+    pairs = F.filter(F.regexp_extract_all(json, F.lit(JSON_STRINGS), F.lit(0)), lambda t: t.rlike(r'^"(?:timestamp|(?:[^"\\]|\\.)*At)"\s*:'))
+    parts = lambda t: F.struct(F.regexp_extract(t, r'^"((?:[^"\\]|\\.)*)"', 1).alias("key"), F.regexp_extract(t, r':\s*"((?:[^"\\]|\\.)*)"$', 1).alias("value"))
+    return F.transform(F.transform(pairs, parts), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value"), F.try_to_timestamp(p["value"]).alias("at")))
 
 
 def unified_diff(df: DataFrame, raw: str, *keys: str) -> DataFrame:

@@ -5,8 +5,8 @@ import pytest
 from lodewatch.plans import ORACLE_SQL, QUERIES
 from tests.compare import connect, differences
 
-#: The smallest tables; TEST_SF_DIR names larger ones.
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: TEST_SF_DIR names other tables.
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")

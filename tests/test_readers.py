@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from lodewatch.operators import scan
 from lodewatch.sources import readers, writers
 
@@ -66,3 +68,27 @@ def test_sessions_and_files(spark, tmp_path):
     (tmp_path / "code" / "a.js").write_text("x")
     (tmp_path / "code" / "node_modules" / "b.js").write_text("y")
     assert [r.content for r in readers.text_files(spark, str(tmp_path / "code"), "*.js").collect()] == ["x"]
+
+
+def test_walks_count_only_what_is_below_their_root(spark, tmp_path):
+    root = tmp_path / "node_modules" / "build" / "repo"
+    paths = ["a.js", "src/a.js", "tests/a.js", "src/Docs/a.js", "node_modules/x/a.js", ".git/config", ".github/workflows/ci.yml", ".cursorrules", ".x.mdc", "src/.env", "a/b/c/d/e.sh", "a/b/c/e.sh", "package.json", "a/readme"]
+    for p in paths:
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_text(p)
+    seen = lambda kind: {r.content for r in readers.text_files(spark, str(root), kind=kind).collect()}
+    assert seen("corpus") == set(paths) - {"src/.env"}
+    assert seen("project") == set(paths) - {"tests/a.js", "src/Docs/a.js", "node_modules/x/a.js", ".git/config", "src/.env"}
+    assert seen("package") == {"a.js", "src/a.js", "tests/a.js", "src/Docs/a.js", "a/b/c/d/e.sh", "a/b/c/e.sh", "package.json", "a/readme"}
+    assert seen("dependency") == {"a.js", "src/a.js", "tests/a.js", "src/Docs/a.js", "a/b/c/e.sh", "package.json"}
+    assert seen("tool") == {"a.js", "src/a.js", "tests/a.js", "src/Docs/a.js", "package.json"}
+    assert [r.content for r in readers.text_files(spark, str(root) + "/", "*.sh", 10, "corpus").collect()] == ["a/b/c/e.sh"]
+
+
+def test_times_at_any_depth(spark):
+    text = '{"recordedAt": "2026-01-02T03:04:05Z", "at": "x", "a": [{"timestamp" : "2026-01-02", "b": {"closedAt": "no time", "note": "\\"timestamp\\": \\"2020-01-01\\""}}], "nAt": 5, "metaAt": {"timestamp": "2026-02-03 00:00:00"}}'
+    rows = spark.createDataFrame([(text,), (None,), ("[]",)], "j string").select(readers.timestamps(F.col("j")).alias("t")).collect()
+    assert [(p.key, p.value, p.at and p.at.isoformat()) for p in rows[0].t] == [
+        ("recordedAt", "2026-01-02T03:04:05Z", "2026-01-02T03:04:05"), ("timestamp", "2026-01-02", "2026-01-02T00:00:00"), ("closedAt", "no time", None), ("timestamp", "2026-02-03 00:00:00", "2026-02-03T00:00:00"),
+    ]
+    assert rows[1].t is None and rows[2].t == []
