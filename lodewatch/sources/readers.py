@@ -35,12 +35,13 @@ def text_files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int
     """file, content of the files below a folder that a walk of that kind comes to, and, if asked for, none above a size.
 
     Only what is below the folder counts: names in the folder's own path leave nothing out. Spark
-    lists no dot entries; those of the folder itself are asked for by name, deeper ones are not seen.
+    lists nothing that begins with a dot: dot folders of the folder itself are asked for by name, dot
+    files and deeper dot folders are not seen.
     """
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     root = system.makeQualified(place).toString().rstrip("/")
-    dots = [str(s.getPath().toString()) for s in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root + "/.*")) or [] if not s.getPath().getName().endswith(".crc")]
+    dots = [str(s.getPath().toString()) for s in system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root + "/.*")) or [] if s.isDirectory()]
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load([path, *dots])
     below = F.regexp_replace(F.substr("path", F.lit(len(root) + 1)), "^/+", "")
     small = F.lit(True) if most_bytes is None else F.col("length") <= most_bytes

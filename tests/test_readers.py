@@ -77,8 +77,9 @@ def test_walks_count_only_what_is_below_their_root(spark, tmp_path):
         (root / p).parent.mkdir(parents=True, exist_ok=True)
         (root / p).write_text(p)
     seen = lambda kind: {r.content for r in readers.text_files(spark, str(root), kind=kind).collect()}
-    assert seen("corpus") == set(paths) - {"src/.env"}
-    assert seen("project") == set(paths) - {"tests/a.js", "src/Docs/a.js", "node_modules/x/a.js", ".git/config", "src/.env"}
+    hidden = {".cursorrules", ".x.mdc", "src/.env"}  # Spark lists no file whose name begins with a dot
+    assert seen("corpus") == set(paths) - hidden
+    assert seen("project") == set(paths) - hidden - {"tests/a.js", "src/Docs/a.js", "node_modules/x/a.js", ".git/config"}
     assert seen("package") == {"a.js", "src/a.js", "tests/a.js", "src/Docs/a.js", "a/b/c/d/e.sh", "a/b/c/e.sh", "package.json", "a/readme"}
     assert seen("dependency") == {"a.js", "src/a.js", "tests/a.js", "src/Docs/a.js", "a/b/c/e.sh", "package.json"}
     assert seen("tool") == {"a.js", "src/a.js", "tests/a.js", "src/Docs/a.js", "package.json"}
