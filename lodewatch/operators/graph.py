@@ -196,6 +196,55 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.join(smallest, ["g", "label"]).select("g", "id", "component")
 
 
+@tidied
+def resolved(nodes: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """g, id, value, source, steps: each node's own value, or that of the node found up its incoming edges.
+
+    edges have (g, src, dst, seq). A node without a value takes its first edge (the smallest seq, then
+    src) from a source that has one or finds one in turn. Which nodes find one spreads downwards, a
+    step a round; then all pointers double their reach until they stand on a value. A pointer that
+    runs in a circle falls back to the source that was found first. Nodes that find none are null.
+    """
+    own = cut(nodes.select("g", "id", F.col(value).alias("value")))
+    edges = cut(edges.select("g", "src", "dst", "seq"))
+    found = front = cut(own.where("value is not null").select("g", "id", F.lit(0).alias("round")))
+    n = 0
+    while True:
+        n += 1
+        near = front.select("g", F.col("id").alias("src")).join(edges, ["g", "src"]).select("g", F.col("dst").alias("id")).distinct()
+        front = cut(near.join(found, ["g", "id"], "left_anti").select("g", "id", F.lit(n).alias("round")))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    found = cut(found)
+    up = edges.join(found.select("g", F.col("id").alias("src"), F.col("round").alias("up_round")), ["g", "src"])
+    first = up.groupBy("g", F.col("dst").alias("id")).agg(F.min_by("src", F.struct("seq", "src")).alias("up"), F.min_by("src", F.struct("up_round", "seq", "src")).alias("near"))
+    start = cut(found.where("round > 0").join(first, ["g", "id"]))
+
+    def jumped(pointers: DataFrame, rounds: int) -> DataFrame:
+        """g, id, at, steps, done of (g, id, at): pointers followed up to 2 ** rounds steps."""
+        ends = own.where("value is not null").select("g", F.col("id").alias("at"), F.lit(True).alias("there"))
+        rows = cut(pointers.join(ends, ["g", "at"], "left").select("g", "id", "at", F.lit(1).cast("long").alias("steps"), F.col("there").isNotNull().alias("done")))
+        for _ in range(rounds):
+            if rows.where("not done").isEmpty():
+                break
+            on = rows.select("g", F.col("id").alias("at"), F.col("at").alias("at2"), F.col("steps").alias("steps2"), F.col("done").alias("done2"))
+            step = rows.join(on, ["g", "at"], "left")
+            go = ~F.col("done") & F.col("at2").isNotNull()
+            rows = cut(step.select("g", "id", F.when(go, F.col("at2")).otherwise(F.col("at")).alias("at"), (F.col("steps") + F.when(go, F.col("steps2")).otherwise(0)).alias("steps"), F.when(go, F.col("done2")).otherwise(F.col("done")).alias("done")))
+        return rows
+
+    rounds = start.count().bit_length()
+    straight = jumped(start.select("g", "id", F.col("up").alias("at")), rounds)
+    circles = straight.where("not done").select("g", "id")
+    rest = jumped(start.select("g", "id", F.col("near").alias("at")), rounds).join(circles, ["g", "id"], "left_semi")
+    places = straight.where("done").unionByName(rest).select("g", "id", "at", "steps")
+    values = own.select("g", F.col("id").alias("at"), F.col("value").alias("found"))
+    joined = own.join(places.join(values, ["g", "at"]), ["g", "id"], "left")
+    mine = F.col("value").isNotNull()
+    return joined.select("g", "id", F.coalesce("value", "found").alias("value"), F.when(mine, F.col("id")).otherwise(F.col("at")).alias("source"), F.when(mine, 0).otherwise(F.col("steps")).cast("long").alias("steps"))
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """g, id, level: the longest way to a node from one that nothing enters; null on a cycle and behind it.
 

@@ -248,6 +248,17 @@ BETWEEN_SQL = REACH + """, ways AS MATERIALIZED (WITH RECURSIVE w AS (SELECT g,
   SELECT g, id, round(b / greatest(max(b) OVER (PARTITION BY g), 1) + 1e-9::DOUBLE, 3) AS betweenness FROM (SELECT n.g, n.id, coalesce(b, 0) AS b FROM n LEFT JOIN raw USING (g, id))"""
 
 
+def resolved_nodes(spark, sf_dir):
+    """Returned lines have a value of their own; others take that of the line found up their edges, smallest first."""
+    nodes, edges = nodes_edges(spark, sf_dir)
+    own = nodes.select("g", "id", F.when(F.col("kind") == "R", F.col("id") * 10).alias("pid"))
+    return graph.resolved(own, edges.select("g", "src", "dst", F.col("src").alias("seq")), "pid").where("value is not null")
+
+
+RESOLVED_SQL = GRAPH + """, walk AS (SELECT g, id, id AS cur, []::INT[] AS path FROM n UNION ALL SELECT w.g, w.id, e.src, list_append(path, e.src::INT) FROM walk w JOIN n x ON x.g = w.g AND x.id = w.cur AND x.kind <> 'R' JOIN e ON e.g = w.g AND e.dst = w.cur)
+  SELECT w.g, w.id, arg_min(cur, path) * 10 AS value, arg_min(cur, path) AS source, len(min(path)) AS steps FROM walk w JOIN n ON n.g = w.g AND n.id = w.cur AND n.kind = 'R' GROUP BY w.g, w.id"""
+
+
 def graph_strong_components(spark, sf_dir):
     nodes, edges = mesh(spark, sf_dir)
     return graph.strong_components(nodes, edges)
@@ -541,7 +552,7 @@ QUERIES = {
     for f in (
         orphan_anti_join, baseline_stats, normality_zscores, baseline_deviation, typical_tools, trend_slope_ewma_cusum, trend_overall, snapshot_direction, trust_dimensions, trust_score_verdict, hermetic_score, input_diff,
         jaccard_similarity, multi_dna_fingerprint, contract_violations, graph_build_edges, graph_stats, graph_components, graph_paths, graph_closeness, graph_betweenness, graph_dominators, graph_propagation,
-        graph_strong_components, graph_shape, graph_levels, graph_dominance_frontier, graph_dominant_node, graph_seeded, graph_subgraph, graph_confidence_paths, temporal_critical_path, graph_diff, confusion_matrix, roc_auc, feature_vector, logistic_train_eval, coverage_rollup, campaign_summary, redteam_rules_unpivot, blindspot_stats, multi_author, ownership_by_author,
+        resolved_nodes, graph_strong_components, graph_shape, graph_levels, graph_dominance_frontier, graph_dominant_node, graph_seeded, graph_subgraph, graph_confidence_paths, temporal_critical_path, graph_diff, confusion_matrix, roc_auc, feature_vector, logistic_train_eval, coverage_rollup, campaign_summary, redteam_rules_unpivot, blindspot_stats, multi_author, ownership_by_author,
         codeowners_glob_join, last_owners, team_totals, typosquat_join, lookalike_join, reputation_score, sbom_enrich,
     )
 }
@@ -567,6 +578,7 @@ ORACLE_SQL = {
     "graph_paths": walk_sql("roots") + " SELECT g, start, \"end\", count(*) AS paths, min(length) AS shortest, max(length) AS longest FROM paths GROUP BY ALL",
     "graph_closeness": REACH + " SELECT n.g, n.id, round(coalesce(c, 0), 6) AS closeness FROM n LEFT JOIN (SELECT g, s AS id, count(*) / sum(d)::DOUBLE AS c FROM dist WHERE d > 0 GROUP BY ALL) USING (g, id)",
     "graph_strong_components": STRONG_SQL,
+    "resolved_nodes": RESOLVED_SQL,
     "graph_shape": SHAPE_SQL,
     "graph_levels": REACH + LEVELS + " SELECT g, id, level FROM levels",
     "graph_dominance_frontier": FRONTIER_SQL,
