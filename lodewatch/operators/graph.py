@@ -309,6 +309,98 @@ def immediate(rows: DataFrame) -> DataFrame:
     return rows.select("g", "id").distinct().join(near, ["g", "id"], "left")
 
 
+def chain_tops(single: DataFrame, rounds: int) -> DataFrame:
+    """g, id, top of (g, id, up): the first node up the pointers that has none; nodes on or behind a circle are left out."""
+    ends = single.select("g", F.col("id").alias("up"), F.lit(True).alias("goes_on"))
+    rows = cut(single.join(ends, ["g", "up"], "left").select("g", "id", F.col("up").alias("top"), F.col("goes_on").isNull().alias("done")))
+    for _ in range(rounds):
+        if rows.where("not done").isEmpty():
+            break
+        far = rows.select("g", F.col("id").alias("top"), F.col("top").alias("top2"), F.col("done").alias("done2"))
+        rows = cut(rows.join(far, ["g", "top"], "left").select("g", "id", F.when(F.col("done"), F.col("top")).otherwise(F.col("top2")).alias("top"), (F.col("done") | F.coalesce("done2", F.lit(False))).alias("done")))
+    return rows.where("done").select("g", "id", "top")
+
+
+def lifted(tree: DataFrame) -> list[DataFrame]:
+    """For each power of two: g, id, up of (g, id, parent), the ancestor so many steps up, where there is one."""
+    levels = [cut(tree.where("parent is not null").select("g", "id", F.col("parent").alias("up")))]
+    while True:
+        low = levels[-1]
+        twice = cut(low.join(low.select("g", F.col("id").alias("up"), F.col("up").alias("up2")), ["g", "up"]).select("g", "id", F.col("up2").alias("up")))
+        if twice.isEmpty():
+            return levels
+        levels.append(twice)
+
+
+def meeting(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """pairs (g, ..., a, b) with meet, the deepest node of the tree that both are or stand below (null: none), and its depth."""
+
+    def climbed(rows: DataFrame, end: str, k: int) -> DataFrame:
+        return rows.join(levels[k].select("g", F.col("id").alias(end), F.col("up").alias(f"up_{end}")), ["g", end], "left")
+
+    rows = pairs.withColumns({"at_a": F.col("a"), "at_b": F.col("b"), "depth_a": F.lit(0).cast("long"), "depth_b": F.lit(0).cast("long")})
+    for n, k in enumerate(reversed(range(len(levels)))):
+        for x in ("a", "b"):
+            rows = climbed(rows, f"at_{x}", k)
+            there = F.col(f"up_at_{x}")
+            rows = rows.withColumns({f"depth_{x}": F.col(f"depth_{x}") + F.when(there.isNotNull(), 1 << k).otherwise(0), f"at_{x}": F.coalesce(there, f"at_{x}")}).drop(f"up_at_{x}")
+        rows = cut(rows) if n % 3 == 2 else rows
+    rows = rows.drop("at_a", "at_b")
+    for n, k in enumerate(reversed(range(len(levels)))):
+        for x, y in (("a", "b"), ("b", "a")):
+            rows = climbed(rows, x, k)
+            down = F.col(f"depth_{x}") - F.col(f"depth_{y}") >= (1 << k)
+            rows = rows.withColumns({x: F.when(down, F.col(f"up_{x}")).otherwise(F.col(x)), f"depth_{x}": F.when(down, F.col(f"depth_{x}") - (1 << k)).otherwise(F.col(f"depth_{x}"))}).drop(f"up_{x}")
+        rows = cut(rows) if n % 3 == 2 else rows
+    for n, k in enumerate(reversed(range(len(levels)))):
+        rows = climbed(climbed(rows, "a", k), "b", k)
+        apart = ~F.col("up_a").eqNullSafe(F.col("up_b"))
+        rows = rows.withColumns({"a": F.when(apart, F.col("up_a")).otherwise(F.col("a")), "b": F.when(apart, F.col("up_b")).otherwise(F.col("b")), "depth_a": F.col("depth_a") - F.when(apart, 1 << k).otherwise(0)}).drop("up_a", "up_b")
+        rows = cut(rows) if n % 3 == 2 else rows
+    rows = climbed(rows, "a", 0)
+    same = F.col("a") == F.col("b")
+    return rows.withColumns({"meet": F.when(same, F.col("a")).otherwise(F.col("up_a")), "depth": F.col("depth_a") - F.when(same, 0).otherwise(1)}).drop("a", "b", "up_a", "depth_a", "depth_b")
+
+
+@tidied
+def immediate_dominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """g, id, idom of every node that a root reaches: the nearest node that all ways to it pass, null where there is none.
+
+    The state is a parent a node. A node that one edge enters has that edge's source as its parent;
+    chains of them are jumped by doubled pointers, so only nodes that several edges enter take rounds.
+    They begin with some predecessor; a round gives each the place where all its predecessors meet in
+    the tree, until none moves. Every dominator stays above its node in each of these trees, and where
+    none moves, nothing else is left there.
+    """
+    starts = cut(roots(nodes, edges))
+    edges = cut(edges.select("g", "src", "dst").where("src <> dst").distinct())
+    into = cut(edges.groupBy("g", F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("up")))
+    single = into.where("n = 1").select("g", "id", "up")
+    tops = cut(chain_tops(single, single.count().bit_length()))
+    several = cut(edges.join(into.where("n > 1").select("g", F.col("id").alias("dst")), ["g", "dst"], "left_semi"))
+    top_of = tops.select("g", F.col("id").alias("src"), "top")
+    steps = cut(several.join(top_of, ["g", "src"], "left").select("g", "dst", "src", F.coalesce("top", "src").alias("top")))
+    reached = front = cut(starts.select("g", "id", F.lit(None).cast(nodes.schema["id"].dataType).alias("parent")))
+    while True:
+        near = front.select("g", F.col("id").alias("top")).join(steps, ["g", "top"]).groupBy("g", F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        front = cut(near.join(reached.select("g", "id"), ["g", "id"], "left_anti").select("g", "id", "parent"))
+        if front.isEmpty():
+            break
+        reached = reached.unionByName(front)
+    below = single.join(tops, ["g", "id"]).join(reached.select("g", F.col("id").alias("top")), ["g", "top"], "left_semi")
+    tree = cut(reached.unionByName(below.select("g", "id", F.col("up").alias("parent"))))
+    met = cut(several.join(tree.select("g", F.col("id").alias("src")), ["g", "src"], "left_semi").join(reached.select("g", F.col("id").alias("dst")), ["g", "dst"], "left_semi"))
+    first = met.groupBy("g", "dst").agg(F.min("src").alias("a"), F.count("*").alias("of"))
+    pairs = cut(met.join(first.where("of > 1"), ["g", "dst"]).where("src <> a").select("g", "dst", "a", F.col("src").alias("b")))
+    while not pairs.isEmpty():
+        places = meeting(pairs, lifted(tree)).groupBy("g", F.col("dst").alias("id")).agg(F.min_by("meet", F.struct(F.col("meet").isNotNull(), "depth")).alias("meet"), F.lit(True).alias("asked"))
+        step = cut(tree.join(places, ["g", "id"], "left").select("g", "id", F.when(F.col("asked"), F.col("meet")).otherwise(F.col("parent")).alias("parent"), F.col("parent").alias("was")))
+        tree = step.drop("was")
+        if step.where("not (parent <=> was)").isEmpty():
+            break
+    return tree.select("g", "id", F.col("parent").alias("idom"))
+
+
 def frontier(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """g, id, stop: where a node's dominance ends: it dominates a predecessor of `stop`, but not `stop` beyond itself."""
     into = edges.select("g", F.col("src").alias("id"), F.col("dst").alias("stop")).distinct()

@@ -286,7 +286,7 @@ def graph_levels(spark, sf_dir):
 
 
 def graph_dominators(spark, sf_dir):
-    return graph.immediate(graph.dominator_rows(*mesh(spark, sf_dir)))
+    return graph.immediate_dominators(*mesh(spark, sf_dir))
 
 
 # A node dominates another if no way from a root is left without it.
@@ -305,7 +305,7 @@ FRONTIER_SQL = REACH + DOMINATED + " SELECT DISTINCT d.g, d.by AS id, e.dst AS s
 
 
 def graph_dominant_node(spark, sf_dir):
-    return graph.dominant(graph.immediate(graph.dominator_rows(*mesh(spark, sf_dir))))
+    return graph.dominant(graph.immediate_dominators(*mesh(spark, sf_dir)))
 
 
 DOMINANT_SQL = REACH + DOMINATED + " SELECT g, arg_max(idom, (n, -idom)) AS dominant, max(n) AS n FROM (SELECT g, idom, count(*) AS n FROM idoms WHERE idom IS NOT NULL GROUP BY ALL) GROUP BY g"
