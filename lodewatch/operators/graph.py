@@ -161,19 +161,19 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         out = left.groupBy("g", F.col("src").alias("id")).agg(F.count("*").alias("outs"), F.min("dst").alias("down"))
         both = cut(into.join(out, ["g", "id"]))
         inner = both.select("g", "id")
-        trimmed = cut(left.join(inner.withColumnRenamed("id", "src"), ["g", "src"], "left_semi").join(inner.withColumnRenamed("id", "dst"), ["g", "dst"], "left_semi"))
         links = cut(both.where("ins = 1 and outs = 1"))
         many = links.count()
-        shrunk = trimmed.count() < left.count()
-        if many and not shrunk:
+        if many:
             ends = cut(doubled(links, many.bit_length()))
             found.append(ends.where("ring").select("g", "id", F.col("low").alias("label")))
             chains.append(ends.where("not ring").select("g", "id", "up", "down"))
             gone = links.select("g", "id")
-            kept = trimmed.join(gone.withColumnRenamed("id", "src"), ["g", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["g", "dst"], "left_anti")
+            kept = left.join(gone.withColumnRenamed("id", "src"), ["g", "src"], "left_anti").join(gone.withColumnRenamed("id", "dst"), ["g", "dst"], "left_anti")
             short = chains[-1].select("g", F.col("up").alias("src"), F.col("down").alias("dst")).where("src <> dst")
             left = cut(kept.select("g", "src", "dst").unionByName(short).distinct())
-        elif shrunk:
+            continue
+        trimmed = cut(left.join(inner.withColumnRenamed("id", "src"), ["g", "src"], "left_semi").join(inner.withColumnRenamed("id", "dst"), ["g", "dst"], "left_semi"))
+        if trimmed.count() < left.count():
             left = trimmed
         else:
             colours = spread(inner.withColumn("colour", F.col("id")), left)
