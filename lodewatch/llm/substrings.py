@@ -151,6 +151,7 @@ def window_rows(documents: DataFrame, size: int) -> DataFrame:
                 continue
             hashes, second, owner, starts = (np.concatenate(x) for x in zip(*parts, strict=True))
             repeat = ~firsts(owner, starts, hashes, second)
+            hashes[repeat], second[repeat] = 0, np.flatnonzero(repeat)  # settled; numbers of their own spread them
             yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(signed(second)), pa.array(owner), pa.array(starts.astype(np.int32)), pa.array(repeat)], schema=schema)
         give_back()
 
@@ -170,14 +171,9 @@ def repeats(documents: DataFrame, size: int = WORDS, gram: int = GRAM) -> DataFr
     later = rows.where("again").select("doc_id", "start", "windows")
     crowded = first.groupBy("anchor").agg(F.count("*").alias("unlike")).where("unlike > 1").select("anchor")
     unsure = first.join(crowded, "anchor").select("doc_id", F.struct("start", "windows").alias("stretch")).groupBy("doc_id").agg(F.collect_list("stretch").alias("open"))
-    windows = settle(window_rows(documents.join(unsure, "doc_id"), size))
-    later_windows = windows.where("not repeat").withColumn("first_place", earliest("window", "second")).where(place > F.col("first_place"))
-    one = F.lit(1).alias("windows")
-    return (
-        later
-        .unionByName(windows.where("repeat").select("doc_id", "start", one))
-        .unionByName(later_windows.select("doc_id", "start", one))
-    )
+    rows = window_rows(documents.join(unsure, "doc_id"), size)
+    windows = rows.withColumn("again", F.col("repeat") | (place > earliest("window", "second"))).where("again")
+    return later.unionByName(windows.select("doc_id", "start", F.lit(1).alias("windows")))
 
 
 def deduplicated(documents: DataFrame, size: int = WORDS, gram: int = GRAM) -> DataFrame:
