@@ -138,10 +138,16 @@ def mass_reads(events: DataFrame, span: int, least: int, distinct: int) -> DataF
     return found.where((F.col("n") >= least) & (F.col("hosts") >= distinct))
 
 
-def evasion_score(signals: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """session, score: weights times confidence, rounded, 100 at most."""
+def evasion_score(signals: DataFrame, weights: dict[str, float], order: str = "seq") -> DataFrame:
+    """session, score: weights times confidence, rounded, 100 at most.
+
+    Added up in the signals' order, so that which way a half goes does not depend on how rows are
+    dealt. A running sum, so a session of any number of signals needs no row to hold them.
+    """
     part = lookup(F.col("type"), weights, 0.0) * F.col("confidence")
-    return signals.groupBy("session").agg(bounded(half_up(F.sum(part))).cast("int").alias("score"))
+    so_far = Window.partitionBy("session").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = signals.select("session", order, F.sum(part).over(so_far).alias("total"))
+    return sums.groupBy("session").agg(bounded(half_up(F.max_by("total", order))).cast("int").alias("score"))
 
 
 def inferred(behaviors: DataFrame, exfil: DataFrame) -> DataFrame:
