@@ -86,6 +86,11 @@ def sanitised(text: Column) -> Column:
     return F.regexp_replace(plain, r"\b([A-Za-z0-9_-]{4})[A-Za-z0-9_-]{16,}\b", "$1***")
 
 
+def masked(line: Column) -> Column:
+    """A line with strings and comments taken out, so that only code is left to test."""
+    return F.regexp_replace(F.regexp_replace(line, r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`", "\"\""), r"//.*$|/\*.*?\*/|^\s*#.*$", "")
+
+
 def integrity_chain(rows: DataFrame, by: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """rows with own and previous: a hash of six fields and one of the whole row before; a first row has none before."""
     own = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]).cast("binary"), 256)

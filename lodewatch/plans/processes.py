@@ -267,14 +267,14 @@ def artifact_changes(spark, sf_dir):
 
 
 def sanitised_lines(spark, sf_dir):
-    """What is left of secrets in lines made of a part's name and number."""
+    """What is left of secrets, and what masking leaves as code, in lines made of a part's name and number."""
     n = F.col("p_partkey")
     line = F.concat(F.lit("key="), F.sha2(n.cast("string").cast("binary"), 256), F.lit(" // note "), n.cast("string"), F.lit(" 'quoted'"))
-    return read(spark, sf_dir, "part").select("p_partkey", dna.sanitised(line).alias("safe"), dna.hash31(n.cast("string")).alias("hash"))
+    return read(spark, sf_dir, "part").select("p_partkey", dna.sanitised(line).alias("safe"), dna.masked(line).alias("code"), dna.hash31(n.cast("string")).alias("hash"))
 
 
 # The 31-hash of at most five digits needs no wrap.
-SAFE_SQL = """SELECT p_partkey, 'key=' || substr(h, 1, 4) || '*** // note ' || p_partkey || ' ''quoted''' AS safe, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_partkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: a * 31 + c)::INT AS hash FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS h FROM part)"""
+SAFE_SQL = """SELECT p_partkey, 'key=' || substr(h, 1, 4) || '*** // note ' || p_partkey || ' ''quoted''' AS safe, 'key=' || h || ' ' AS code, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_partkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: a * 31 + c)::INT AS hash FROM (SELECT p_partkey, sha256(p_partkey::VARCHAR) AS h FROM part)"""
 
 # A raw value of each feature: the order's number times the feature's place, folded to one and a half of its top.
 def _folded(name: str, i: int) -> str:

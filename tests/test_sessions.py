@@ -1,9 +1,11 @@
-"""Scores of sessions on small rows."""
+"""Scores of sessions and masking of single lines on small rows."""
 
 from functools import reduce
 from operator import add
 
-from lodewatch.operators import behaviors
+from pyspark.sql import functions as F
+
+from lodewatch.operators import behaviors, dna
 
 
 def test_evasion_score_adds_in_the_order_of_the_signals(spark):
@@ -15,3 +17,8 @@ def test_evasion_score_adds_in_the_order_of_the_signals(spark):
     for dealt in (rows, rows[::-1]):
         signals = spark.createDataFrame(dealt, "session long, seq long, type string, confidence double").coalesce(1)
         assert {r.session: r.score for r in behaviors.evasion_score(signals, {"t": 1.0}).collect()} == want
+
+
+def test_masked_line_keeps_code_only(spark):
+    rows = spark.createDataFrame([("key=ab // note 1 'quoted'",), ("a = 'x' + `y` /* z */;",), ("  # all",)], "line string")
+    assert [r.code for r in rows.select(dna.masked(F.col("line")).alias("code")).collect()] == ["key=ab ", 'a = "" + "" ;', ""]
