@@ -186,6 +186,7 @@ def deduplicated(documents: DataFrame, size: int = WORDS, gram: int = GRAM) -> D
     """
     kept = [c for c in documents.columns if c not in ("n_words", "n_removed", "kept_text")]
     found = repeats(documents, size, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("__runs")).withColumnRenamed("doc_id", "__id")
+    found = settle(found)  # a small table; what was shuffled to find it is gone before the texts are
     rows = documents.select(*[F.col(f"`{c}`") for c in kept]).join(found, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema if f.name in kept), "n_words long, n_removed long, kept_text string"])
 
