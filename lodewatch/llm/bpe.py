@@ -144,16 +144,16 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, ids: str = "ids", offsets: str | None = None) -> DataFrame:
-    """Adds the ids of the text, and if `offsets` is given each token's code points as (start, end).
+def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, ids: str = "ids", offsets: str | None = None, decoded: str | None = None) -> DataFrame:
+    """Adds the ids of the text, and if `offsets` is given each token's code points as (start, end), if `decoded` is given the bytes of the ids.
 
     A null text counts as empty and gives an empty list. Columns of the names to be added are
     replaced; all others are kept. `path` must be readable on the executors.
     """
-    kept = [c for c in df.columns if c not in (ids, offsets)]
+    kept = [c for c in df.columns if c not in (ids, offsets, decoded)]
     df = df.select(*[F.col(f"`{c}`") for c in kept])
     places = "array<struct<start:int,end:int>>"
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{ids}` array<int>", *([f"`{offsets}` {places}"] if offsets else [])])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"`{ids}` array<int>", *([f"`{offsets}` {places}"] if offsets else []), *([f"`{decoded}` binary"] if decoded else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -165,8 +165,10 @@ def encode(df: DataFrame, text: str = "text", path: str = VOCABULARY, ids: str =
                     start, end = character_offsets(block, own, found, placed)
                     pairs = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
                     lists.append(pa.ListArray.from_arrays(pa.array(placed, pa.int32()), pairs))
+                if decoded:
+                    lists.append(binary_of(*own.decode(found, placed)))
                 same = batch.slice(int(block.rows[0]), len(block))
-                yield pa.RecordBatch.from_arrays([*same.columns, *lists], names=[*kept, ids, *([offsets] if offsets else [])])
+                yield pa.RecordBatch.from_arrays([*same.columns, *lists], names=[*kept, ids, *([offsets] if offsets else []), *([decoded] if decoded else [])])
         give_back()
 
     return df.mapInArrow(run, schema)
@@ -192,14 +194,19 @@ def decode(df: DataFrame, ids: str = "ids", path: str = VOCABULARY, decoded: str
                 part = batch.slice(at, stop - at)
                 flat = part.column(ids).flatten().to_numpy(zero_copy_only=False)
                 data, placed = own.decode(flat, edges[at : stop + 1] - edges[at])
-                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - at, [None, pa.py_buffer(np.ascontiguousarray(placed)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*part.columns, binary.cast(pa.binary())], names=[*kept, decoded])
+                yield pa.RecordBatch.from_arrays([*part.columns, binary_of(data, placed)], names=[*kept, decoded])
                 at = stop
         give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def binary_of(data: np.ndarray, placed: np.ndarray) -> pa.Array:
+    """The bytes between each two of the places."""
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(placed) - 1, [None, pa.py_buffer(np.ascontiguousarray(placed)), pa.py_buffer(data)])
+    return whole.cast(pa.binary())
+
+
 def readable(decoded):
     """The text of decoded bytes; bytes that are no UTF-8 become U+FFFD. A Column."""
     return F.make_valid_utf8(F.expr("cast({} as string)".format(decoded)))
@@ -224,7 +231,7 @@ def tokens_of_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document that is left, as ids, with the proof of the round trip.
 
     Adds ids, n_tokens and round_trip (the decoded bytes are those of the text) to the columns
-    of documents.
+    of documents. Encoded and decoded in one pass, so that a task needs one Python worker, not two.
     """
-    coded = decode(encode(docs))
+    coded = encode(docs, decoded="decoded")
     return coded.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))

@@ -67,3 +67,10 @@ def test_decoding_keeps_split_characters_and_marks_bad_bytes(spark):
 
 def test_empty_table(spark):
     assert bpe.round_trip(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_decoding_in_the_same_pass_needs_one_worker_and_gives_the_same_bytes(spark):
+    rows = spark.createDataFrame([(1, "Größe  a\n b"), (2, ""), (3, None), (4, "x" * 2000)], "doc_id long, text string")
+    once = bpe.encode(rows, decoded="decoded")
+    assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in once.collect()} == {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.decode(bpe.encode(rows)).collect()}
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
