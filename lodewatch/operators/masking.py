@@ -2,20 +2,23 @@
 
 What a line leaves open (a template, a block comment, a string whose last character escapes the line
 end) goes on in the next. A line is a function from the state it is entered in to the state it is
-left in. Functions of lines are composed block by block and the blocks of a file in turn, which
-gives the state that each line is entered in; then every line is masked on its own. Only numbers
-are grouped: a file of any number of lines needs no task to hold its text.
+left in. Where a file has several blocks of lines, the functions are composed block by block and the
+blocks in turn, which gives the state that each block is entered in; then every block is masked line by
+line. A task sees a block's lines in order, a batch at a time, so it holds neither a block nor a file.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.tables import settle
 
 #: States: code, the three kinds of quotes, and from COMMENT on block comments by their depth.
 CODE, COMMENT = 0, 4
@@ -92,46 +95,65 @@ def composed(f: Sequence[int], g: Sequence[int]) -> list[int]:
 IDENTITY = [0, 0, 1, 2, 3]
 
 
-def entry_states(lines: DataFrame, by: Sequence[str], line: str, content: str, block: int = BLOCK) -> DataFrame:
-    """by, line, entered: the state of each line that is not entered as code; by, line must be unique."""
-    keys = [*by, line]
+def in_turn(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What run gives for the rows, which it sees dealt by the keys and sorted by keys and order: those of a group follow each other, over batches."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
-    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [function(t or "") for t in batch.column(content).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, pa.list_(pa.int32()))], names=[*keys, "f"])
 
-    kinds = ", ".join(f"`{k}` {dict(lines.dtypes)[k]}" for k in keys)
-    each = lines.select(*keys, content).mapInArrow(functions, f"{kinds}, f array<int>")
-    each = each.withColumn("block", F.floor(F.col(line) / block))
+def keyed(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple]:
+    return zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
 
-    def of_block(rows: pd.DataFrame) -> pd.DataFrame:
-        total = IDENTITY
-        for f in rows.sort_values(line)["f"]:
-            total = composed(total, list(f))
-        return pd.DataFrame([{**{k: rows[k].iloc[0] for k in by}, "block": rows["block"].iloc[0], "f": total}])
 
-    by_kinds = ", ".join(f"`{k}` {dict(lines.dtypes)[k]}" for k in by)
-    blocks = each.groupBy(*by, "block").applyInPandas(of_block, f"{by_kinds}, block long, f array<int>")
+def kinds(rows: DataFrame, names: Sequence[str]) -> str:
+    return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
 
-    def of_file(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, state, states = rows.sort_values("block"), CODE, []
-        for f in rows["f"]:
-            states.append(state)
-            state = applied(list(f), state)
-        return rows.assign(entered=states)[[*by, "block", "entered"]]
 
-    starts = blocks.groupBy(*by).applyInPandas(of_file, f"{by_kinds}, block long, entered int")
+def entry_states(lines: DataFrame, by: Sequence[str], line: str, content: str, block: int = BLOCK) -> DataFrame:
+    """lines with `__block`, and a row more, of by, `__block` and the state `__entered`, for each block that is not entered as code.
 
-    def of_lines(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(line)
-        state, states = int(right["entered"].iloc[0]), []
-        for f in left["f"]:
-            states.append(state)
-            state = applied(list(f), state)
-        return left.assign(entered=states)[[*keys, "entered"]].query("entered != 0")
+    Only files of more than one block are composed: a block in a task, then the blocks of a file in turn.
+    """
+    by = list(by)
+    keys = [*by, "__block"]
+    rows = lines.withColumn("__block", F.floor(F.col(line) / block))
+    span = rows.groupBy(*[F.col(k).alias(f"__of_{k}") for k in by]).agg(F.min("__block").alias("__low"), F.max("__block").alias("__high")).where("__low < __high")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in by])
+    long = rows.select(*keys, line, content).join(span, same, "left_semi")
+
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, IDENTITY
+        for batch in batches:
+            done: list[tuple[tuple, list[int]]] = []
+            for key, text in zip(keyed(batch, keys), batch.column(content).to_pylist(), strict=True):
+                if key != last:
+                    if last is not None:
+                        done.append((last, total))
+                    last, total = key, IDENTITY
+                total = composed(total, function(text or ""))
+            yield of(done)
+        if last is not None:
+            yield of([(last, total)])
+
+    def of(done: list[tuple[tuple, list[int]]]) -> pa.RecordBatch:
+        named = [pa.array([key[i] for key, _ in done], arrow[k]) for i, k in enumerate(keys)]
+        return pa.RecordBatch.from_arrays([*named, pa.array([f for _, f in done], pa.list_(pa.int32()))], names=[*keys, "f"])
+
+    arrow = {k: to_arrow_type(rows.schema[k].dataType) for k in keys}
+    blocks = in_turn(long, keys, [F.col(line)], of_blocks, f"{kinds(rows, keys)}, f array<int>")
+
+    def of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, CODE
+        for batch in batches:
+            states = []
+            for key, f in zip(keyed(batch, by), batch.column("f").to_pylist(), strict=True):
+                if key != last:
+                    last, state = key, CODE
+                states.append(state)
+                state = applied(f, state)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(states, pa.int32())], names=[*keys, "__entered"])
 
-    return each.groupBy(*by, "block").cogroup(starts.groupBy(*by, "block")).applyInPandas(of_lines, f"{kinds}, entered int")
+    starts = in_turn(blocks, by, [F.col("__block")], of_files, f"{kinds(rows, keys)}, __entered int").where(F.col("__entered") != CODE)
+    return rows.unionByName(starts, allowMissingColumns=True)
 
 
 def masked_lines(lines: DataFrame, by: Sequence[str], line: str = "line", content: str = "content") -> DataFrame:
@@ -143,14 +165,29 @@ def masked_lines(lines: DataFrame, by: Sequence[str], line: str = "line", conten
     on; repeated numbers of one file are undefined, as is their order. An empty table gives no rows.
     """
     names = [c for c in lines.columns if c not in ("entered", "code")]
-    entered = entry_states(lines.select(*by, line, content), by, line, content)
-    joined = lines.select(*names).join(entered, [*by, line], "left").withColumn("entered", F.coalesce("entered", F.lit(CODE)))
+    keys = [*by, "__block"]
 
-    @F.pandas_udf("string")
-    def code(texts: pd.Series, states: pd.Series) -> pd.Series:
-        return pd.Series([scan(t or "", int(s))[0] if s or _ANY.search(t or "") else t or "" for t, s in zip(texts, states, strict=True)], dtype="object")
-
-    return joined.select(*names, "entered").withColumn("code", code(F.col(content), F.col("entered")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, CODE
+        for batch in batches:
+            kept, entered, code = [], [], []
+            for key, text, begun in zip(keyed(batch, keys), batch.column(content).to_pylist(), batch.column("__entered").to_pylist(), strict=True):
+                if key != last:
+                    last, state = key, CODE
+                kept.append(begun is None)
+                if begun is not None:  # no line: the state of the block's first
+                    state = begun
+                    continue
+                text = text or ""
+                entered.append(state)
+                if state != CODE or _ANY.search(text):
+                    text, state = scan(text, state)
+                code.append(text)
+            own = batch if all(kept) else batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(entered, pa.int32()), pa.array(code, pa.string())], names=[*names, "entered", "code"])
+
+    rows = entry_states(lines.select(*names), by, line, content)
+    return in_turn(rows, keys, [F.col("__entered").asc_nulls_last(), F.col(line)], run, f"{kinds(lines, names)}, entered int, code string")
 
 
 # Folders and names of tests, kinds that must stand in code, words of attacks and of calls that run things.
@@ -192,13 +229,13 @@ def semantic_filter(findings: DataFrame, lines: DataFrame, by: Sequence[str], li
     file's code runs things anywhere, a word of an attack in a string stays: it may be what is run.
     """
     path = F.col(by[-1])
-    code = masked_lines(lines, by, line, content)
-    runs = code.groupBy(*by).agg(F.bool_or(F.col("code").rlike(RUNS)).alias("__runs"))
-    at = code.select(*by, line, F.col(content).alias("__line"), F.col("code").alias("__code"))
-    rows = findings.join(at, [*by, line], "left").join(runs, list(by), "left")
-    kind, text, masked = F.upper(F.coalesce("type", F.lit(""))), F.coalesce("__line", F.lit("")), F.coalesce("__code", F.lit(""))
+    code = masked_lines(lines.select(*by, line, content), by, line, content)
+    at = settle(code.select(*by, line, F.col(content).alias("__line"), has_attack_word(F.col("code")).alias("__attack"), F.col("code").rlike(RUNS).alias("__run")))  # read twice, masked once
+    runs = at.groupBy(*by).agg(F.bool_or("__run").alias("__runs"))
+    rows = findings.join(at.drop("__run"), [*by, line], "left").join(runs, list(by), "left")
+    kind, text, attack = F.upper(F.coalesce("type", F.lit(""))), F.coalesce("__line", F.lit("")), F.coalesce("__attack", F.lit(False))
     secret = F.lower(F.coalesce("category", F.lit(""))).isin(*SECRET_CATEGORIES) | kind.rlike(SECRET_KINDS)
-    in_data = kind.isin(*CODE_KINDS) & ~has_attack_word(masked)
+    in_data = kind.isin(*CODE_KINDS) & ~attack
     reason = (
         F.when(in_tests(path), "test path")
         .when(secret, "secret")

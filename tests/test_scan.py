@@ -31,3 +31,12 @@ def test_long_runs_cost_no_square_time(spark):
 def test_tested_patterns():
     assert scan.tested(r"[a-z.+-]+@[a-z]+") == r"[a-z.+-]@[a-z]+"
     assert [scan.tested(p) for p in (r"[a]++b", r"[a]+?b", r"a+b", r"^[a]+b")] == [r"[a]++b", r"[a]+?b", r"a+b", r"^[a]+b"]
+
+
+def test_files_are_matched_once_for_lines_and_their_tokens(spark):
+    from lodewatch.operators import scan
+
+    rows = spark.createDataFrame([("a.js", "x = 'ghp_" + "a1" * 18 + "'")], "path string, text string")
+    found = scan.scan_files(rows, "path", "text")
+    assert sorted((r.phase, r.subcode, r.line) for r in found.collect()) == [(1, "SEC-GITHUB-TOKEN", 1), (3, "TOK-CLASS", 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
