@@ -213,8 +213,8 @@ def readable(decoded):
 
 
 def round_trip(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) by encoding whole texts and decoding the ids."""
-    back = decode(encode(df.select("doc_id", "text"), path=path).select("doc_id", "ids"), path=path)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) by encoding whole texts and decoding the ids, in one pass."""
+    back = encode(df.select("doc_id", "text"), path=path, decoded="decoded").select("doc_id", "ids", "decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -74,3 +74,8 @@ def test_decoding_in_the_same_pass_needs_one_worker_and_gives_the_same_bytes(spa
     once = bpe.encode(rows, decoded="decoded")
     assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in once.collect()} == {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.decode(bpe.encode(rows)).collect()}
     assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_round_trip_takes_one_pass(spark):
+    rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert bpe.round_trip(rows)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
