@@ -44,8 +44,9 @@ def fingerprint(rows: DataFrame, by: Sequence[str], item: Column) -> DataFrame:
 
 def contract(uses: DataFrame, key: str, record: str, tool: str, least: int) -> DataFrame:
     """key, tool, records, first_record, state: required, or new, once the key has so many records."""
-    total = uses.groupBy(key).agg(F.countDistinct(record).alias("all"), F.max(record).alias("last"))
-    per = uses.select(key, record, tool).distinct().groupBy(key, tool).agg(F.count("*").alias("records"), F.min(record).alias("first_record"))
+    used = uses.select(key, record, tool).distinct()  # read once: what follows starts from its rows
+    total = used.select(key, record).distinct().groupBy(key).agg(F.count(record).alias("all"), F.max(record).alias("last"))
+    per = used.groupBy(key, tool).agg(F.count("*").alias("records"), F.min(record).alias("first_record"))
     rows = per.join(total, key).where(F.col("all") >= least)
     state = F.when(F.col("first_record") == F.col("last"), "NEW_TOOL").when(F.col("records") * 2 >= F.col("all"), "REQUIRED")
     return rows.withColumn("state", state).where("state is not null").select(key, tool, "records", "first_record", "state")

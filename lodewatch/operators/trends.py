@@ -91,8 +91,9 @@ def baseline(records: DataFrame, by: str, measures: Sequence[str]) -> DataFrame:
 
 def typical(records: DataFrame, by: str, record: str, item: str, share: float) -> DataFrame:
     """by, item, share of items that at least so large a part of the key's records have."""
-    total = records.groupBy(by).agg(F.countDistinct(record).alias("records"))
-    used = records.select(by, record, item).distinct().groupBy(by, item).agg(F.count("*").alias("n"))
+    used = records.select(by, record, item).distinct()  # read once: what follows starts from its rows
+    total = used.select(by, record).distinct().groupBy(by).agg(F.count(record).alias("records"))
+    used = used.groupBy(by, item).agg(F.count("*").alias("n"))
     return used.join(total, by).withColumn("share", F.col("n") / F.col("records")).where(F.col("share") >= share).select(by, item, "share")
 
 

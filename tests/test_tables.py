@@ -1,11 +1,28 @@
 """Written tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodewatch.functions.tables import settle
+from lodewatch.operators import builds, trends
+from lodewatch.plans import QUERIES
+from tests.test_oracles import SF_DIR
 
 
 def test_a_table_that_is_small_only_on_disk_is_not_broadcast(spark):
     rows = settle(spark.range(1_000_000).select((F.col("id") % 1000).alias("g"), "id"))
     joined = rows.join(rows.select("g", F.col("id").alias("other")), "g")
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["typical_tools", "contract_violations"])
+def test_orders_and_lines_are_dealt_in_partitions_that_are_not_merged(spark, name):
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 2
+
+
+def test_a_record_counts_once_for_an_item_and_for_its_key(spark):
+    uses = spark.createDataFrame([(1, 1, "a"), (1, 1, "a"), (1, 1, "b"), (1, 2, "a"), (1, None, "c"), (2, 3, None)], "key int, build int, tool string")
+    shares = {(r["key"], r["tool"]): r["share"] for r in trends.typical(uses, "key", "build", "tool", 0.0).collect()}
+    assert shares == {(1, "a"): 1.0, (1, "b"): 0.5, (1, "c"): 0.5, (2, None): 1.0}
+    assert {(r["key"], r["tool"], r["records"], r["state"]) for r in builds.contract(uses, "key", "build", "tool", 2).collect()} == {(1, "a", 2, "REQUIRED"), (1, "b", 1, "REQUIRED"), (1, "c", 1, "REQUIRED")}
