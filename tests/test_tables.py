@@ -15,7 +15,7 @@ def test_a_table_that_is_small_only_on_disk_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["typical_tools", "contract_violations"])
+@pytest.mark.parametrize("name", ["typical_tools", "contract_violations", "trust_dimensions", "feature_vector"])
 def test_orders_and_lines_are_dealt_in_partitions_that_are_not_merged(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 2
