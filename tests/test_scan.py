@@ -1,3 +1,4 @@
+import re
 import time
 
 from lodewatch.operators import scan
@@ -40,3 +41,18 @@ def test_files_are_matched_once_for_lines_and_their_tokens(spark):
     found = scan.scan_files(rows, "path", "text")
     assert sorted((r.phase, r.subcode, r.line) for r in found.collect()) == [(1, "SEC-GITHUB-TOKEN", 1), (3, "TOK-CLASS", 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 1
+
+
+def test_lines_hold_what_their_patterns_need(spark):
+    from lodewatch.plans.code import LANGUAGE_LINES, SAMPLES
+
+    rules = [*LINE_RULES, *[r for own in LANGUAGE_RULES.values() for r in own]]
+    for text in [*SAMPLES, *LANGUAGE_LINES]:
+        for line in text.split("\n"):
+            for r in rules:
+                if re.search(r.pattern.replace(r"\z", r"\Z"), line) and (sure := scan.needed(r.pattern)):
+                    assert any(t in line.lower() for t in sure), (r.subcode, line)
+    assert scan.needed(r"(?i)Sudo\s+(?:alpha|beta)") == ["sudo"] and scan.needed(r"(?:alpha)?\s*(?:beta|g.)") == [] and scan.needed(r"(?:alpha)*b|c") == []
+    assert sum(bool(scan.needed(r.pattern)) for r in LINE_RULES) > 40
+    plan = scan.match(spark.createDataFrame([(1, "x = EVAL(y)")], "file long, content string"), LINE_RULES)
+    assert plan.collect() == []
