@@ -7,6 +7,9 @@ partial sums, or a window within one session.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -172,13 +175,19 @@ def inferred(behaviors: DataFrame, exfil: DataFrame) -> DataFrame:
     return s.select("session", F.explode(hits).alias("hit")).select("session", "hit.*")
 
 
-def risk(behaviors: DataFrame) -> DataFrame:
-    """session, score, level, confidence: weighted behaviours, multiplied for what they form together."""
-    best = behaviors.groupBy("session", "type").agg(F.max("confidence").alias("confidence"))
+def risk(behaviors: DataFrame, order: str = "seq") -> DataFrame:
+    """session, score, level, confidence: weighted behaviours, multiplied for what they form together.
+
+    Types are added up in the order in which a session shows them first, and multiplied one factor after
+    the other, so that which way a half goes does not depend on how rows are dealt.
+    """
+    best = behaviors.groupBy("session", "type").agg(F.max("confidence").alias("confidence"), F.min(order).alias("first"))
+    part = lookup(F.col("type"), WEIGHTS, 0) * F.col("confidence")
+    parts = F.array_sort(F.collect_list(F.when(part != 0, F.struct("first", part.alias("part")))))  # a row a type that has a weight
     has = lambda *types: F.bool_or(F.col("type").isin(*types))
-    every = lambda types: F.countDistinct(F.when(F.col("type").isin(*types), F.col("type"))) == len(types)
+    every = lambda types: F.count_if(F.col("type").isin(*types)) == len(types)  # noqa: E731  # best has a row a type
     base = best.groupBy("session").agg(
-        F.sum(lookup(F.col("type"), WEIGHTS, 0) * F.col("confidence")).alias("raw"),
+        F.aggregate(parts, F.lit(0.0), lambda total, p: total + p["part"]).alias("raw"),
         F.count("*").alias("kinds"),
         (has("git_bundle_created") & has("code_upload", "git_bundle_uploaded")).alias("bundle"),
         (has("anti_evasion_detected") & has("code_upload", "canary_exfiltrated")).alias("evasion"),
@@ -189,11 +198,10 @@ def risk(behaviors: DataFrame) -> DataFrame:
     joined = base.join(timing, "session")
     gap = F.col("span") / (F.col("n") - 1)
     times = lambda c, x: F.when(c, F.lit(x)).otherwise(F.lit(1.0))
-    factor = times(F.col("bundle"), 2.0) * times(F.col("evasion"), 2.5) * times(F.col("canary"), 3.0) * times(F.col("kinds") >= 3, 1.3)
-    for i, (_, x) in enumerate(SEQUENCES):
-        factor = factor * times(F.col(f"seq{i}"), x)
-    factor = factor * F.when(F.col("n") < 2, 1.0).when(gap < 30, 1.5).when(gap < 120, 1.3).when(gap < 600, 1.1).otherwise(1.0)
-    score = F.least(F.lit(100), half_up(F.col("raw") * factor / 120 * 100)).cast("int")
+    together = reduce(mul, [times(F.col(f"seq{i}"), x) for i, (_, x) in enumerate(SEQUENCES)])
+    close = F.when(F.col("n") < 2, 1.0).when(gap < 30, 1.5).when(gap < 120, 1.3).when(gap < 600, 1.1).otherwise(1.0)
+    raw = F.col("raw") * times(F.col("bundle"), 2.0) * times(F.col("evasion"), 2.5) * times(F.col("canary"), 3.0) * times(F.col("kinds") >= 3, 1.3) * together * close
+    score = F.least(F.lit(100), half_up(raw / 120 * 100)).cast("int")
     sure = F.least(F.lit(0.99), F.col("avg_confidence") * 0.75 + F.least(F.col("n") / 5, F.lit(1.0)) * 0.15 + F.least(F.col("distinct") / 3, F.lit(1.0)) * 0.1 + 0.1)
     level = F.when(F.col("score") >= 80, "CRITICAL").when(F.col("score") >= 50, "HIGH").when(F.col("score") >= 20, "MEDIUM").otherwise("LOW")
     return joined.select("session", score.alias("score"), F.round(sure, 6).alias("confidence")).withColumn("level", level)
